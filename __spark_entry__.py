@@ -8,13 +8,24 @@ the reference's record fields: id -> ``user_id``, priority -> ``event_type``
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winsight import Suite, WindowSpec, windowed_measures
+from winsight.functions.casts import rename_if_present, safe_cast, tag_constants
+from winsight.functions.labels import route_by_key, window_label
+from winsight.functions.time import epoch_ms, epoch_s, floor_div, parse_ts, to_micros
 from winsight.operators import measures as M
+from winsight.operators.batches import assign_batches, batch_markers
+from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_stats, run_summary,
+                                     segment_by_marker, source_totals)
+from winsight.operators.suite import union_results, window_result
+from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
+from winsight.sources.messages import decode_json, to_messages
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 ALLOWED = ("click", "view")
@@ -195,21 +206,23 @@ union all select ws, ws + interval 1 hour, 'mean_value', round(cast(mean_value_r
 union all select ws, ws + interval 1 hour, 'kind_completeness', round(cast(kind_completeness as double), 6), kind_completeness_ok from v
 """
 
-SQL_CHECKS_PRODUCTS = f"""
-with p as (select user_id, time_bucket(interval 1 day, ts, timestamp '1970-01-01') ws, event_id, count(*) c,
+def _products_sql(tag: str | None, bucket: str = "1 day") -> str:
+    t = f"{tag}, " if tag else ""
+    return f"""
+with p as (select {t}time_bucket(interval {bucket}, ts, timestamp '1970-01-01') ws, event_id, count(*) c,
                   count(kind) nn, max(value) mx,
                   count(*) filter (where kind is not null and kind not in ('click','view')) bad,
                   count(*) filter (where value < 0) neg
-           from {_GAPS} g group by 1, 2, 3),
-w as (select user_id, ws, cast(sum(c) as bigint) batch_size, sum(nn) / sum(c) id_complete,
+           from {_GAPS} g group by all),
+w as (select {t}ws, cast(sum(c) as bigint) batch_size, sum(nn) / sum(c) id_complete,
              sum(case when event_id is not null and c = 1 then 1 else 0 end)
                / nullif(sum(case when event_id is not null then c else 0 end), 0) id_unique,
              max(mx) max_value, cast(sum(bad) as bigint) kind_allowed, cast(sum(neg) as bigint) value_non_negative
-      from p group by 1, 2),
+      from p group by all),
 v as (select *, coalesce(id_complete = 1, false) id_complete_ok, coalesce(id_unique = 1, false) id_unique_ok,
              coalesce(max_value < 90, false) max_value_ok, coalesce(kind_allowed = 0, false) kind_allowed_ok,
              coalesce(value_non_negative = 0, false) value_non_negative_ok from w)
-select user_id, ws window_start, ws + interval 1 day window_end, batch_size, id_complete, id_unique, max_value,
+select {t}ws window_start, ws + interval {bucket} window_end, batch_size, id_complete, id_unique, max_value,
        kind_allowed, value_non_negative, id_complete_ok, id_unique_ok, max_value_ok, kind_allowed_ok,
        value_non_negative_ok,
        cast((not id_complete_ok)::int + (not id_unique_ok)::int + (not max_value_ok)::int
@@ -217,6 +230,9 @@ select user_id, ws window_start, ws + interval 1 day window_end, batch_size, id_
 from v
 """
 
+
+SQL_CHECKS_PRODUCTS = _products_sql("user_id")
+
 SQL_TAGGED = """
 with p as (select event_type, time_bucket(interval 6 hour, ts, timestamp '1970-01-01') ws, user_id, count(*) c,
                   max(value) mx, sum(value) sv, count(value) nv
@@ -229,6 +245,314 @@ from p group by 1, 2
 """
 
 
+# ---------------------------------------------------------------- row-level windows, filters
+HOUR = WindowSpec.tumbling("60 minutes")
+
+
+def q_assign_sliding(spark, sf_dir):
+    w = assign_windows(_t(spark, sf_dir, "events"), WindowSpec.sliding("60 minutes", "15 minutes"), "ts")
+    return w.select("event_id", "window_start", "window_end")
+
+
+def q_distinct_windows(spark, sf_dir):
+    w = assign_windows(_t(spark, sf_dir, "events"), WindowSpec.tumbling("360 minutes"), "ts")
+    return distinct_windows(w, ["event_type"])
+
+
+def q_rows_of_window(spark, sf_dir):
+    w = assign_windows(_t(spark, sf_dir, "events"), HOUR, "ts")
+    start, end = datetime.datetime(2024, 1, 2, 0, 0), datetime.datetime(2024, 1, 2, 1, 0)
+    rows = rows_of_window(w, F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"),
+                          {"event_type": "click"})
+    return rows.select("event_id", "user_id", "value")
+
+
+def q_collect_rows(spark, sf_dir):
+    bags = collect_rows(_t(spark, sf_dir, "events"), HOUR, "ts", chunk_rows=64)
+    per_chunk = bags.select("window_start", "window_end", F.size("rows").alias("k"),
+                            F.aggregate("rows", F.lit(0).cast("long"), lambda acc, r: acc + r["event_id"]).alias("s"))
+    return per_chunk.groupBy("window_start", "window_end").agg(
+        F.sum("k").cast("long").alias("n_rows"), F.sum("s").cast("long").alias("id_sum"))
+
+
+# ---------------------------------------------------------------- ingest and casts
+def _ms(c):
+    return floor_div(to_micros(F.col(c), T.TimestampNTZType()), 1000)
+
+
+def q_json_decode(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    msgs = ev.select("event_id", F.when(F.col("event_type") == "error", F.substring("props", 1, 4))
+                     .otherwise(F.col("props")).cast("binary").alias("value"))
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    return decode_json(msgs, schema, keep=["event_id"])
+
+
+def q_epoch_ms(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").select("event_id", _ms("ts").alias("ms"))
+    return ev.select("event_id", "ms", epoch_ms("ms").alias("ts_ms"))
+
+
+def q_epoch_s(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").select(
+        "event_id", floor_div(to_micros(F.col("ts"), T.TimestampNTZType()), 1_000_000).alias("s"))
+    return ev.select("event_id", "s", epoch_s("s").alias("ts_s"))
+
+
+def q_parse_ts(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "error", F.lit("bad")) \
+        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")).alias("text")
+    return ev.select("event_id", text).select("event_id", "text", parse_ts("text").alias("parsed"))
+
+
+def q_safe_cast(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1), F.lit(" ")).alias("prio"),
+        F.col("o_orderstatus").alias("status"))
+    return safe_cast(o, {"prio": "bigint", "status": "bigint", "absent": "bigint"})
+
+
+def q_rename_tag(spark, sf_dir):
+    ev = rename_if_present(_t(spark, sf_dir, "events"), "event_type", "tag")
+    return rename_if_present(ev, "no_such_column", "other").select("event_id", "tag")
+
+
+def q_pack_messages(spark, sf_dir):
+    ev = tag_constants(_t(spark, sf_dir, "events").select("event_id", "event_type", "value"), {"num_cores": "8"})
+    msgs = to_messages(ev, "winsight")
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("num_cores", T.StringType())])
+    return decode_json(msgs, schema, keep=["key"])
+
+
+def q_route_keys(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    return ev.select("event_id", route_by_key(F.col("event_type").cast("binary"), ["view", "purchase"], "click")
+                     .alias("source"))
+
+
+def q_window_labels(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    kind = (F.when(F.col("event_type") == "click", "tumbling").when(F.col("event_type") == "view", "Sliding")
+            .when(F.col("event_type") == "signup", "SESSION").when(F.col("event_type") == "purchase", "tumbling")
+            .otherwise("hopping"))
+    dur = F.concat((F.hour("ts") + 1).cast("string"), F.lit(" minutes"))
+    gap = F.when(F.col("event_type") != "purchase", F.lit("1 minutes"))
+    return ev.select("event_id", window_label(kind, dur, F.lit("5 seconds"), gap).alias("label"))
+
+
+# ---------------------------------------------------------------- batches and run analytics
+SIZES = [100, 200, 300]
+SOURCES, DEFAULT_SOURCE, MARKER = ["view", "purchase"], "click", "signup"
+RUN_CONSTANTS = {"window_setting": "tumbling_1 minutes", "number_of_cores": "8", "number_of_threads": "1",
+                 "memory_limit": "8G", "experiment_type": "kafka"}
+
+
+def q_batches(spark, sf_dir):
+    return assign_batches(_t(spark, sf_dir, "events").select("event_id"), "event_id", SIZES) \
+        .select("event_id", "batch_id")
+
+
+def q_batch_markers(spark, sf_dir):
+    return batch_markers(assign_batches(_t(spark, sf_dir, "events").select("event_id"), "event_id", SIZES))
+
+
+def event_messages(spark, sf_dir) -> DataFrame:
+    """events as a one-partition result topic: offset = event_id, key = event_type,
+    'signup' rows are batch markers; value carries timing / marker fields."""
+    ev = _t(spark, sf_dir, "events")
+    ms = _ms("ts")
+    value = F.to_json(F.struct(
+        (ms - F.col("user_id")).alias("time"),
+        F.when(F.col("event_type") == "click", F.floor("value")).alias("checkingTimeMs"),
+        F.col("event_id").alias("blast_id"), F.col("user_id").alias("blast_size"),
+        (ms - 1000).alias("blast_start_time"), F.when(F.col("value") > 10, ms).alias("blast_end_time")))
+    return ev.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
+                     F.col("event_type").cast("binary").alias("key"), value.alias("value"),
+                     F.timestamp_micros(to_micros(F.col("ts"), T.TimestampNTZType())).alias("timestamp"))
+
+
+def q_segments(spark, sf_dir):
+    msgs = classify(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE)
+    return segment_by_marker(msgs).select("offset", "segment")
+
+
+def q_source_totals(spark, sf_dir):
+    msgs = classify(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE)
+    return source_totals(segment_by_marker(msgs))
+
+
+def q_run_summary(spark, sf_dir):
+    return run_summary(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
+
+
+def _timings(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    file = (F.when((F.col("event_type") == "signup") & (F.hour("ts") >= 20), "c.csv")
+            .when(F.hour("ts") < 12, "a.csv").otherwise("b.csv"))
+    return ev.select(F.col("event_type").alias("run"), file.alias("file"), _ms("ts").alias("timestamp"))
+
+
+def q_run_latest(spark, sf_dir):
+    return latest_by_run(_timings(spark, sf_dir))
+
+
+def q_run_elapsed(spark, sf_dir):
+    latest = latest_by_run(_timings(spark, sf_dir))
+    # one global aggregate row: a proven size bound, so broadcasting it is safe
+    start = _t(spark, sf_dir, "events").agg(F.min(_ms("ts")).alias("start")).withColumn("_one", F.lit(1))
+    joined = latest.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one").drop("_one")
+    return run_elapsed(joined, F.col("start"), elements=100, sleep=2.0).drop("start")
+
+
+def q_run_stats(spark, sf_dir):
+    st = run_stats(_t(spark, sf_dir, "events"), "user_id", "value")
+    return st.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+def q_union_results(spark, sf_dir):
+    ev = _events_with_gaps(spark, sf_dir)
+    day = WindowSpec.tumbling("1440 minutes")
+    a = window_result(reddit_like_suite().evaluate(ev, HOUR, "ts"), HOUR, {"suite": "reddit_like"})
+    b = window_result(products_like_suite().evaluate(ev, day, "ts"), day, {"suite": "products_like"})
+    return union_results(a, b)
+
+
+_SLIDE_ROWS = """
+select event_id, time_bucket(interval 15 minute, ts, timestamp '1970-01-01') - to_minutes(15 * k) ws
+from events, range(4) r(k) where ts is not null
+"""
+
+SQL_ASSIGN_SLIDING = f"select event_id, ws window_start, ws + interval 1 hour window_end from ({_SLIDE_ROWS}) x"
+
+SQL_DISTINCT_WINDOWS = """
+select distinct event_type, time_bucket(interval 6 hour, ts, timestamp '1970-01-01') window_start,
+       time_bucket(interval 6 hour, ts, timestamp '1970-01-01') + interval 6 hour window_end
+from events where ts is not null
+"""
+
+SQL_ROWS_OF_WINDOW = """
+select event_id, user_id, value from events
+where ts >= timestamp '2024-01-02 00:00:00' and ts < timestamp '2024-01-02 01:00:00' and event_type = 'click'
+"""
+
+SQL_COLLECT_ROWS = f"""
+select {_HOUR} window_start, {_HOUR} + interval 1 hour window_end, count(*) n_rows, cast(sum(event_id) as bigint) id_sum
+from events where ts is not null group by 1, 2
+"""
+
+SQL_JSON_DECODE = """
+select event_id, case when event_type = 'error' then null else cast(json_extract(props, '$.k') as bigint) end k
+from events
+"""
+
+SQL_EPOCH_MS = "select event_id, (epoch_us(ts) // 1000) ms, epoch_ms(epoch_us(ts) // 1000) ts_ms from events"
+
+SQL_EPOCH_S = """
+select event_id, epoch_us(ts) // 1000000 s, make_timestamp((epoch_us(ts) // 1000000) * 1000000) ts_s from events
+"""
+
+SQL_PARSE_TS = """
+select event_id, text, try_strptime(text, '%Y-%m-%d %H:%M:%S.%g') parsed
+from (select event_id, case when event_type = 'error' then 'bad' else strftime(ts, '%Y-%m-%d %H:%M:%S.%g') end text
+      from events) x
+"""
+
+SQL_SAFE_CAST = """
+select o_orderkey, try_cast(trim(' ' || substr(o_orderpriority, 1, 1) || ' ') as bigint) prio,
+       try_cast(trim(o_orderstatus) as bigint) status
+from orders
+"""
+
+SQL_RENAME_TAG = "select event_id, event_type tag from events"
+
+SQL_PACK_MESSAGES = "select 'winsight' \"key\", event_id, event_type, value, '8' num_cores from events"
+
+SQL_ROUTE_KEYS = """
+select event_id, case when event_type in ('view', 'purchase') then event_type else 'click' end source from events
+"""
+
+SQL_WINDOW_LABELS = """
+select event_id, case
+  when event_type in ('click', 'purchase') then 'tumbling_' || dur
+  when event_type = 'view' then 'sliding_' || dur || '_5 seconds'
+  when event_type = 'signup' then 'session_' || dur || '_1 minutes' end label
+from (select *, cast(hour(ts) + 1 as varchar) || ' minutes' dur from events) x
+"""
+
+_BATCHES = """
+select event_id, cast(((rn - 1) // 600) * 3 + case when (rn - 1) % 600 < 100 then 1
+                                                   when (rn - 1) % 600 < 300 then 2 else 3 end as bigint) batch_id
+from (select event_id, row_number() over (order by event_id) rn from events) x
+"""
+
+SQL_BATCHES = _BATCHES
+
+SQL_BATCH_MARKERS = f"""
+with b as ({_BATCHES}), s as (select batch_id, count(*) n from b group by 1),
+z as (select batch_id, n, cast(case (batch_id - 1) % 3 when 0 then 100 when 1 then 200 else 300 end as bigint) batch_size
+      from s)
+select batch_id, batch_size from z where n = batch_size
+"""
+
+_MSGS = """
+with e as (select *, cast(coalesce(sum(case when event_type = 'signup' then 1 else 0 end)
+                       over (order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) segment,
+                  (epoch_us(ts) // 1000) arrival,
+                  case when event_type in ('view', 'purchase') then event_type else 'click' end source,
+                  coalesce(case when event_type = 'click' then cast(floor(value) as bigint) end, user_id) proc
+           from events),
+t as (select segment, source, count(*) number_of_windows, coalesce(max(arrival), -1) max_timestamp,
+             cast(sum(proc) as bigint) processing_time
+      from e where event_type <> 'signup' group by 1, 2)
+"""
+
+SQL_SEGMENTS = """
+select event_id "offset", cast(coalesce(sum(case when event_type = 'signup' then 1 else 0 end)
+       over (order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) segment
+from events
+"""
+
+SQL_SOURCE_TOTALS = _MSGS + 'select 0 "partition", segment, source, number_of_windows, max_timestamp, processing_time from t'
+
+SQL_RUN_SUMMARY = _MSGS + """,
+m as (select segment, event_id blast_id, user_id blast_size, (epoch_us(ts) // 1000) - 1000 blast_start_time,
+             case when value > 10 then (epoch_us(ts) // 1000) else -1 end blast_end_time
+      from e where event_type = 'signup')
+select 0 "partition", m.segment, t.source tool, blast_id, blast_size, blast_start_time, blast_end_time,
+       number_of_windows, max_timestamp, processing_time, 'tumbling_1 minutes' window_setting,
+       '8' number_of_cores, '1' number_of_threads, '8G' memory_limit, 'kafka' experiment_type
+from m join t on m.segment = t.segment where max_timestamp > 0
+"""
+
+_LATEST = """
+select event_type run, max((epoch_us(ts) // 1000)) latest, count(distinct file) n_files
+from (select *, case when event_type = 'signup' and hour(ts) >= 20 then 'c.csv'
+                     when hour(ts) < 12 then 'a.csv' else 'b.csv' end file from events) x
+group by 1 having count(distinct file) between 1 and 2
+"""
+
+SQL_RUN_LATEST = _LATEST
+
+SQL_RUN_ELAPSED = f"""
+select run, latest, n_files, cast(latest - (select min((epoch_us(ts) // 1000)) from events) - 200.0 as double) elapsed
+from ({_LATEST}) l
+"""
+
+SQL_RUN_STATS = """
+select user_id, count(value) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std from events group by 1
+"""
+
+SQL_UNION_RESULTS = f"""
+select window_start, window_end, 'tumbling' window_type, '60 minutes' window_duration, batch_size, num_failed,
+       'reddit_like' suite from ({SQL_CHECKS_REDDIT}) a
+union all
+select window_start, window_end, 'tumbling', '1440 minutes', batch_size, num_failed, 'products_like'
+from ({_products_sql(None)}) b
+"""
+
+
 # ---------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the reddit-style suite over hourly windows of the sf0.001 events."""
@@ -246,6 +570,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "checks_products_like": q_checks_products_like,
         "verdict_rows": q_verdict_rows,
         "tagged_suite": q_tagged_suite,
+        "assign_sliding": q_assign_sliding,
+        "distinct_windows": q_distinct_windows,
+        "rows_of_window": q_rows_of_window,
+        "collect_rows": q_collect_rows,
+        "json_decode": q_json_decode,
+        "epoch_ms": q_epoch_ms,
+        "epoch_s": q_epoch_s,
+        "parse_ts": q_parse_ts,
+        "safe_cast": q_safe_cast,
+        "rename_tag": q_rename_tag,
+        "pack_messages": q_pack_messages,
+        "route_keys": q_route_keys,
+        "window_labels": q_window_labels,
+        "batches": q_batches,
+        "batch_markers": q_batch_markers,
+        "segments": q_segments,
+        "source_totals": q_source_totals,
+        "run_summary": q_run_summary,
+        "run_latest": q_run_latest,
+        "run_elapsed": q_run_elapsed,
+        "run_stats": q_run_stats,
+        "union_results": q_union_results,
     }
 
 
@@ -260,4 +606,26 @@ def oracle_sql() -> dict[str, str]:
         "checks_products_like": SQL_CHECKS_PRODUCTS,
         "verdict_rows": SQL_VERDICT_ROWS,
         "tagged_suite": SQL_TAGGED,
+        "assign_sliding": SQL_ASSIGN_SLIDING,
+        "distinct_windows": SQL_DISTINCT_WINDOWS,
+        "rows_of_window": SQL_ROWS_OF_WINDOW,
+        "collect_rows": SQL_COLLECT_ROWS,
+        "json_decode": SQL_JSON_DECODE,
+        "epoch_ms": SQL_EPOCH_MS,
+        "epoch_s": SQL_EPOCH_S,
+        "parse_ts": SQL_PARSE_TS,
+        "safe_cast": SQL_SAFE_CAST,
+        "rename_tag": SQL_RENAME_TAG,
+        "pack_messages": SQL_PACK_MESSAGES,
+        "route_keys": SQL_ROUTE_KEYS,
+        "window_labels": SQL_WINDOW_LABELS,
+        "batches": SQL_BATCHES,
+        "batch_markers": SQL_BATCH_MARKERS,
+        "segments": SQL_SEGMENTS,
+        "source_totals": SQL_SOURCE_TOTALS,
+        "run_summary": SQL_RUN_SUMMARY,
+        "run_latest": SQL_RUN_LATEST,
+        "run_elapsed": SQL_RUN_ELAPSED,
+        "run_stats": SQL_RUN_STATS,
+        "union_results": SQL_UNION_RESULTS,
     }
