@@ -25,7 +25,13 @@ from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_s
                                      segment_by_marker, source_totals)
 from winsight.operators.suite import union_results, window_result
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
-from winsight.sources.messages import decode_json, to_messages
+from winsight.monitor import Monitor
+from winsight.session import scratch_path
+from winsight.sources.files import read_records_csv, read_run_start, read_timings_csv, read_values_text
+from winsight.sources.messages import decode_json, stream_table, to_messages
+from winsight.sources.sinks import append_summary, write_results
+from winsight.streaming.suites import run_available
+from winsight.streaming.summary import SummaryStream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 ALLOWED = ("click", "view")
@@ -116,6 +122,76 @@ def q_verdict_rows(spark, sf_dir):
     return suite.verdict_rows(res).withColumn("value", F.round("value", 6))
 
 
+# ---------------------------------------------------------------- streaming
+def q_stream_tumbling(spark, sf_dir):
+    mon = Monitor(HOUR, time_column="ts", wait_for_late=0, source=stream_table(spark, sf_dir, "events"))
+    for name, m in BASIC.items():
+        mon.add(m, name)
+    return run_available(spark, mon.plan(), "stream_tumbling")
+
+
+def q_stream_session(spark, sf_dir):
+    mon = (Monitor(WindowSpec.session("120 minutes"), time_column="ts", tags=("user_id",),
+                   source=stream_table(spark, sf_dir, "events"))
+           .add(M.size(), "n").add(M.max("value"), "mx").add(M.min("value"), "mn"))
+    return run_available(spark, mon.plan(), "stream_session")
+
+
+def q_stream_summary(spark, sf_dir):
+    summary = SummaryStream(spark, MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
+    q = summary.start(messages_of(stream_table(spark, sf_dir, "events")), trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return summary.result().drop("batch_id")
+
+
+# ---------------------------------------------------------------- files
+def q_csv_roundtrip(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "records_csv")
+    write_results(ev, path, "csv")
+    return read_records_csv(spark, path, ev.schema)
+
+
+def q_timings_csv(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "timings")
+    (ev.select("event_id", "user_id", _ms("ts").alias("timestamp"), F.col("event_type").alias("run"))
+       .write.partitionBy("run").option("header", False).csv(path))
+    t = read_timings_csv(spark, path, "three")
+    t = t.withColumn("run", F.regexp_extract("file", "run=([^/]+)/", 1))
+    return t.groupBy("run").agg(F.max("timestamp").alias("latest"), F.count(F.lit(1)).alias("n"))
+
+
+def q_text_values(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "values_txt")
+    (ev.select(F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("line"),
+               F.col("event_type").alias("run")).write.partitionBy("run").text(path))
+    vals = read_values_text(spark, path).withColumn("run", F.regexp_extract("file", "run=([^/]+)/", 1))
+    st = run_stats(vals, "run", "value")
+    return st.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+def q_run_report(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "run_report")
+    ev.agg(F.min(_ms("ts")).cast("string").alias("start")).write.json(path)
+    # one report object -> one aggregate row: a proven size bound for the broadcast
+    start = read_run_start(spark, path).agg(F.min("start").alias("start")).withColumn("_one", F.lit(1))
+    latest = latest_by_run(_timings(spark, sf_dir)).withColumn("_one", F.lit(1))
+    joined = latest.join(F.broadcast(start), "_one").drop("_one")
+    return run_elapsed(joined, F.col("start"), elements=100, sleep=2.0).drop("start")
+
+
+def q_summary_csv(spark, sf_dir):
+    summary = run_summary(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
+    path = scratch_path(spark, "summary_csv")
+    append_summary(summary, path, "csv")
+    return spark.read.schema(summary.schema).option("header", True).csv(path)
+
+
 # ---------------------------------------------------------------- oracles
 _HOUR = "time_bucket(interval 1 hour, ts, timestamp '1970-01-01')"
 
@@ -358,10 +434,9 @@ def q_batch_markers(spark, sf_dir):
     return batch_markers(assign_batches(_t(spark, sf_dir, "events").select("event_id"), "event_id", SIZES))
 
 
-def event_messages(spark, sf_dir) -> DataFrame:
+def messages_of(ev: DataFrame) -> DataFrame:
     """events as a one-partition result topic: offset = event_id, key = event_type,
     'signup' rows are batch markers; value carries timing / marker fields."""
-    ev = _t(spark, sf_dir, "events")
     ms = _ms("ts")
     value = F.to_json(F.struct(
         (ms - F.col("user_id")).alias("time"),
@@ -373,6 +448,10 @@ def event_messages(spark, sf_dir) -> DataFrame:
                      F.timestamp_micros(to_micros(F.col("ts"), T.TimestampNTZType())).alias("timestamp"))
 
 
+def event_messages(spark, sf_dir) -> DataFrame:
+    return messages_of(_t(spark, sf_dir, "events"))
+
+
 def q_segments(spark, sf_dir):
     msgs = classify(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE)
     return segment_by_marker(msgs).select("offset", "segment")
@@ -553,6 +632,41 @@ from ({_products_sql(None)}) b
 """
 
 
+SQL_STREAM_TUMBLING = f"select * from ({SQL_TUMBLING}) x where window_end <= (select max(ts) from events)"
+
+SQL_STREAM_SESSION = _SESSIONS + """
+select * from (select user_id, min(ts) window_start, max(ts) + interval 2 hour window_end, count(*) n,
+                      max(value) mx, min(value) mn from b group by user_id, sid) x
+where window_end <= (select max(ts) from events)
+"""
+
+SQL_STREAM_SUMMARY = _MSGS + """,
+m as (select segment, event_id "offset", event_id blast_id, user_id blast_size,
+             (epoch_us(ts) // 1000) - 1000 blast_start_time,
+             case when value > 10 then (epoch_us(ts) // 1000) else -1 end blast_end_time
+      from e where event_type = 'signup')
+select 0 "partition", "offset", t.source tool, blast_id, blast_size, blast_start_time, blast_end_time,
+       number_of_windows, max_timestamp, processing_time, 'tumbling_1 minutes' window_setting,
+       '8' number_of_cores, '1' number_of_threads, '8G' memory_limit, 'kafka' experiment_type
+from m join t on m.segment = t.segment where max_timestamp > 0
+"""
+
+SQL_CSV_ROUNDTRIP = "select event_id, ts, user_id, event_type, value, props from events"
+
+SQL_TIMINGS_CSV = """
+select event_type run, max(epoch_us(ts) // 1000) latest, count(*) n from events group by 1
+"""
+
+SQL_TEXT_VALUES = """
+select event_type run, count(value) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std
+from events group by 1
+"""
+
+SQL_RUN_REPORT = SQL_RUN_ELAPSED
+
+SQL_SUMMARY_CSV = SQL_RUN_SUMMARY
+
+
 # ---------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the reddit-style suite over hourly windows of the sf0.001 events."""
@@ -592,6 +706,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_elapsed": q_run_elapsed,
         "run_stats": q_run_stats,
         "union_results": q_union_results,
+        "stream_tumbling": q_stream_tumbling,
+        "stream_session": q_stream_session,
+        "stream_summary": q_stream_summary,
+        "csv_roundtrip": q_csv_roundtrip,
+        "timings_csv": q_timings_csv,
+        "text_values": q_text_values,
+        "run_report": q_run_report,
+        "summary_csv": q_summary_csv,
     }
 
 
@@ -628,4 +750,12 @@ def oracle_sql() -> dict[str, str]:
         "run_elapsed": SQL_RUN_ELAPSED,
         "run_stats": SQL_RUN_STATS,
         "union_results": SQL_UNION_RESULTS,
+        "stream_tumbling": SQL_STREAM_TUMBLING,
+        "stream_session": SQL_STREAM_SESSION,
+        "stream_summary": SQL_STREAM_SUMMARY,
+        "csv_roundtrip": SQL_CSV_ROUNDTRIP,
+        "timings_csv": SQL_TIMINGS_CSV,
+        "text_values": SQL_TEXT_VALUES,
+        "run_report": SQL_RUN_REPORT,
+        "summary_csv": SQL_SUMMARY_CSV,
     }

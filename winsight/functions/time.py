@@ -97,7 +97,8 @@ def event_time(df: DataFrame, time_col: str, *, streaming: bool | None = None) -
     if isinstance(dtype, T.StringType):
         return df.withColumn(time_col, parse_ts(time_col))
     if streaming and isinstance(dtype, T.TimestampNTZType):
-        return df.withColumn(time_col, F.col(time_col).cast("timestamp"))
+        # same epoch micros, so windows align exactly as in batch, whatever the zone
+        return df.withColumn(time_col, F.timestamp_micros(to_micros(F.col(time_col), dtype)))
     if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         raise TypeError(f"time column {time_col!r} must be a timestamp or text, got {dtype.simpleString()}")
     return df

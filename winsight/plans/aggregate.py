@@ -160,6 +160,7 @@ def windowed_measures(df: DataFrame, spec: WindowSpec, time_col: str, measures:
     tags = list(tags)
     check_columns(df, [time_col, *tags, *[m.column for m in measures.values()]])
     streaming = df.isStreaming
+    source_type = df.schema[time_col].dataType
     df = event_time(df, time_col)
     dtype = df.schema[time_col].dataType
     used = list(dict.fromkeys([time_col, *tags, *[m.column for m in measures.values() if m.column]]))
@@ -188,4 +189,8 @@ def windowed_measures(df: DataFrame, spec: WindowSpec, time_col: str, measures:
         for u in uniq[1:]:
             extra = plan([Partial(N, F.count(F.lit(1)), "sum")], u).drop(N)
             out = null_safe_join(out, extra, tags + [WS, WE])
-    return out.select(*tags, WS, WE, *[m.value().alias(name) for name, m in measures.items()])
+    bounds = [F.col(WS), F.col(WE)]
+    if isinstance(source_type, T.TimestampNTZType) and not isinstance(dtype, T.TimestampNTZType):
+        # stream ran on session-zone timestamps: hand back the caller's type
+        bounds = [from_micros(to_micros(b, dtype), source_type).alias(n) for b, n in zip(bounds, (WS, WE))]
+    return out.select(*tags, *bounds, *[m.value().alias(name) for name, m in measures.items()])

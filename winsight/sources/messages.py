@@ -47,3 +47,18 @@ def to_messages(df: DataFrame, key: str) -> DataFrame:
 def write_messages(df: DataFrame, topic: str, options: dict) -> None:
     """K2 sink for batch frames (streaming frames use ``writeStream.format('kafka')``)."""
     df.write.format("kafka").options(**options).option("topic", topic).save()
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream the parquet file(s) of one table out of a shared folder.
+
+    The file source wants a folder, so the folder is watched with a glob
+    filter selecting the table's file(s).
+    """
+    if schema is None:
+        schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(folder)

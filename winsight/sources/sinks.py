@@ -20,7 +20,8 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "appen
     """K1/K4: append result or summary rows (headered CSV by default)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True).option("timestampNTZFormat", NTZ_FORMAT)
+        w = (w.option("header", True).option("timestampNTZFormat", NTZ_FORMAT)
+              .option("quote", '"').option("escape", '"'))
     w.save(path)
 
 
