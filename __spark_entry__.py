@@ -41,9 +41,16 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_amount(df: DataFrame) -> DataFrame:
+    """``amount``: the two-decimal ``value`` as an exact decimal, so sums and
+    means do not depend on the order Spark adds partial results."""
+    return df.withColumn("amount", F.col("value").cast("decimal(12,2)"))
+
+
 def _events_with_gaps(spark, sf_dir) -> DataFrame:
-    """events plus ``kind``: event_type with 'error' read as missing."""
-    return _t(spark, sf_dir, "events").withColumn("kind", F.nullif(F.col("event_type"), F.lit("error")))
+    """events plus ``kind`` (event_type with 'error' read as missing) and ``amount``."""
+    ev = _t(spark, sf_dir, "events").withColumn("kind", F.nullif(F.col("event_type"), F.lit("error")))
+    return _with_amount(ev)
 
 
 # ---------------------------------------------------------------- suites
@@ -74,11 +81,10 @@ def q_session_unique(spark, sf_dir):
 def q_measures_all(spark, sf_dir):
     ms = {
         "n": M.size(), "cnt": M.count("kind"), "mx": M.max("value"), "mn": M.min("value"),
-        "avg_value": M.mean("value"), "uniq": M.fraction_of_unique("user_id"),
+        "avg_value": M.mean("amount"), "uniq": M.fraction_of_unique("user_id"),
         "conf": M.fraction_of_set_conformance("kind", ALLOWED), "compl": M.completeness("kind"),
     }
-    out = windowed_measures(_events_with_gaps(spark, sf_dir), WindowSpec.tumbling("1440 minutes"), "ts", ms)
-    return out.withColumn("avg_value", F.round("avg_value", 6))
+    return windowed_measures(_events_with_gaps(spark, sf_dir), WindowSpec.tumbling("1440 minutes"), "ts", ms)
 
 
 def reddit_like_suite() -> Suite:
@@ -86,7 +92,7 @@ def reddit_like_suite() -> Suite:
             .is_complete("kind", name="id_complete")
             .is_unique("user_id", name="id_unique")
             .has_min("value", lambda v: v >= 1, name="min_value")
-            .has_mean("value", lambda v: v < 50, name="mean_value")
+            .has_mean("amount", lambda v: v < 50, name="mean_value")
             .has_completeness("kind", lambda v: v > 0.9, name="kind_completeness"))
 
 
@@ -100,8 +106,7 @@ def products_like_suite() -> Suite:
 
 
 def q_checks_reddit_like(spark, sf_dir):
-    out = reddit_like_suite().evaluate(_events_with_gaps(spark, sf_dir), WindowSpec.tumbling("60 minutes"), "ts")
-    return out.withColumn("mean_value", F.round("mean_value", 6))
+    return reddit_like_suite().evaluate(_events_with_gaps(spark, sf_dir), WindowSpec.tumbling("60 minutes"), "ts")
 
 
 def q_checks_products_like(spark, sf_dir):
@@ -110,16 +115,15 @@ def q_checks_products_like(spark, sf_dir):
 
 
 def q_tagged_suite(spark, sf_dir):
-    ms = {"n": M.size(), "mx": M.max("value"), "avg_value": M.mean("value"), "uniq": M.fraction_of_unique("user_id")}
-    out = windowed_measures(_t(spark, sf_dir, "events"), WindowSpec.tumbling("360 minutes"), "ts", ms,
-                            tags=["event_type"])
-    return out.withColumn("avg_value", F.round("avg_value", 6))
+    ms = {"n": M.size(), "mx": M.max("value"), "avg_value": M.mean("amount"), "uniq": M.fraction_of_unique("user_id")}
+    return windowed_measures(_with_amount(_t(spark, sf_dir, "events")), WindowSpec.tumbling("360 minutes"), "ts", ms,
+                             tags=["event_type"])
 
 
 def q_verdict_rows(spark, sf_dir):
     suite = reddit_like_suite()
     res = suite.evaluate(_events_with_gaps(spark, sf_dir), WindowSpec.tumbling("60 minutes"), "ts")
-    return suite.verdict_rows(res).withColumn("value", F.round("value", 6))
+    return suite.verdict_rows(res)
 
 
 # ---------------------------------------------------------------- streaming
@@ -170,8 +174,8 @@ def q_text_values(spark, sf_dir):
     (ev.select(F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("line"),
                F.col("event_type").alias("run")).write.partitionBy("run").text(path))
     vals = read_values_text(spark, path).withColumn("run", F.regexp_extract("file", "run=([^/]+)/", 1))
-    st = run_stats(vals, "run", "value")
-    return st.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    st = run_stats(_with_amount(vals), "run", "amount")
+    return st.withColumn("std", F.round("std", 6))
 
 
 def q_run_report(spark, sf_dir):
@@ -236,15 +240,16 @@ select user_id, min(t) window_start, max(tx) + interval 2 hour window_end, cast(
 from d group by user_id, sid
 """
 
-_GAPS = "(select *, nullif(event_type, 'error') kind from events where ts is not null)"
+_GAPS = ("(select *, nullif(event_type, 'error') kind, cast(value as decimal(12, 2)) amount "
+         "from events where ts is not null)")
 
 SQL_MEASURES_ALL = f"""
 with p as (select time_bucket(interval 1 day, ts, timestamp '1970-01-01') ws, user_id, count(*) c,
-                  count(kind) nn, max(value) mx, min(value) mn, sum(value) sv, count(value) nv,
+                  count(kind) nn, max(value) mx, min(value) mn, sum(amount) sv, count(amount) nv,
                   count(*) filter (where kind in ('click','view')) ok
            from {_GAPS} g group by 1, 2)
 select ws window_start, ws + interval 1 day window_end, cast(sum(c) as bigint) n, cast(sum(nn) as bigint) cnt,
-       max(mx) mx, min(mn) mn, round(sum(sv) / nullif(sum(nv), 0), 6) avg_value,
+       max(mx) mx, min(mn) mn, cast(sum(sv) as double) / nullif(sum(nv), 0) avg_value,
        sum(case when user_id is not null and c = 1 then 1 else 0 end)
          / nullif(sum(case when user_id is not null then c else 0 end), 0) uniq,
        sum(ok) / nullif(sum(nn), 0) conf, sum(nn) / sum(c) compl
@@ -252,13 +257,14 @@ from p group by 1
 """
 
 _REDDIT_MEASURES = f"""
-with p as (select {_HOUR} ws, user_id, count(*) c, count(kind) nn, min(value) mn, sum(value) sv, count(value) nv
+with p as (select {_HOUR} ws, user_id, count(*) c, count(kind) nn, min(value) mn, sum(amount) sv, count(amount) nv
            from {_GAPS} g group by 1, 2),
 w as (select ws, cast(sum(c) as bigint) batch_size,
              sum(nn) / sum(c) id_complete,
              sum(case when user_id is not null and c = 1 then 1 else 0 end)
                / nullif(sum(case when user_id is not null then c else 0 end), 0) id_unique,
-             min(mn) min_value, sum(sv) / nullif(sum(nv), 0) mean_value_raw, sum(nn) / sum(c) kind_completeness
+             min(mn) min_value, cast(sum(sv) as double) / nullif(sum(nv), 0) mean_value_raw,
+             sum(nn) / sum(c) kind_completeness
       from p group by 1),
 v as (select *, coalesce(id_complete = 1, false) id_complete_ok, coalesce(id_unique = 1, false) id_unique_ok,
              coalesce(min_value >= 1, false) min_value_ok, coalesce(mean_value_raw < 50, false) mean_value_ok,
@@ -267,7 +273,7 @@ v as (select *, coalesce(id_complete = 1, false) id_complete_ok, coalesce(id_uni
 
 SQL_CHECKS_REDDIT = _REDDIT_MEASURES + """
 select ws window_start, ws + interval 1 hour window_end, batch_size, id_complete, id_unique, min_value,
-       round(mean_value_raw, 6) mean_value, kind_completeness, id_complete_ok, id_unique_ok, min_value_ok,
+       mean_value_raw mean_value, kind_completeness, id_complete_ok, id_unique_ok, min_value_ok,
        mean_value_ok, kind_completeness_ok,
        cast((not id_complete_ok)::int + (not id_unique_ok)::int + (not min_value_ok)::int
             + (not mean_value_ok)::int + (not kind_completeness_ok)::int as bigint) num_failed
@@ -275,11 +281,11 @@ from v
 """
 
 SQL_VERDICT_ROWS = _REDDIT_MEASURES + """
-select ws window_start, ws + interval 1 hour window_end, 'id_complete' "constraint", round(cast(id_complete as double), 6) "value", id_complete_ok ok from v
-union all select ws, ws + interval 1 hour, 'id_unique', round(cast(id_unique as double), 6), id_unique_ok from v
-union all select ws, ws + interval 1 hour, 'min_value', round(cast(min_value as double), 6), min_value_ok from v
-union all select ws, ws + interval 1 hour, 'mean_value', round(cast(mean_value_raw as double), 6), mean_value_ok from v
-union all select ws, ws + interval 1 hour, 'kind_completeness', round(cast(kind_completeness as double), 6), kind_completeness_ok from v
+select ws window_start, ws + interval 1 hour window_end, 'id_complete' "constraint", cast(id_complete as double) "value", id_complete_ok ok from v
+union all select ws, ws + interval 1 hour, 'id_unique', cast(id_unique as double), id_unique_ok from v
+union all select ws, ws + interval 1 hour, 'min_value', cast(min_value as double), min_value_ok from v
+union all select ws, ws + interval 1 hour, 'mean_value', cast(mean_value_raw as double), mean_value_ok from v
+union all select ws, ws + interval 1 hour, 'kind_completeness', cast(kind_completeness as double), kind_completeness_ok from v
 """
 
 def _products_sql(tag: str | None, bucket: str = "1 day") -> str:
@@ -311,10 +317,10 @@ SQL_CHECKS_PRODUCTS = _products_sql("user_id")
 
 SQL_TAGGED = """
 with p as (select event_type, time_bucket(interval 6 hour, ts, timestamp '1970-01-01') ws, user_id, count(*) c,
-                  max(value) mx, sum(value) sv, count(value) nv
+                  max(value) mx, sum(cast(value as decimal(12, 2))) sv, count(value) nv
            from events where ts is not null group by 1, 2, 3)
 select event_type, ws window_start, ws + interval 6 hour window_end, cast(sum(c) as bigint) n, max(mx) mx,
-       round(sum(sv) / nullif(sum(nv), 0), 6) avg_value,
+       cast(sum(sv) as double) / nullif(sum(nv), 0) avg_value,
        sum(case when user_id is not null and c = 1 then 1 else 0 end)
          / nullif(sum(case when user_id is not null then c else 0 end), 0) uniq
 from p group by 1, 2
@@ -486,8 +492,8 @@ def q_run_elapsed(spark, sf_dir):
 
 
 def q_run_stats(spark, sf_dir):
-    st = run_stats(_t(spark, sf_dir, "events"), "user_id", "value")
-    return st.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    st = run_stats(_with_amount(_t(spark, sf_dir, "events")), "user_id", "amount")
+    return st.withColumn("std", F.round("std", 6))
 
 
 def q_union_results(spark, sf_dir):
@@ -620,7 +626,9 @@ from ({_LATEST}) l
 """
 
 SQL_RUN_STATS = """
-select user_id, count(value) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std from events group by 1
+select user_id, count(value) n, cast(sum(cast(value as decimal(12, 2))) as double) / count(value) mean,
+       round(stddev_pop(cast(value as decimal(12, 2))), 6) std
+from events group by 1
 """
 
 SQL_UNION_RESULTS = f"""
@@ -658,7 +666,8 @@ select event_type run, max(epoch_us(ts) // 1000) latest, count(*) n from events
 """
 
 SQL_TEXT_VALUES = """
-select event_type run, count(value) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std
+select event_type run, count(value) n, cast(sum(cast(value as decimal(12, 2))) as double) / count(value) mean,
+       round(stddev_pop(cast(value as decimal(12, 2))), 6) std
 from events group by 1
 """
 

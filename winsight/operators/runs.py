@@ -99,5 +99,8 @@ def run_elapsed(latest: DataFrame, start: Column | int, elements: int, sleep: fl
 
 def run_stats(values: DataFrame, run_col: str = "run", value_col: str = "value") -> DataFrame:
     """Mean and population standard deviation per run."""
-    return values.groupBy(run_col).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("mean"),
-                                       F.stddev_pop(value_col).alias("std"))
+    v = F.col(value_col)
+    # sum / count rather than avg: exact for decimal input, and the same double for any summation order
+    return values.groupBy(run_col).agg(
+        F.count(v).alias("n"), (F.sum(v).cast("double") / F.nullif(F.count(v), F.lit(0))).alias("mean"),
+        F.stddev_pop(v.cast("double")).alias("std"))
