@@ -68,6 +68,12 @@ def q_sliding_suite(spark, sf_dir):
     return windowed_measures(_t(spark, sf_dir, "events"), WindowSpec.sliding("60 minutes", "15 minutes"), "ts", BASIC)
 
 
+def q_sliding_measures(spark, sf_dir):
+    """Mergeable measures only: the pane plan (rows aggregated once, panes fanned out)."""
+    ms = {k: v for k, v in BASIC.items() if k != "uniq"}
+    return windowed_measures(_t(spark, sf_dir, "events"), WindowSpec.sliding("60 minutes", "15 minutes"), "ts", ms)
+
+
 def q_session_counts(spark, sf_dir):
     return windowed_measures(_t(spark, sf_dir, "events"), WindowSpec.session("120 minutes"), "ts",
                              {"n": M.size()}, tags=["user_id"])
@@ -210,6 +216,14 @@ select ws window_start, ws + interval 1 hour window_end, cast(sum(c) as bigint)
 from p group by 1
 """
 
+SQL_SLIDING_MEASURES = """
+with x as (select *, time_bucket(interval 15 minute, ts, timestamp '1970-01-01') - to_minutes(15 * k) ws
+           from events, range(4) r(k) where ts is not null)
+select ws window_start, ws + interval 1 hour window_end, count(*) n, max(value) mx, min(value) mn,
+       count(*) filter (where event_type in ('click','view')) / count(*) frac
+from x group by 1
+"""
+
 SQL_SLIDING = """
 with x as (select *, time_bucket(interval 15 minute, ts, timestamp '1970-01-01') - to_minutes(15 * k) ws
            from events, range(4) r(k) where ts is not null),
@@ -686,6 +700,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tumbling_suite": q_tumbling_suite,
         "sliding_suite": q_sliding_suite,
+        "sliding_measures": q_sliding_measures,
         "session_counts": q_session_counts,
         "session_unique": q_session_unique,
         "measures_all": q_measures_all,
@@ -730,6 +745,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "tumbling_suite": SQL_TUMBLING,
         "sliding_suite": SQL_SLIDING,
+        "sliding_measures": SQL_SLIDING_MEASURES,
         "session_counts": SQL_SESSION_COUNTS,
         "session_unique": SQL_SESSION_UNIQUE,
         "measures_all": SQL_MEASURES_ALL,

@@ -78,6 +78,17 @@ def _uniq(ids):
     return None if nn == 0 else sum(1 for v in c.values() if v == 1) / nn
 
 
+@pytest.mark.parametrize("d,s", [(10, 5), (10, 4), (7, 3), (9, 6)])
+def test_sliding_panes_mergeable_only(spark, d, s):
+    df = spark.createDataFrame(_random_rows(300, d * 7 + s), SCHEMA)
+    ms = {k: v for k, v in MS.items() if k != "uniq"}
+    ours = windowed_measures(df, WindowSpec.sliding(f"{d} minutes", f"{s} minutes"), "ts", ms, tags=["tag"])
+    plan = ours._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Expand" not in plan  # panes fanned out, rows not replicated
+    theirs = _native(df, F.window("ts", f"{d} minutes", f"{s} minutes"), ["tag"]).drop("uniq")
+    _same(ours, theirs)
+
+
 @pytest.mark.parametrize("gap", ["1 minutes", "5 minutes", "30 minutes"])
 def test_bucketed_sessions_match_session_window(spark, gap):
     df = spark.createDataFrame(_random_rows(400, len(gap), span_s=4 * 3600), SCHEMA)

@@ -5,7 +5,7 @@ present; every level below the first works on partials, never on rows):
 
 * tumbling            ``groupBy(tags, window(ts, d))``                      1 level
 * sliding, batch      rows -> panes of gcd(d, s) -> windows                 2 levels
-* sliding, stream     ``groupBy(tags, window(ts, d, s))``                   1 level
+* sliding, stream, or with uniqueness: ``groupBy(tags, window(ts, d, s))`` 1 level
 * session, batch      rows -> gap-sized buckets -> sessions (see sessions)  2 levels
 * session, stream     ``groupBy(tags, session_window(ts, gap))``            1 level
 * + uniqueness        one more level keyed by the value; the value level is
@@ -174,7 +174,11 @@ def windowed_measures(df: DataFrame, spec: WindowSpec, time_col: str, measures:
     partials = collect_partials(measures.values())
 
     def plan(parts, u):
-        if spec.kind == "tumbling" or (spec.kind == "sliding" and streaming):
+        # Sliding windows: panes aggregate every row once, which wins for
+        # mergeable measures.  With a uniqueness measure the (window, value)
+        # level must be built anyway, and a pane level in front of it only adds
+        # a shuffle when values rarely repeat, so Spark's window() is used.
+        if spec.kind == "tumbling" or (spec.kind == "sliding" and (streaming or u)):
             return _plan_time_window(df, spec, time_col, tags, parts, u)
         if spec.kind == "sliding":
             return _plan_panes(df, spec, time_col, tags, parts, u, dtype)

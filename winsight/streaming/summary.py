@@ -44,15 +44,19 @@ class SummaryStream:
         return self.spark.read.schema(schema).parquet(f"{self.carry_dir}/batch_id={batch_id - 1}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read twice below; the source can replay it if an executor is lost
+        """foreachBatch body: summaries of the segments this batch closes, and the new carry.
+
+        The segmented batch is read by both writes, so it is persisted for the
+        duration of the call (the source replays it if an executor is lost).
+        """
+        seg = segment_by_marker(classify(batch, self.marker_key, self.sources, self.default),
+                                partition_cols=self.parts).persist()
         try:
-            self._process(batch, batch_id)
+            self._summarise(seg, batch, batch_id)
         finally:
-            batch.unpersist()
+            seg.unpersist()
 
-    def _process(self, batch: DataFrame, batch_id: int) -> None:
-        seg = segment_by_marker(classify(batch, self.marker_key, self.sources, self.default),
-                                partition_cols=self.parts)
+    def _summarise(self, seg: DataFrame, batch: DataFrame, batch_id: int) -> None:
         schema = self._carry_schema(batch)
         carry = self._read_carry(batch_id, schema).withColumn("segment", F.lit(0).cast("long"))
         local = source_totals(seg, self.parts)
