@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from winsight import Suite, WindowSpec, windowed_measures
 from winsight.functions.casts import rename_if_present, safe_cast, tag_constants
 from winsight.functions.labels import route_by_key, window_label
-from winsight.functions.time import epoch_ms, epoch_s, floor_div, parse_ts, to_micros
+from winsight.functions.time import epoch_ms, epoch_s, floor_div, from_micros, parse_ts, to_micros
 from winsight.operators import measures as M
 from winsight.operators.batches import assign_batches, batch_markers
 from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_stats, run_summary,
@@ -384,22 +384,29 @@ def q_json_decode(spark, sf_dir):
     return decode_json(msgs, schema, keep=["event_id"])
 
 
+def _utc_wall_clock(c):
+    """Present an instant as its UTC wall-clock time (zone-free, like DuckDB's TIMESTAMP)."""
+    return from_micros(to_micros(c, T.TimestampType()), T.TimestampNTZType())
+
+
 def q_epoch_ms(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select("event_id", _ms("ts").alias("ms"))
-    return ev.select("event_id", "ms", epoch_ms("ms").alias("ts_ms"))
+    return ev.select("event_id", "ms", _utc_wall_clock(epoch_ms("ms")).alias("ts_ms"))
 
 
 def q_epoch_s(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select(
         "event_id", floor_div(to_micros(F.col("ts"), T.TimestampNTZType()), 1_000_000).alias("s"))
-    return ev.select("event_id", "s", epoch_s("s").alias("ts_s"))
+    return ev.select("event_id", "s", _utc_wall_clock(epoch_s("s")).alias("ts_s"))
 
 
 def q_parse_ts(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     text = F.when(F.col("event_type") == "error", F.lit("bad")) \
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")).alias("text")
-    return ev.select("event_id", text).select("event_id", "text", parse_ts("text").alias("parsed"))
+    # the text is a wall-clock time, so it is read back as one (no session-zone shift)
+    return ev.select("event_id", text).select("event_id", "text",
+                                              parse_ts("text").cast("timestamp_ntz").alias("parsed"))
 
 
 def q_safe_cast(spark, sf_dir):

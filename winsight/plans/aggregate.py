@@ -120,7 +120,9 @@ def _plan_session_batch(df, spec: WindowSpec, ts, tags, partials, u, dtype):
     parts = list(partials) + bounds
     lvl = df.groupBy(*tags, b, *_extra(tags, u)).agg(*[p.expr.alias(p.name) for p in parts])
     if u:
-        buckets = lvl.groupBy(*tags, "_b").agg(F.min("_tmin").alias("_tmin"), F.max("_tmax").alias("_tmax"))
+        # bucket bounds straight from the scan: two columns, combined map-side to
+        # one row per (tag, bucket) -- cheaper than re-grouping the value level
+        buckets = df.groupBy(*tags, b).agg(F.min(us).alias("_tmin"), F.max(us).alias("_tmax"))
         sess = session_ids(buckets, tags, g).select(*tags, "_b", "_sid")
         lvl = null_safe_join(lvl, sess, list(tags) + ["_b"])
     else:
