@@ -373,7 +373,7 @@ def q_collect_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest and casts
 def _ms(c):
-    return floor_div(to_micros(F.col(c), T.TimestampNTZType()), 1000)
+    return floor_div(to_micros(c, T.TimestampNTZType()), 1000)
 
 
 def q_json_decode(spark, sf_dir):
@@ -396,7 +396,7 @@ def q_epoch_ms(spark, sf_dir):
 
 def q_epoch_s(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select(
-        "event_id", floor_div(to_micros(F.col("ts"), T.TimestampNTZType()), 1_000_000).alias("s"))
+        "event_id", floor_div(to_micros("ts", T.TimestampNTZType()), 1_000_000).alias("s"))
     return ev.select("event_id", "s", _utc_wall_clock(epoch_s("s")).alias("ts_s"))
 
 
@@ -464,7 +464,8 @@ def q_batch_markers(spark, sf_dir):
 def messages_of(ev: DataFrame) -> DataFrame:
     """events as a one-partition result topic: offset = event_id, key = event_type,
     'signup' rows are batch markers; value carries timing / marker fields."""
-    ms = _ms("ts")
+    ev = ev.withColumn("_ms", _ms("ts"))
+    ms = F.col("_ms")
     value = F.to_json(F.struct(
         (ms - F.col("user_id")).alias("time"),
         F.when(F.col("event_type") == "click", F.floor("value")).alias("checkingTimeMs"),
@@ -472,7 +473,7 @@ def messages_of(ev: DataFrame) -> DataFrame:
         (ms - 1000).alias("blast_start_time"), F.when(F.col("value") > 10, ms).alias("blast_end_time")))
     return ev.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
                      F.col("event_type").cast("binary").alias("key"), value.alias("value"),
-                     F.timestamp_micros(to_micros(F.col("ts"), T.TimestampNTZType())).alias("timestamp"))
+                     F.timestamp_millis(ms).alias("timestamp"))
 
 
 def event_messages(spark, sf_dir) -> DataFrame:

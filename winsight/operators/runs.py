@@ -28,9 +28,6 @@ MARKER_FIELDS = T.StructType([
     T.StructField("blast_end_time", T.LongType()),
 ])
 
-SUMMARY_COLUMNS = ("tool", "blast_id", "blast_size", "blast_start_time", "blast_end_time",
-                   "number_of_windows", "max_timestamp", "processing_time")
-
 
 def classify(messages: DataFrame, marker_key: str, sources, default: str) -> DataFrame:
     """P8 + P9: add ``is_marker``, ``source`` and ``arrival`` (epoch ms)."""
@@ -67,19 +64,73 @@ def markers(segmented: DataFrame, partition_cols=("partition",), segment: str =
         *[F.coalesce(f[n], F.lit(-1)).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
 
 
+def weighted_rows(segmented: DataFrame, partition_cols=("partition",), segment: str = "segment") -> DataFrame:
+    """Rows ready for :func:`segment_summaries`: weight 1, arrival, processing
+    time (results) or marker fields (markers).  JSON is parsed only for the
+    rows that need it."""
+    m = F.col("is_marker")
+    res = F.from_json(F.col("value").cast("string"), RESULT_FIELDS)
+    mk = F.from_json(F.col("value").cast("string"), MARKER_FIELDS)
+    return segmented.select(
+        *partition_cols, segment, "is_marker", "offset", "source", F.lit(1).cast("long").alias("_w"),
+        F.col("arrival").cast("long").alias("_arr"),
+        F.when(~m, F.coalesce(res["checkingTimeMs"], F.col("arrival") - res["time"])).cast("long").alias("_proc"),
+        *[F.when(m, mk[n]).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
+
+
+def segment_summaries(rows: DataFrame, sources, partition_cols=("partition",), segment: str = "segment") -> DataFrame:
+    """One row per (partition, segment): per-source totals as conditional
+    aggregates over the fixed source list, and the closing marker's fields.
+
+    A segment holds at most one marker (the one that closes it), so no join
+    is needed to put marker and totals side by side.
+    """
+    aggs = []
+    for i, name in enumerate(sources):
+        sel = ~F.col("is_marker") & (F.col("source") == F.lit(name))
+        aggs += [F.sum(F.when(sel, F.col("_w"))).alias(f"_n{i}"), F.max(F.when(sel, F.col("_arr"))).alias(f"_m{i}"),
+                 F.sum(F.when(sel, F.col("_proc"))).alias(f"_p{i}")]
+    m = F.col("is_marker")
+    aggs += [F.max(m.cast("int")).alias("_closed"), F.max(F.when(m, F.col("offset"))).alias("offset")]
+    aggs += [F.max(n).alias(n) for n in MARKER_FIELDS.fieldNames()]
+    return rows.groupBy(*partition_cols, segment).agg(*aggs)
+
+
+def per_source(summaries: DataFrame, sources) -> DataFrame:
+    """Unpivot :func:`segment_summaries` to one row per source (all sources)."""
+    items = F.array(*[F.struct(F.lit(name).alias("tool"),
+                               F.coalesce(F.col(f"_n{i}"), F.lit(0)).cast("long").alias("number_of_windows"),
+                               F.coalesce(F.col(f"_m{i}"), F.lit(-1)).cast("long").alias("max_timestamp"),
+                               F.col(f"_p{i}").cast("long").alias("processing_time"))
+                      for i, name in enumerate(sources)])
+    drop = [c for c in summaries.columns if c.startswith(("_n", "_m", "_p")) and c[2:].isdigit()]
+    return summaries.select("*", F.inline(items)).drop(*drop)
+
+
+def summary_rows(per_src: DataFrame, constants: dict | None, partition_cols=("partition",),
+                 segment: str = "segment", keep=()) -> DataFrame:
+    """Closed segments, active sources (F3), marker fields with -1 for missing, constants."""
+    consts = [F.lit(v).alias(k) for k, v in (constants or {}).items()]
+    marker = [F.coalesce(F.col(n), F.lit(-1)).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()]
+    return (per_src.where((F.col("_closed") == 1) & (F.col("max_timestamp") > 0))
+                   .select(*partition_cols, *keep, segment, "tool", *marker, "number_of_windows", "max_timestamp",
+                           "processing_time", *consts))
+
+
+def all_sources(sources, default: str) -> list[str]:
+    return list(dict.fromkeys([*sources, default]))
+
+
 def run_summary(messages: DataFrame, marker_key: str, sources, default: str, constants: dict | None = None,
                 partition_cols=("partition",)) -> DataFrame:
     """A3: one row per (marker, active source): marker fields, totals of the
     segment it closes, run constants.  A source is active when its last
-    arrival is > 0 (F3)."""
-    seg = segment_by_marker(classify(messages, marker_key, sources, default), partition_cols=partition_cols)
-    totals = source_totals(seg, partition_cols)
-    marks = markers(seg, partition_cols)
-    keys = list(partition_cols) + ["segment"]
-    out = (marks.join(totals, keys, "inner").where(F.col("max_timestamp") > 0)
-                .withColumnRenamed("source", "tool"))
-    consts = [F.lit(v).alias(k) for k, v in (constants or {}).items()]
-    return out.select(*partition_cols, "segment", *SUMMARY_COLUMNS, *consts)
+    arrival is > 0 (F3).  One segmentation pass and one grouping; no join."""
+    parts = list(partition_cols)
+    seg = segment_by_marker(classify(messages, marker_key, sources, default), partition_cols=parts)
+    names = all_sources(sources, default)
+    per_src = per_source(segment_summaries(weighted_rows(seg, parts), names, parts), names)
+    return summary_rows(per_src, constants, parts)
 
 
 # ---------------------------------------------------------------- timings

@@ -94,7 +94,7 @@ def _plan_panes(df, spec: WindowSpec, ts, tags, partials, u, dtype):
     """
     d, s = spec.duration_ms * 1000, spec.slide_ms * 1000
     g = gcd(d, s)
-    pane = floor_div(to_micros(F.col(ts), dtype), g).alias("_p")
+    pane = floor_div(to_micros(ts, dtype), g).alias("_p")
     lvl = df.groupBy(*tags, pane, *_extra(tags, u)).agg(*[p.expr.alias(p.name) for p in partials])
     p = F.col("_p")
     k_hi = floor_div(p * g, s)
@@ -114,7 +114,7 @@ def _plan_panes(df, spec: WindowSpec, ts, tags, partials, u, dtype):
 
 def _plan_session_batch(df, spec: WindowSpec, ts, tags, partials, u, dtype):
     g = spec.gap_ms * 1000
-    us = to_micros(F.col(ts), dtype)
+    us = to_micros(ts, dtype)
     b = floor_div(us, g).alias("_b")
     bounds = [Partial("_tmin", F.min(us), "min"), Partial("_tmax", F.max(us), "max")]
     parts = list(partials) + bounds

@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.runs import SUMMARY_COLUMNS, classify, markers, segment_by_marker, source_totals
+from ..operators.runs import (MARKER_FIELDS, all_sources, classify, per_source, segment_by_marker,
+                              segment_summaries, summary_rows, weighted_rows)
 from ..session import scratch_path
 
-TOTALS = ("number_of_windows", "max_timestamp", "processing_time")
-
-
 class SummaryStream:
     def __init__(self, spark: SparkSession, marker_key: str, sources, default: str, constants: dict | None = None,
                  base: str | None = None, partition_cols=("partition",)):
         self.spark = spark
         self.marker_key, self.sources, self.default = marker_key, list(sources), default
+        self.names = all_sources(sources, default)
         self.constants = dict(constants or {})
         self.parts = list(partition_cols)
         self.base = base or scratch_path(spark, "summary")
@@ -46,37 +45,29 @@ class SummaryStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch body: summaries of the segments this batch closes, and the new carry.
 
-        The segmented batch is read by both writes, so it is persisted for the
-        duration of the call (the source replays it if an executor is lost).
+        The carry enters as weighted rows of segment 0 (it precedes every row
+        of this batch).  The per-segment table is read by both writes, so it is
+        persisted for the call; the source replays the batch if it is lost.
         """
         seg = segment_by_marker(classify(batch, self.marker_key, self.sources, self.default),
-                                partition_cols=self.parts).persist()
+                                partition_cols=self.parts)
+        rows = weighted_rows(seg, self.parts)
+        carry = self._read_carry(batch_id, self._carry_schema(batch)).select(
+            *self.parts, F.lit(0).cast("long").alias("segment"), F.lit(False).alias("is_marker"),
+            F.lit(None).cast("long").alias("offset"), "source", F.col("number_of_windows").alias("_w"),
+            F.col("max_timestamp").alias("_arr"), F.col("processing_time").alias("_proc"),
+            *[F.lit(None).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
+        per_src = per_source(segment_summaries(rows.unionByName(carry), self.names, self.parts), self.names)
+        per_src = per_src.persist()
         try:
-            self._summarise(seg, batch, batch_id)
+            summary_rows(per_src, self.constants, self.parts, keep=["offset"]).drop("segment") \
+                .write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
+            (per_src.where((F.col("_closed") == 0) & (F.col("number_of_windows") > 0))
+                    .select(*self.parts, F.col("tool").alias("source"), "number_of_windows", "max_timestamp",
+                            "processing_time")
+                    .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
         finally:
-            seg.unpersist()
-
-    def _summarise(self, seg: DataFrame, batch: DataFrame, batch_id: int) -> None:
-        schema = self._carry_schema(batch)
-        carry = self._read_carry(batch_id, schema).withColumn("segment", F.lit(0).cast("long"))
-        local = source_totals(seg, self.parts)
-        keys = self.parts + ["segment", "source"]
-        totals = (local.unionByName(carry.select(*local.columns))
-                  .groupBy(*keys)
-                  .agg(F.sum("number_of_windows").cast("long").alias("number_of_windows"),
-                       F.max("max_timestamp").cast("long").alias("max_timestamp"),
-                       F.sum("processing_time").cast("long").alias("processing_time")))
-        marks = markers(seg, self.parts)
-        consts = [F.lit(v).alias(k) for k, v in self.constants.items()]
-        out = (marks.join(totals, self.parts + ["segment"], "inner").where(F.col("max_timestamp") > 0)
-                    .withColumnRenamed("source", "tool")
-                    .select(*self.parts, "offset", *SUMMARY_COLUMNS, *consts))
-        out.write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
-        closed = marks.groupBy(*self.parts).agg(F.count(F.lit(1)).alias("_closed"))
-        open_seg = (totals.join(closed, self.parts, "left")
-                          .where(F.col("segment") == F.coalesce(F.col("_closed"), F.lit(0)))
-                          .select(*[f.name for f in schema.fields]))
-        open_seg.write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}")
+            per_src.unpersist()
 
     def start(self, messages: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         return (messages.writeStream.foreachBatch(self.process)
