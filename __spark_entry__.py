@@ -188,11 +188,9 @@ def q_run_report(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     path = scratch_path(spark, "run_report")
     ev.agg(F.min(_ms("ts")).cast("string").alias("start")).write.json(path)
-    # one report object -> one aggregate row: a proven size bound for the broadcast
-    start = read_run_start(spark, path).agg(F.min("start").alias("start")).withColumn("_one", F.lit(1))
-    latest = latest_by_run(_timings(spark, sf_dir)).withColumn("_one", F.lit(1))
-    joined = latest.join(F.broadcast(start), "_one").drop("_one")
-    return run_elapsed(joined, F.col("start"), elements=100, sleep=2.0).drop("start")
+    # the report holds one start time: read it as a scalar subquery
+    start = read_run_start(spark, path).agg(F.min("start")).scalar()
+    return run_elapsed(latest_by_run(_timings(spark, sf_dir)), start, elements=100, sleep=2.0)
 
 
 def q_summary_csv(spark, sf_dir):
@@ -507,10 +505,9 @@ def q_run_latest(spark, sf_dir):
 
 def q_run_elapsed(spark, sf_dir):
     latest = latest_by_run(_timings(spark, sf_dir))
-    # one global aggregate row: a proven size bound, so broadcasting it is safe
-    start = _t(spark, sf_dir, "events").agg(F.min(_ms("ts")).alias("start")).withColumn("_one", F.lit(1))
-    joined = latest.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one").drop("_one")
-    return run_elapsed(joined, F.col("start"), elements=100, sleep=2.0).drop("start")
+    # the run start is one global aggregate: a scalar subquery, evaluated once
+    start = _t(spark, sf_dir, "events").agg(F.min(_ms("ts"))).scalar()
+    return run_elapsed(latest, start, elements=100, sleep=2.0)
 
 
 def q_run_stats(spark, sf_dir):
