@@ -108,3 +108,16 @@ def test_summary_stream_carries_open_segment(spark, tmp_path):
     cols = [c for c in want.columns if c != "segment"]
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_results_with_batch_ids(spark, tmp_path):
+    from winsight.streaming.suites import start_with_batch_ids
+    _write_batches(str(tmp_path / "in"), LINES)
+    res = windowed_measures(_stream(spark, str(tmp_path / "in")), WindowSpec.tumbling("10 seconds"), "ts",
+                            {"n": M.size()})
+    q = start_with_batch_ids(res, str(tmp_path / "out"), str(tmp_path / "chk"), trigger={"availableNow": True})
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    rows = out.select(F.unix_seconds("window_start").alias("s"), "n", "batch_id").orderBy("s").collect()
+    assert [(r.s, r.n) for r in rows] == [(0, 4), (10, 2), (30, 2)]
+    assert [r.batch_id for r in rows] == sorted(r.batch_id for r in rows) and rows[0].batch_id >= 1

@@ -73,7 +73,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 # --------------------------------------------------------------------------
 def _plan_time_window(df, spec: WindowSpec, ts, tags, partials, u):
-    """Tumbling (batch + stream) and sliding (stream): Spark's window()."""
+    """Tumbling, and sliding when streaming or measuring uniqueness: Spark's window()."""
     if spec.kind == "tumbling":
         w = F.window(ts, spark_interval(spec.duration_ms))
     else:

@@ -29,6 +29,19 @@ def start(result: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def start_with_batch_ids(result: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """R1 with ``batch_id``: each micro-batch's closed windows go to
+    ``path/batch_id=<id>`` (overwrite, so a retried batch is idempotent);
+    reading ``path`` back yields the ``batch_id`` column."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    return (result.writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
 def run_available(spark: SparkSession, result: DataFrame, name: str, fmt: str = "parquet",
                   timeout_s: float | None = None) -> DataFrame:
     """Process everything the source holds now, then read the closed windows back.
