@@ -30,6 +30,7 @@ from winsight.session import scratch_path
 from winsight.sources.files import read_records_csv, read_run_start, read_timings_csv, read_values_text
 from winsight.sources.messages import decode_json, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
+from winsight.streaming.sessions import SessionMeasures
 from winsight.streaming.suites import run_available
 from winsight.streaming.summary import SummaryStream
 
@@ -147,6 +148,17 @@ def q_stream_session(spark, sf_dir):
     return run_available(spark, mon.plan(), "stream_session")
 
 
+def q_stream_session_unique(spark, sf_dir):
+    """Session windows with uniqueness over a stream: carried bucket partials (foreachBatch)."""
+    ms = {"n": M.size(), "u": M.fraction_of_unique("event_type")}
+    proc = SessionMeasures(spark, WindowSpec.session("120 minutes"), "ts", ms, ["user_id"])
+    q = proc.start(stream_table(spark, sf_dir, "events"), trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return proc.result().drop("batch_id")
+
+
 def q_stream_summary(spark, sf_dir):
     summary = SummaryStream(spark, MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
     q = summary.start(messages_of(stream_table(spark, sf_dir, "events")), trigger={"availableNow": True})
@@ -667,6 +679,10 @@ select * from (select user_id, min(ts) window_start, max(ts) + interval 2 hour w
 where window_end <= (select max(ts) from events)
 """
 
+SQL_STREAM_SESSION_UNIQUE = f"""
+select * from ({SQL_SESSION_UNIQUE}) x where window_end < (select max(ts) from events)
+"""
+
 SQL_STREAM_SUMMARY = _MSGS + """,
 m as (select segment, event_id "offset", event_id blast_id, user_id blast_size,
              (epoch_us(ts) // 1000) - 1000 blast_start_time,
@@ -737,6 +753,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "union_results": q_union_results,
         "stream_tumbling": q_stream_tumbling,
         "stream_session": q_stream_session,
+        "stream_session_unique": q_stream_session_unique,
         "stream_summary": q_stream_summary,
         "csv_roundtrip": q_csv_roundtrip,
         "timings_csv": q_timings_csv,
@@ -782,6 +799,7 @@ def oracle_sql() -> dict[str, str]:
         "union_results": SQL_UNION_RESULTS,
         "stream_tumbling": SQL_STREAM_TUMBLING,
         "stream_session": SQL_STREAM_SESSION,
+        "stream_session_unique": SQL_STREAM_SESSION_UNIQUE,
         "stream_summary": SQL_STREAM_SUMMARY,
         "csv_roundtrip": SQL_CSV_ROUNDTRIP,
         "timings_csv": SQL_TIMINGS_CSV,

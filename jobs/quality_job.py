@@ -22,6 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from winsight import WindowSpec, window_result  # noqa: E402
 from winsight.checks import comment_checks, prepare_comments, prepare_products, product_checks  # noqa: E402
 from winsight.session import checkpoint_dir, scratch_path  # noqa: E402
+from winsight.streaming.sessions import SessionMeasures  # noqa: E402
 from winsight.sources.messages import read_messages  # noqa: E402
 
 
@@ -38,8 +39,13 @@ def build(spark: SparkSession, env=os.environ):
         records, suite, time_col, tags = prepare_comments(raw), comment_checks(), "created_utc", ["blast_id"]
     else:
         records, suite, time_col, tags = prepare_products(raw), product_checks(), "eventTime", []
+    constants = {"numCores": env.get("SPARK_NUM_CORES", "*")}
+    if spec.kind == "session":
+        # sessions with a uniqueness check stream through carried bucket partials
+        return SessionMeasures(spark, spec, time_col, suite.measures(), tags,
+                               post=lambda out: window_result(suite.finish(out), spec, constants, keep=tags)), records
     result = suite.evaluate(records, spec, time_col, tags, watermark=env.get("WATERMARK", "0 seconds"))
-    return window_result(result, spec, {"numCores": env.get("SPARK_NUM_CORES", "*")}, keep=tags)
+    return window_result(result, spec, constants, keep=tags)
 
 
 def main() -> None:
@@ -47,6 +53,10 @@ def main() -> None:
     checkpoint_dir(spark)
     out = build(spark)
     chk = os.environ.get("CHECKPOINT", scratch_path(spark, "quality_job"))
+    if isinstance(out, tuple):  # session windows: a foreachBatch processor and its input stream
+        proc, records = out
+        proc.start(records).awaitTermination()
+        return
     if os.environ.get("OUTPUT_TOPIC"):
         msgs = out.select(F.lit(os.environ.get("RESULT_KEY", "winsight")).alias("key"),
                           F.to_json(F.struct("*")).alias("value"))

@@ -75,3 +75,24 @@ def test_quality_job_on_file_stream(spark, tmp_path):
     res = run_available(spark, out, "job_test")
     assert res.count() >= 1 and set(res.columns) >= {"blast_id", "window_start", "num_failed", "batch_size"}
     assert res.agg(F.sum("batch_size")).first()[0] <= 12
+
+
+def test_quality_job_sessions(spark, tmp_path):
+    import importlib.util
+    spec = importlib.util.spec_from_file_location("quality_job", os.path.join(
+        os.path.dirname(os.path.dirname(__file__)), "jobs", "quality_job.py"))
+    job = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(job)
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [{"id_": f"id{k % 4}", "downs": 0, "controversiality": 0, "author": "u", "created_utc": t,
+              "blast_id": 1} for k, t in enumerate([0, 2, 4, 30, 31, 100])]
+    (src / "m.json").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+    env = {"WINDOW_TYPE": "session", "GAP_DURATION": "5 seconds", "RECORDS": "comments",
+           "SOURCE_FORMAT": "text", "SOURCE_PATH": str(src)}
+    proc, records = job.build(spark, env)
+    q = proc.start(records, trigger={"availableNow": True})
+    q.awaitTermination()
+    rows = sorted((r.batch_size, r.num_failed) for r in proc.result().collect())
+    # sessions [0, 9) with ids 0,1,2 and [30, 36) with ids 3,0; [100, 105) is still open
+    assert rows == [(2, 0), (3, 0)]

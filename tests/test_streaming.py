@@ -121,3 +121,56 @@ def test_results_with_batch_ids(spark, tmp_path):
     rows = out.select(F.unix_seconds("window_start").alias("s"), "n", "batch_id").orderBy("s").collect()
     assert [(r.s, r.n) for r in rows] == [(0, 4), (10, 2), (30, 2)]
     assert [r.batch_id for r in rows] == sorted(r.batch_id for r in rows) and rows[0].batch_id >= 1
+
+
+def _events_by_day(spark, folder):
+    """sf0.001 events as one JSON file per day, in event-time order (one micro-batch each)."""
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    os.makedirs(folder, exist_ok=True)
+    rows = ev.orderBy("event_id").collect()
+    days = {}
+    for r in rows:
+        days.setdefault(r.ts.date(), []).append(r)
+    for i, day in enumerate(sorted(days)):
+        path = os.path.join(folder, f"day-{i:03d}.json")
+        with open(path, "w") as fh:
+            for r in days[day]:
+                fh.write(json.dumps({"event_id": r.event_id, "ts": r.ts.isoformat(), "user_id": r.user_id,
+                                     "event_type": r.event_type, "value": r.value}) + "\n")
+        os.utime(path, (3_000_000 + i, 3_000_000 + i))
+    return ev
+
+
+def test_stream_session_uniqueness_matches_batch(spark, tmp_path):
+    from winsight.streaming.sessions import SessionMeasures
+    ev = _events_by_day(spark, str(tmp_path / "in"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).json(str(tmp_path / "in"))
+    ms = {"n": M.size(), "u": M.fraction_of_unique("event_type"), "mx": M.max("value")}
+    spec = WindowSpec.session("120 minutes")
+    proc = SessionMeasures(spark, spec, "ts", ms, ["user_id"])
+    q = proc.start(stream, trigger={"availableNow": True})
+    q.awaitTermination()
+    got = proc.result()
+    assert got.select("batch_id").distinct().count() > 1
+    got = got.drop("batch_id")
+    max_ts = ev.agg(F.max("ts")).first()[0]
+    want = windowed_measures(ev, spec, "ts", ms, tags=["user_id"]).where(F.col("window_end") < F.lit(max_ts))
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_suite_stream_sessions(spark, tmp_path):
+    from winsight import Suite
+    ev = _events_by_day(spark, str(tmp_path / "in"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).json(str(tmp_path / "in"))
+    suite = Suite("s").is_unique("event_type").has_max("value", lambda v: v < 90)
+    proc = suite.stream_sessions(spark, WindowSpec.session("30 minutes"), "ts", ["user_id"])
+    q = proc.start(stream, trigger={"availableNow": True})
+    q.awaitTermination()
+    got = proc.result().drop("batch_id")
+    max_ts = ev.agg(F.max("ts")).first()[0]
+    want = suite.evaluate(ev, WindowSpec.session("30 minutes"), "ts", ["user_id"]) \
+        .where(F.col("window_end") < F.lit(max_ts))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

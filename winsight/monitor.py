@@ -64,11 +64,12 @@ class Monitor:
             df = df.withColumn(tc, parse_ts(tc, self.time_format))
         return df
 
-    def plan(self, df: DataFrame | None = None) -> DataFrame:
+    def plan(self, df: DataFrame | None = None, *, prepared: bool = False) -> DataFrame:
         """The result DataFrame (batch or streaming, like the source)."""
         if not self.measures:
             raise ValueError("add at least one measure")
-        out = windowed_measures(self._input(df), self.window, self.time_column, self.measures, self.tags,
+        src = df if prepared else self._input(df)
+        out = windowed_measures(src, self.window, self.time_column, self.measures, self.tags,
                                 watermark=f"{int(self.wait_for_late * 1000)} milliseconds")
         drop = ([WS] if not self.show_window_start else []) + ([WE] if not self.show_window_end else [])
         return out.drop(*drop)
@@ -80,11 +81,19 @@ class Monitor:
     def start(self, df: DataFrame | None = None, *, path: str | None = None, checkpoint: str | None = None,
               fmt: str = "parquet", trigger: dict | None = None) -> StreamingQuery:
         """N3, streaming: start the query; closed windows are appended to the sink."""
-        result = self.plan(df)
-        if not result.isStreaming:
+        src = self._input(df)
+        if not src.isStreaming:
             raise ValueError("start() needs a streaming source; use run() for batch")
-        spark = result.sparkSession
+        spark = src.sparkSession
         base = scratch_path(spark, "monitor")
+        if self.window.kind == "session" and any(m.kind == "unique" for m in self.measures.values()):
+            from .streaming.sessions import SessionMeasures
+            drop = ([WS] if not self.show_window_start else []) + ([WE] if not self.show_window_end else [])
+            proc = SessionMeasures(spark, self.window, self.time_column, self.measures, self.tags,
+                                   delay_ms=int(self.wait_for_late * 1000), base=base,
+                                   post=lambda out: out.drop(*drop))
+            return proc.start(src, trigger)
+        result = self.plan(src, prepared=True)
         checkpoint = checkpoint or f"{base}/checkpoint"
         w = result.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         if self.sink_operation is not None:

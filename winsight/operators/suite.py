@@ -76,10 +76,21 @@ class Suite:
         ``<name>_ok`` verdict, and ``num_failed``."""
         if not self.constraints:
             raise ValueError("suite has no constraints")
-        m = windowed_measures(df, window, time_col, self.measures(), tags, watermark=watermark)
+        return self.finish(windowed_measures(df, window, time_col, self.measures(), tags, watermark=watermark))
+
+    def stream_sessions(self, spark, window: WindowSpec, time_col: str, tags=(), *, delay_ms: int = 0,
+                        base: str | None = None):
+        """Streaming session windows with any constraint, uniqueness included:
+        a ``foreachBatch`` processor (``.start(stream)``, ``.result()``)."""
+        from ..streaming.sessions import SessionMeasures
+        return SessionMeasures(spark, window, time_col, self.measures(), tags, delay_ms=delay_ms,
+                               post=self.finish, base=base)
+
+    def finish(self, measured: DataFrame) -> DataFrame:
+        """Verdicts and ``num_failed`` on top of a table of this suite's measures."""
         oks = [c.verdict(F.col(c.name)).alias(f"{c.name}_ok") for c in self.constraints]
         failed = reduce(lambda a, b: a + b, [(~F.col(f"{c.name}_ok")).cast("long") for c in self.constraints])
-        return m.select("*", *oks).withColumn(FAILED, failed)
+        return measured.select("*", *oks).withColumn(FAILED, failed)
 
     def verdict_rows(self, result: DataFrame, keep=()) -> DataFrame:
         """C11: one row per (window, constraint) with value (double) and verdict."""

@@ -139,8 +139,9 @@ def _plan_session_batch(df, spec: WindowSpec, ts, tags, partials, u, dtype):
 def _plan_session_stream(df, spec: WindowSpec, ts, tags, partials, u):
     if u:
         raise NotImplementedError(
-            "uniqueness over streaming session windows needs every value of an open session in state; "
-            "run it as a batch query (bucketed sessions) instead")
+            "uniqueness over streaming session windows: Spark's session operator would hold every value of "
+            "an open session in one group; use winsight.streaming.sessions.SessionMeasures "
+            "(Suite.stream_sessions / Monitor.start do this for you)")
     keys = list(tags)
     if not keys:  # Spark rejects global session aggregation; a constant column passes
         df = df.withColumn(ALL_KEY, F.coalesce(F.col(ts).isNull(), F.lit(True)).cast("int") * 0)
