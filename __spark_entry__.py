@@ -527,6 +527,18 @@ def q_run_stats(spark, sf_dir):
     return st.withColumn("std", F.round("std", 6))
 
 
+def experiment_frame(spark, sf_dir) -> DataFrame:
+    """events replayed in batches of 100, 200, 300 records (B1): ``batch_id`` is the tag."""
+    ev = _events_with_gaps(spark, sf_dir)
+    return assign_batches(ev, "event_id", SIZES).drop("batch_size")
+
+
+def q_experiment_suite(spark, sf_dir, window: WindowSpec | None = None):
+    """The experiment set-up: comment-style checks per (replay batch, window)."""
+    window = window or WindowSpec.sliding("10 minutes", "1 minutes")
+    return reddit_like_suite().evaluate(experiment_frame(spark, sf_dir), window, "ts", tags=["batch_id"])
+
+
 def q_union_results(spark, sf_dir):
     ev = _events_with_gaps(spark, sf_dir)
     day = WindowSpec.tumbling("1440 minutes")
@@ -711,6 +723,31 @@ SQL_RUN_REPORT = SQL_RUN_ELAPSED
 SQL_SUMMARY_CSV = SQL_RUN_SUMMARY
 
 
+SQL_EXPERIMENT_SUITE = f"""
+with b as (select *, cast(((rn - 1) // 600) * 3 + case when (rn - 1) % 600 < 100 then 1
+                                                       when (rn - 1) % 600 < 300 then 2 else 3 end as bigint) batch_id
+           from (select *, row_number() over (order by event_id) rn from {_GAPS} g) y),
+x as (select *, time_bucket(interval 1 minute, ts, timestamp '1970-01-01') - to_minutes(k) ws from b, range(10) r(k)),
+p as (select batch_id, ws, user_id, count(*) c, count(kind) nn, min(value) mn, sum(amount) sv, count(amount) nv
+      from x group by 1, 2, 3),
+w as (select batch_id, ws, cast(sum(c) as bigint) batch_size, sum(nn) / sum(c) id_complete,
+             sum(case when user_id is not null and c = 1 then 1 else 0 end)
+               / nullif(sum(case when user_id is not null then c else 0 end), 0) id_unique,
+             min(mn) min_value, cast(sum(sv) as double) / nullif(sum(nv), 0) mean_value,
+             sum(nn) / sum(c) kind_completeness
+      from p group by 1, 2),
+v as (select *, coalesce(id_complete = 1, false) id_complete_ok, coalesce(id_unique = 1, false) id_unique_ok,
+             coalesce(min_value >= 1, false) min_value_ok, coalesce(mean_value < 50, false) mean_value_ok,
+             coalesce(kind_completeness > 0.9, false) kind_completeness_ok from w)
+select batch_id, ws window_start, ws + interval 10 minute window_end, batch_size, id_complete, id_unique, min_value,
+       mean_value, kind_completeness, id_complete_ok, id_unique_ok, min_value_ok, mean_value_ok,
+       kind_completeness_ok,
+       cast((not id_complete_ok)::int + (not id_unique_ok)::int + (not min_value_ok)::int
+            + (not mean_value_ok)::int + (not kind_completeness_ok)::int as bigint) num_failed
+from v
+"""
+
+
 # ---------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the reddit-style suite over hourly windows of the sf0.001 events."""
@@ -751,6 +788,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_elapsed": q_run_elapsed,
         "run_stats": q_run_stats,
         "union_results": q_union_results,
+        "experiment_suite": q_experiment_suite,
         "stream_tumbling": q_stream_tumbling,
         "stream_session": q_stream_session,
         "stream_session_unique": q_stream_session_unique,
@@ -797,6 +835,7 @@ def oracle_sql() -> dict[str, str]:
         "run_elapsed": SQL_RUN_ELAPSED,
         "run_stats": SQL_RUN_STATS,
         "union_results": SQL_UNION_RESULTS,
+        "experiment_suite": SQL_EXPERIMENT_SUITE,
         "stream_tumbling": SQL_STREAM_TUMBLING,
         "stream_session": SQL_STREAM_SESSION,
         "stream_session_unique": SQL_STREAM_SESSION_UNIQUE,
