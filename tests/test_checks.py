@@ -96,3 +96,20 @@ def test_quality_job_sessions(spark, tmp_path):
     rows = sorted((r.batch_size, r.num_failed) for r in proc.result().collect())
     # sessions [0, 9) with ids 0,1,2 and [30, 36) with ids 3,0; [100, 105) is still open
     assert rows == [(2, 0), (3, 0)]
+
+
+def test_clean_comment_records_from_csv(spark, tmp_path):
+    from pyspark.sql import types as T
+    from winsight.checks import clean_comment_records
+    from winsight.sources.files import read_records_csv
+    (tmp_path / "c.csv").write_text('id,author,downs,gilded,created_utc,body\n'
+                                    'a1,x, 3 ,0,1430438400,"two\nlines"\n'
+                                    'a2,,x,,1430438401,\n')
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in
+                           ("id", "author", "downs", "gilded", "created_utc", "body")])
+    df = clean_comment_records(read_records_csv(spark, str(tmp_path / "c.csv"), schema))
+    rows = df.orderBy("id_").collect()
+    assert "id" not in df.columns and dict(df.dtypes)["downs"] == "bigint"
+    assert [(r.id_, r.author, r.downs, r.gilded, r.created_utc) for r in rows] == [
+        ("a1", "x", 3, 0, 1430438400), ("a2", "", None, None, 1430438401)]
+    assert rows[0].body == "two\nlines"

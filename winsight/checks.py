@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .functions.casts import RECORD_INT_FIELDS, rename_if_present, safe_cast
 from .functions.time import epoch_ms, epoch_s
 from .operators import measures as M
 from .operators.suite import Suite
@@ -97,3 +98,10 @@ def prepare_comments(messages: DataFrame, value_col: str = "value") -> DataFrame
     """Message values -> comment rows with ``created_utc``/``retrieved_on`` as timestamps."""
     df = decode_json(messages, COMMENT_SCHEMA, value_col)
     return df.withColumns({"created_utc": epoch_s("created_utc"), "retrieved_on": epoch_s("retrieved_on")})
+
+
+def clean_comment_records(records: DataFrame) -> DataFrame:
+    """Replay preprocessing of comment rows read from CSV (S3 -> P4, P5): the
+    numeric fields become whole numbers (unparseable -> null) and ``id`` is
+    renamed ``id_``."""
+    return rename_if_present(safe_cast(records, {c: "bigint" for c in RECORD_INT_FIELDS}), "id", "id_")
