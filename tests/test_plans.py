@@ -102,6 +102,32 @@ def test_bucketed_sessions_match_session_window(spark, gap):
     _same(ours.drop("uniq"), theirs)
 
 
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_session_blocks_match_single_scan(spark, block):
+    """Tiny blocks force every block-boundary hand-over; results must not change."""
+    from winsight.plans.sessions import session_ids
+    rnd = random.Random(block)
+    rows = []
+    for tag in ("a", "b", None):
+        for b in sorted(rnd.sample(range(60), 25)):
+            lo = b * 10 + rnd.randrange(10)
+            rows.append((tag, b, lo, max(lo, b * 10 + rnd.randrange(10))))
+    df = spark.createDataFrame(rows, "tag string, _b long, _tmin long, _tmax long")
+    got = session_ids(df, ["tag"], 10, block=block)
+    want = session_ids(df, ["tag"], 10, block=1 << 20)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # brute force over buckets
+    brute = {}
+    for tag in ("a", "b", None):
+        prev, sid = None, None
+        for (_, b, lo, hi) in sorted((r for r in rows if r[0] == tag), key=lambda r: r[1]):
+            if prev is None or prev[0] < b - 1 or lo - prev[1] > 10:
+                sid = lo
+            brute[(tag, b)] = sid
+            prev = (b, hi)
+    assert {(r.tag, r._b): r._sid for r in got.collect()} == brute
+
+
 def test_sessions_without_tags(spark):
     df = spark.createDataFrame(_random_rows(200, 7, span_s=6 * 3600), SCHEMA)
     ours = windowed_measures(df, WindowSpec.session("3 minutes"), "ts", {"n": M.size(), "mx": M.max("v")})

@@ -11,10 +11,13 @@ is within ``gap``, and rows two or more buckets back are always further than
 exactly when the previous *non-empty* bucket is not the adjacent one, or its
 last row is more than ``gap`` before this bucket's first row.
 
-Rows are therefore first reduced to one partial row per (tag, bucket) with an
-ordinary ``groupBy`` (map-side combine keeps a hot tag cheap), and the
-window function below runs over that bucket table only.  Its per-tag
-partition holds at most ``time span / gap`` rows, whatever the row count.
+Rows are first reduced to one partial row per (tag, bucket) with an ordinary
+``groupBy`` (map-side combine keeps a hot tag cheap).  The ordered scan over
+that bucket table is itself split into blocks of ``block`` buckets: the scan
+inside a block is a window partitioned by (tag, block), and what crosses a
+block boundary (the previous block's last bucket, the last session start so
+far) comes from a window over the much smaller per-block summary.  No task
+sees more than ``block`` buckets of one tag, however hot the tag.
 """
 
 from __future__ import annotations
@@ -22,14 +25,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 
-def session_ids(buckets: DataFrame, tags, gap_us: int) -> DataFrame:
+DEFAULT_BLOCK = 1 << 14
+
+
+def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    from .aggregate import null_safe_join
+    return null_safe_join(left, right, keys)
+
+
+def session_ids(buckets: DataFrame, tags, gap_us: int, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
-    w = Window.partitionBy(*tags).orderBy("_b") if tags else Window.orderBy("_b")
-    prev_b = F.lag("_b").over(w)
-    prev_max = F.lag("_tmax").over(w)
+    tags = list(tags)
+    d = buckets.withColumn("_blk", floor_div(F.col("_b"), block))
+    by_tag = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk")
+    # what the previous non-empty block hands over: its last bucket and last event time
+    summary = d.groupBy(*tags, "_blk").agg(F.max("_b").alias("_last_b"), F.max("_tmax").alias("_last_tmax"))
+    handover = summary.select(*tags, "_blk", F.lag("_last_b").over(by_tag).alias("_pb0"),
+                              F.lag("_last_tmax").over(by_tag).alias("_pm0"))
+    d = _join(d, handover, tags + ["_blk"])
+    in_blk = Window.partitionBy(*tags, "_blk").orderBy("_b")
+    prev_b = F.coalesce(F.lag("_b").over(in_blk), F.col("_pb0"))
+    prev_max = F.coalesce(F.lag("_tmax").over(in_blk), F.col("_pm0"))
     starts = prev_b.isNull() | (prev_b < F.col("_b") - 1) | (F.col("_tmin") - prev_max > F.lit(gap_us))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (buckets.withColumn("_start", starts)
-                   .withColumn("_sid", F.max(F.when(F.col("_start"), F.col("_tmin"))).over(running))
-                   .drop("_start"))
+    d = d.withColumn("_start", F.when(starts, F.col("_tmin")))
+    run_in = in_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_sid_in", F.max("_start").over(run_in))
+    # the last session start of all earlier blocks, for buckets before the block's first start
+    carried = (d.groupBy(*tags, "_blk").agg(F.max("_start").alias("_bs"))
+                .select(*tags, "_blk", F.max("_bs").over(by_tag.rowsBetween(Window.unboundedPreceding, -1))
+                        .alias("_carry")))
+    d = _join(d, carried, tags + ["_blk"])
+    return (d.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry")))
+             .drop("_blk", "_pb0", "_pm0", "_start", "_sid_in", "_carry"))
