@@ -1,0 +1,70 @@
+"""Scale properties read off the physical plans (what .explain shows)."""
+
+import re
+
+from winsight import Suite, WindowSpec, windowed_measures
+from winsight.operators import measures as M
+
+EV = "/root/testdata/sf0.001/events.parquet"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_prunes_columns_and_pushes_filter(spark):
+    ev = spark.read.parquet(EV)
+    out = Suite("s").is_unique("user_id").has_max("value", lambda v: v < 90) \
+        .evaluate(ev, WindowSpec.tumbling("60 minutes"), "ts")
+    plan = _plan(out)
+    schemas = set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan))
+    assert schemas == {"struct<ts:timestamp_ntz,user_id:bigint,value:double>"}
+    assert "PushedFilters: [IsNotNull(ts)]" in plan
+
+
+def test_every_shuffle_carries_partials(spark):
+    ev = spark.read.parquet(EV)
+    out = windowed_measures(ev, WindowSpec.tumbling("60 minutes"), "ts",
+                            {"n": M.size(), "u": M.fraction_of_unique("user_id"), "mx": M.max("value")},
+                            tags=["event_type"])
+    plan = _plan(out)
+    # each hash exchange is fed by a partial (map-side) aggregate
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("partial_") >= 2
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_session_windows_partition_by_block(spark):
+    ev = spark.read.parquet(EV)
+    out = windowed_measures(ev, WindowSpec.session("30 minutes"), "ts",
+                            {"n": M.size(), "u": M.fraction_of_unique("event_type")}, tags=["user_id"])
+    plan = _optimized(out)
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
+    assert windows, plan
+    # a scan ordered by bucket runs per (tag, block); a scan per tag is ordered by block (summary rows)
+    by_bucket = [(p, o) for p, o in windows if re.search(r"\b_b#", o)]
+    by_block = [(p, o) for p, o in windows if re.search(r"\b_blk#", o)]
+    assert by_bucket and by_block
+    assert all("_blk#" in p for p, _ in by_bucket)
+
+
+def test_sliding_mergeable_does_not_replicate_rows(spark):
+    ev = spark.read.parquet(EV)
+    out = windowed_measures(ev, WindowSpec.sliding("30 minutes", "3 minutes"), "ts",
+                            {"n": M.size(), "mx": M.max("value")})
+    plan = _optimized(out)
+    assert "Expand" not in plan and "Generate" in plan
+
+
+def test_running_sums_partition_by_block(spark):
+    import __spark_entry__ as E
+    from winsight.operators.runs import classify, segment_by_marker
+    msgs = classify(E.event_messages(spark, "/root/testdata/sf0.001"), E.MARKER, E.SOURCES, E.DEFAULT_SOURCE)
+    plan = _optimized(segment_by_marker(msgs))
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
+    by_offset = [(p, o) for p, o in windows if "offset#" in o]
+    assert by_offset and all("_blk#" in p for p, _ in by_offset)
