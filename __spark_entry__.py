@@ -8,7 +8,6 @@ the reference's record fields: id -> ``user_id``, priority -> ``event_type``
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -367,9 +366,8 @@ def q_distinct_windows(spark, sf_dir):
 
 def q_rows_of_window(spark, sf_dir):
     w = assign_windows(_t(spark, sf_dir, "events"), HOUR, "ts")
-    start, end = datetime.datetime(2024, 1, 2, 0, 0), datetime.datetime(2024, 1, 2, 1, 0)
-    rows = rows_of_window(w, F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"),
-                          {"event_type": "click"})
+    start, end = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-02 01:00:00").cast("timestamp_ntz")
+    rows = rows_of_window(w, start, end, {"event_type": "click"})
     return rows.select("event_id", "user_id", "value")
 
 

@@ -25,7 +25,8 @@ STRFTIME_TO_SPARK = {
 
 
 def epoch_ntz() -> Column:
-    return F.lit(_EPOCH).cast("timestamp_ntz")
+    # from text: a datetime literal would pass through the session time zone
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def to_micros(c: Column | str, dtype: T.DataType) -> Column:
