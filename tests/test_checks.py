@@ -113,3 +113,15 @@ def test_clean_comment_records_from_csv(spark, tmp_path):
     assert [(r.id_, r.author, r.downs, r.gilded, r.created_utc) for r in rows] == [
         ("a1", "x", 3, 0, 1430438400), ("a2", "", None, None, 1430438401)]
     assert rows[0].body == "two\nlines"
+
+
+def test_monitor_text_time_with_strftime_format(spark):
+    from winsight.functions.time import spark_pattern
+    assert spark_pattern("%Y-%m-%d %H:%M:%S.%f") == "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    assert spark_pattern("yyyy-MM-dd") == "yyyy-MM-dd"
+    df = spark.createDataFrame([("2024-01-01 00:00:01.250000", "a"), ("2024-01-01 00:00:09.000000", "a"),
+                                ("garbage", "b")], "t string, id_ string")
+    mon = Monitor(WindowSpec.tumbling("10 seconds"), "t", time_format="%Y-%m-%d %H:%M:%S.%f", source=df) \
+        .add(comment_measures()["count"], "count").add(comment_measures()["is_id_unique"], "uniq")
+    rows = mon.run().collect()
+    assert [(r["count"], r.uniq) for r in rows] == [(2, 0.0)]  # the unparseable time belongs to no window

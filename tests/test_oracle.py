@@ -26,3 +26,15 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "num_failed" in df.columns
+
+
+@pytest.mark.parametrize("name", ["sliding_measures", "session_counts", "rows_of_window", "epoch_ms", "parse_ts",
+                                  "stream_tumbling"])
+def test_results_do_not_depend_on_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, SF)
+        assert compare(df, con, E.oracle_sql()[name]) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
