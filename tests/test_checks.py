@@ -125,3 +125,42 @@ def test_monitor_text_time_with_strftime_format(spark):
         .add(comment_measures()["count"], "count").add(comment_measures()["is_id_unique"], "uniq")
     rows = mon.run().collect()
     assert [(r["count"], r.uniq) for r in rows] == [(2, 0.0)]  # the unparseable time belongs to no window
+
+
+def _load_job(name):
+    import importlib.util
+    spec = importlib.util.spec_from_file_location(name, os.path.join(
+        os.path.dirname(os.path.dirname(__file__)), "jobs", f"{name}.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    return mod
+
+
+def test_replay_batches_job(spark, tmp_path):
+    job = _load_job("replay_batches")
+    lines = ["id,author,downs,created_utc"] + [f"c{k},u{k % 3},{k % 2},{1000 + k}" for k in range(9)]
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    records, markers = job.build(spark, {"RECORDS_CSV": str(tmp_path / "r.csv"), "MESSAGES_PER_WINDOW": "2,3"})
+    tags = [json.loads(r.value)["blast_id"] for r in records.collect()]
+    assert sorted(tags) == [1, 1, 2, 2, 2, 3, 3, 4, 4]
+    assert all("id_" in json.loads(r.value) for r in records.collect())
+    assert sorted((json.loads(r.value)["blast_id"], json.loads(r.value)["blast_size"]) for r in markers.collect()) \
+        == [(1, 2), (2, 3), (3, 2)]
+
+
+def test_summary_job_on_files(spark, tmp_path):
+    job = _load_job("summary_job")
+    src = tmp_path / "msgs"
+    src.mkdir()
+    t0 = 1704067200000  # 2024-01-01T00:00:00Z in epoch ms
+    msgs = [("monitor", {"time": t0 + 90}, 0, 100), ("checks", {"checkingTimeMs": 5}, 1, 120),
+            ("blast", {"blast_id": 1, "blast_size": 10}, 2, 130), ("monitor", {"time": t0 + 1}, 3, 140)]
+    (src / "m.json").write_text("\n".join(json.dumps({"key": k, "value": json.dumps(v), "partition": 0, "offset": o,
+                                                      "timestamp": f"2024-01-01T00:00:00.{t:03d}Z"})
+                                          for k, v, o, t in msgs) + "\n")
+    summary, messages = job.build(spark, {"SOURCE_FORMAT": "json", "SOURCE_PATH": str(src),
+                                          "SUMMARY_PATH": str(tmp_path / "out")})
+    q = summary.start(messages, trigger={"availableNow": True})
+    q.awaitTermination()
+    got = sorted((r.tool, r.number_of_windows, r.processing_time, r.window_setting) for r in summary.result().collect())
+    assert got == [("checks", 1, 5, "tumbling_10 seconds"), ("monitor", 1, 10, "tumbling_10 seconds")]
