@@ -14,10 +14,10 @@ last row is more than ``gap`` before this bucket's first row.
 Rows are first reduced to one partial row per (tag, bucket) with an ordinary
 ``groupBy`` (map-side combine keeps a hot tag cheap).  The ordered scan over
 that bucket table is itself split into blocks of ``block`` buckets: the scan
-inside a block is a window partitioned by (tag, block), and what crosses a
-block boundary (the previous block's last bucket, the last session start so
-far) comes from a window over the much smaller per-block summary.  No task
-sees more than ``block`` buckets of one tag, however hot the tag.
+inside a block is a window partitioned by (tag, block), the previous block's
+last bucket enters it as a copied "ghost" row, and the last session start of
+earlier blocks comes from a window over the much smaller per-block summary.
+No task sees more than ``block`` (+1) buckets of one tag, however hot the tag.
 """
 
 from __future__ import annotations
@@ -38,24 +38,28 @@ def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 def session_ids(buckets: DataFrame, tags, gap_us: int, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
     tags = list(tags)
-    d = buckets.withColumn("_blk", floor_div(F.col("_b"), block))
-    by_tag = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk")
-    # what the previous non-empty block hands over: its last bucket and last event time
-    summary = d.groupBy(*tags, "_blk").agg(F.max("_b").alias("_last_b"), F.max("_tmax").alias("_last_tmax"))
-    handover = summary.select(*tags, "_blk", F.lag("_last_b").over(by_tag).alias("_pb0"),
-                              F.lag("_last_tmax").over(by_tag).alias("_pm0"))
-    d = _join(d, handover, tags + ["_blk"])
+    d = buckets.withColumn("_blk", floor_div(F.col("_b"), block)).withColumn("_ghost", F.lit(False))
+    # Each block's last bucket is copied into the next block as a "ghost" row.  If
+    # that next block's first bucket has an earlier non-empty bucket, it is either
+    # the ghost or two or more buckets back (a start either way), so the scan
+    # inside a block needs nothing else from its neighbours.
+    ghosts = (d.groupBy(*tags, "_blk").agg(F.max("_b").alias("_b"), F.max("_tmax").alias("_tmax"))
+               .select(*tags, "_b", F.lit(None).cast("long").alias("_tmin"), "_tmax",
+                       (F.col("_blk") + 1).alias("_blk"), F.lit(True).alias("_ghost")))
+    # partial columns ride along; ghost rows carry nulls there and are dropped below
+    scan = d.unionByName(ghosts, allowMissingColumns=True)
     in_blk = Window.partitionBy(*tags, "_blk").orderBy("_b")
-    prev_b = F.coalesce(F.lag("_b").over(in_blk), F.col("_pb0"))
-    prev_max = F.coalesce(F.lag("_tmax").over(in_blk), F.col("_pm0"))
-    starts = prev_b.isNull() | (prev_b < F.col("_b") - 1) | (F.col("_tmin") - prev_max > F.lit(gap_us))
-    d = d.withColumn("_start", F.when(starts, F.col("_tmin")))
-    run_in = in_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_sid_in", F.max("_start").over(run_in))
+    prev_b, prev_max = F.lag("_b").over(in_blk), F.lag("_tmax").over(in_blk)
+    starts = ~F.col("_ghost") & (prev_b.isNull() | (prev_b < F.col("_b") - 1)
+                                 | (F.col("_tmin") - prev_max > F.lit(gap_us)))
+    scan = scan.withColumn("_start", F.when(starts, F.col("_tmin")))
+    scan = scan.withColumn("_sid_in", F.max("_start").over(in_blk.rowsBetween(Window.unboundedPreceding, 0)))
+    scan = scan.where(~F.col("_ghost"))
     # the last session start of all earlier blocks, for buckets before the block's first start
-    carried = (d.groupBy(*tags, "_blk").agg(F.max("_start").alias("_bs"))
-                .select(*tags, "_blk", F.max("_bs").over(by_tag.rowsBetween(Window.unboundedPreceding, -1))
-                        .alias("_carry")))
-    d = _join(d, carried, tags + ["_blk"])
-    return (d.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry")))
-             .drop("_blk", "_pb0", "_pm0", "_start", "_sid_in", "_carry"))
+    by_tag = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk")
+    carried = (scan.groupBy(*tags, "_blk").agg(F.max("_start").alias("_bs"))
+                   .select(*tags, "_blk", F.max("_bs").over(by_tag.rowsBetween(Window.unboundedPreceding, -1))
+                           .alias("_carry")))
+    out = _join(scan, carried, tags + ["_blk"])
+    return (out.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry")))
+               .drop("_blk", "_ghost", "_start", "_sid_in", "_carry"))
