@@ -388,7 +388,8 @@ def q_json_decode(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     msgs = ev.select("event_id", F.when(F.col("event_type") == "error", F.substring("props", 1, 4))
                      .otherwise(F.col("props")).cast("binary").alias("value"))
-    schema = T.StructType([T.StructField("k", T.LongType())])
+    # k declared double: a nullable number column reads the same from every engine
+    schema = T.StructType([T.StructField("k", T.DoubleType())])
     return decode_json(msgs, schema, keep=["event_id"])
 
 
@@ -569,7 +570,7 @@ from events where ts is not null group by 1, 2
 """
 
 SQL_JSON_DECODE = """
-select event_id, case when event_type = 'error' then null else cast(json_extract(props, '$.k') as bigint) end k
+select event_id, case when event_type = 'error' then null else cast(json_extract(props, '$.k') as double) end k
 from events
 """
 
