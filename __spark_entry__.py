@@ -26,7 +26,7 @@ from winsight.operators.suite import union_results, window_result
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
 from winsight.monitor import Monitor
 from winsight.session import scratch_path
-from winsight.sources.files import read_records_csv, read_run_start, read_timings_csv, read_values_text
+from winsight.sources.files import parent_dir, read_records_csv, read_run_start, read_timings_csv, read_values_text
 from winsight.sources.messages import decode_json, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
 from winsight.streaming.sessions import SessionMeasures
@@ -180,8 +180,7 @@ def q_timings_csv(spark, sf_dir):
     path = scratch_path(spark, "timings")
     (ev.select("event_id", "user_id", _ms("ts").alias("timestamp"), F.col("event_type").alias("run"))
        .write.partitionBy("run").option("header", False).csv(path))
-    t = read_timings_csv(spark, path, "three")
-    t = t.withColumn("run", F.regexp_extract("file", "run=([^/]+)/", 1))
+    t = read_timings_csv(spark, path, "three").withColumn("run", F.substring_index(parent_dir("file"), "=", -1))
     return t.groupBy("run").agg(F.max("timestamp").alias("latest"), F.count(F.lit(1)).alias("n"))
 
 

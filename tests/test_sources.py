@@ -77,3 +77,23 @@ def test_assign_windows_rejects_sessions(spark):
         assign_windows(df, WindowSpec.session("5 seconds"), "ts")
     w = assign_windows(df, WindowSpec.sliding("10 seconds", "5 seconds"), "ts")
     assert w.count() == 2 and T.StructType in [type(f.dataType) for f in w.schema.fields]
+
+
+def test_elapsed_values_roundtrip(spark, tmp_path):
+    """A5 -> A6 -> value files -> S5 -> A7: the extractor/plotter loop on Spark."""
+    from winsight.operators.runs import latest_by_run, run_elapsed, run_stats
+    from winsight.sources.files import parent_dir
+    from winsight.sources.sinks import write_values_text
+    for run, files in {"r1": {"a.csv": [10, 40], "b.csv": [30]}, "r2": {"a.csv": [25]},
+                       "r3": {"a.csv": [1], "b.csv": [2], "c.csv": [3]}}.items():
+        (tmp_path / "t" / run).mkdir(parents=True)
+        for name, stamps in files.items():
+            (tmp_path / "t" / run / name).write_text("".join(f"0,0,{x}\n" for x in stamps))
+    t = read_timings_csv(spark, str(tmp_path / "t" / "*"), "three").withColumn("run", parent_dir("file"))
+    el = run_elapsed(latest_by_run(t), 5, elements=2, sleep=1.0)
+    assert sorted((r.run, r.elapsed) for r in el.collect()) == [("r1", 33.0), ("r2", 18.0)]
+    write_values_text(el, str(tmp_path / "v"), "elapsed", "run")
+    write_values_text(el, str(tmp_path / "v"), "elapsed", "run")  # a second experiment appends
+    vals = read_values_text(spark, str(tmp_path / "v")).withColumn("run", F.substring_index(parent_dir("file"), "=", -1))
+    st = {r.run: (r.n, r.mean, r.std) for r in run_stats(vals).collect()}
+    assert st == {"r1": (2, 33.0, 0.0), "r2": (2, 18.0, 0.0)}

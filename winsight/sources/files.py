@@ -64,6 +64,11 @@ def layout_for(run_name: str, rules: dict[str, str], default: str = "three") ->
     return default
 
 
+def parent_dir(file_col: str = "file"):
+    """Name of the folder a file sits in (a run is a folder of timing files)."""
+    return F.regexp_extract(F.col(file_col), r"([^/]+)/[^/]+$", 1)
+
+
 def read_values_text(spark: SparkSession, path: str) -> DataFrame:
     """One number per line -> ``file, value`` (double); blank lines dropped."""
     df = spark.read.text(path)

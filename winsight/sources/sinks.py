@@ -28,6 +28,13 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "appen
 append_summary = write_results
 
 
+def write_values_text(df: DataFrame, path: str, value_col: str, run_col: str, mode: str = "append") -> None:
+    """One number per line, one folder per run (A6 output, read back by S5 for A7)."""
+    from pyspark.sql import functions as F
+    (df.select(F.col(value_col).cast("string").alias("value"), F.col(run_col))
+       .write.mode(mode).partitionBy(run_col).text(path))
+
+
 def stream_to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *,
                     trigger: dict | None = None, output_mode: str = "append") -> StreamingQuery:
     """K3: file sink for a streaming result (append; windows arrive once closed)."""
