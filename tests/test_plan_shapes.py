@@ -68,3 +68,15 @@ def test_running_sums_partition_by_block(spark):
     windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
     by_offset = [(p, o) for p, o in windows if "offset#" in o]
     assert by_offset and all("_blk#" in p for p, _ in by_offset)
+
+
+def test_session_plan_reads_raw_data_at_most_twice(spark):
+    """The (tag, bucket) table is checkpointed once; later reads never reach back to the scan."""
+    ev = spark.read.parquet(EV)
+    out = windowed_measures(ev, WindowSpec.session("30 minutes"), "ts",
+                            {"n": M.size(), "u": M.fraction_of_unique("event_type")}, tags=["user_id"])
+    out.collect()
+    assert _plan(out).count("FileScan parquet") <= 2
+    plain = windowed_measures(ev, WindowSpec.session("30 minutes"), "ts", {"n": M.size()}, tags=["user_id"])
+    plain.collect()
+    assert _plan(plain).count("FileScan parquet") == 0  # everything after the checkpoint reads the bucket table
