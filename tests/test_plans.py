@@ -186,3 +186,24 @@ def test_collect_rows_chunks_are_bounded(spark):
     bags = collect_rows(ev, WindowSpec.tumbling("1440 minutes"), "ts", chunk_rows=10)
     assert bags.agg(F.max(F.size("rows"))).first()[0] <= 10
     assert bags.agg(F.sum(F.size("rows"))).first()[0] == ev.count()
+
+
+def test_block_sizes_from_session_settings(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    spec = WindowSpec.session("30 minutes")
+    base = windowed_measures(ev, spec, "ts", {"n": M.size()}, tags=["user_id"]).collect()
+    spark.conf.set("spark.winsight.sessionBlockBuckets", "3")
+    spark.conf.set("spark.winsight.prefixBlockRows", "7")
+    try:
+        small = windowed_measures(ev, spec, "ts", {"n": M.size()}, tags=["user_id"]).collect()
+        from winsight.operators.batches import assign_batches
+        b = assign_batches(ev.select("event_id"), "event_id", [100, 200, 300])
+        n, want, left = ev.count(), 0, ev.count()
+        while left > 0:  # walk the size cycle 100, 200, 300
+            left -= [100, 200, 300][want % 3]
+            want += 1
+        assert b.agg(F.max("batch_id")).first()[0] == want and b.count() == n
+    finally:
+        spark.conf.unset("spark.winsight.sessionBlockBuckets")
+        spark.conf.unset("spark.winsight.prefixBlockRows")
+    assert sorted(map(tuple, base), key=repr) == sorted(map(tuple, small), key=repr)

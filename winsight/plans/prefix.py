@@ -18,13 +18,18 @@ from ..functions.time import floor_div
 from .aggregate import null_safe_join
 
 DEFAULT_BLOCK = 1 << 20
+BLOCK_CONF = "spark.winsight.prefixBlockRows"
 
 
 def running_sum(df: DataFrame, value: Column, order_col: str, partition_cols=(), *, inclusive: bool = True,
-                out: str = "_running", block: int = DEFAULT_BLOCK) -> DataFrame:
+                out: str = "_running", block: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows up to this one (``inclusive``) or
-    strictly before it, in ``order_col`` order within ``partition_cols``."""
+    strictly before it, in ``order_col`` order within ``partition_cols``.
+
+    ``block`` (order-key values per block) defaults to the session setting
+    ``spark.winsight.prefixBlockRows`` (1,048,576)."""
     parts = list(partition_cols)
+    block = block or int(df.sparkSession.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK)))
     d = df.withColumn("_blk", floor_div(F.col(order_col).cast("long"), block)).withColumn("_v", value.cast("long"))
     totals = d.groupBy(*parts, "_blk").agg(F.sum("_v").alias("_bt"))
     wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_blk") \
@@ -37,6 +42,6 @@ def running_sum(df: DataFrame, value: Column, order_col: str, partition_cols=(),
     return d.withColumn(out, (F.col("_before") + inner).cast("long")).drop("_blk", "_v", "_before")
 
 
-def ordinal(df: DataFrame, order_col: str, partition_cols=(), *, out: str = "_rn", block: int = DEFAULT_BLOCK):
+def ordinal(df: DataFrame, order_col: str, partition_cols=(), *, out: str = "_rn", block: int | None = None):
     """1-based row number in ``order_col`` order (``order_col`` unique)."""
     return running_sum(df, F.lit(1), order_col, partition_cols, inclusive=True, out=out, block=block)

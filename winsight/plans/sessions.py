@@ -28,6 +28,12 @@ from pyspark.sql import functions as F
 from ..functions.time import floor_div
 
 DEFAULT_BLOCK = 1 << 14
+BLOCK_CONF = "spark.winsight.sessionBlockBuckets"
+
+
+def block_size(spark) -> int:
+    """Buckets per block of the session scan (session setting, default 16384)."""
+    return int(spark.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK)))
 
 
 def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
@@ -35,9 +41,10 @@ def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return null_safe_join(left, right, keys)
 
 
-def session_ids(buckets: DataFrame, tags, gap_us: int, block: int = DEFAULT_BLOCK) -> DataFrame:
+def session_ids(buckets: DataFrame, tags, gap_us: int, block: int | None = None) -> DataFrame:
     """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
     tags = list(tags)
+    block = block or block_size(buckets.sparkSession)
     d = buckets.withColumn("_blk", floor_div(F.col("_b"), block)).withColumn("_ghost", F.lit(False))
     # Each block's last bucket is copied into the next block as a "ghost" row.  If
     # that next block's first bucket has an earlier non-empty bucket, it is either
