@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-DEFAULT_LOCAL_CHECKPOINT = "/tmp/winsight-checkpoints"
+#: Folder of this process when nothing is configured on a local master (tests, benches).
+_LOCAL: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "winsight") -> SparkSession:
@@ -21,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
              .config("spark.ui.enabled", "false")
              # no per-call Python call-site capture: it costs several JVM round trips per function
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.driver.memory", "8g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,19 +34,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) is a folder chosen here.
+    Looked up in one order: the session setting, then the context's checkpoint
+    folder.  A folder is chosen here only for a local master; on any other
+    master a missing setting raises, because a machine-local folder would be
+    invisible to the other executors.
     """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = DEFAULT_LOCAL_CHECKPOINT
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set (master {master}); name a folder that every executor sees")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="winsight-checkpoints-"))
+        path = _LOCAL[0]
         os.makedirs(path, exist_ok=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/winsight/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/winsight/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder this process wrote, through Spark's file system of that path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df, name: str):
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts the
+    lineage with files that survive a lost executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
