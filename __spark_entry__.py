@@ -8,6 +8,7 @@ the reference's record fields: id -> ``user_id``, priority -> ``event_type``
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -747,13 +748,20 @@ from v
 
 
 # ---------------------------------------------------------------- contract
+def _llm():
+    """The queries of the training-data subpackage, or None where it is not there."""
+    if importlib.util.find_spec("winsight.llm") is None or importlib.util.find_spec("winsight.llm.queries") is None:
+        return None
+    return importlib.import_module("winsight.llm.queries")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the reddit-style suite over hourly windows of the sf0.001 events."""
     return q_checks_reddit_like(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "tumbling_suite": q_tumbling_suite,
         "sliding_suite": q_sliding_suite,
         "sliding_measures": q_sliding_measures,
@@ -797,10 +805,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_report": q_run_report,
         "summary_csv": q_summary_csv,
     }
+    llm = _llm()
+    return out | llm.queries() if llm else out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "tumbling_suite": SQL_TUMBLING,
         "sliding_suite": SQL_SLIDING,
         "sliding_measures": SQL_SLIDING_MEASURES,
@@ -844,3 +854,5 @@ def oracle_sql() -> dict[str, str]:
         "run_report": SQL_RUN_REPORT,
         "summary_csv": SQL_SUMMARY_CSV,
     }
+    llm = _llm()
+    return out | llm.oracle_sql() if llm else out
