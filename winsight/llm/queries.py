@@ -3,14 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from winsight.llm.decontaminate import scan
 from winsight.llm.exact import exact_dedup
+from winsight.llm.lines import dedup_lines
+from winsight.llm.mixing import plan_mix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark, sf_dir):
+    out = dedup_lines(_t(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_lines_removed").alias("lines_removed"),
+                      F.col("_chunks_removed").alias("chunks_removed"),
+                      F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+# lines, the rolling value over three line hashes, chunks, first occurrences
+SQL_OP3 = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+v AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS v FROM l),
+r AS (SELECT *, v + 31 * coalesce(lag(v) OVER d, 0) + 961 * coalesce(lag(v, 2) OVER d, 0) AS r,
+             lead(i) OVER d IS NULL AS last FROM v WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum((r % 4 = 0 OR last)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
+k AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM c GROUP BY ALL),
+f AS (SELECT *, n >= 2 AND regexp_matches(t, '[^ \t\n\r\x0b\x0c]')
+             AND row_number() OVER (PARTITION BY t ORDER BY doc_id, chunk) > 1 AS gone FROM k)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS lines_removed,
+       count(*) FILTER (gone) AS chunks_removed,
+       sha256(coalesce(string_agg(t, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+
+def op4_decontaminate(spark, sf_dir):
+    out = scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), n=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+SQL_OP4 = r"""
+WITH
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS win
+      FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM i))),
+h AS (SELECT doc_id, s, x.k, item_id FROM x JOIN i ON x.k = i.k AND x.win = i.win),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op6_mix(spark, sf_dir):
+    return plan_mix(_t(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(_t(spark, sf_dir, "documents"), keep="max")
 
@@ -24,11 +81,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": op3_line_dedup,
+        "op4_decontaminate": op4_decontaminate,
+        "op6_mix": op6_mix,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": SQL_OP3,
+        "op4_decontaminate": SQL_OP4,
         "op10_exact_dedup": SQL_OP10,
     }
