@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winsight.llm import langid, toxicity
 from winsight.llm.decontaminate import scan
 from winsight.llm.exact import exact_dedup
 from winsight.llm.lines import dedup_lines
 from winsight.llm.mixing import plan_mix
+from winsight.llm.repeats import remove_repeats
+from winsight.llm.simhash import near_duplicates
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return remove_repeats(_t(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     out = dedup_lines(_t(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_lines_removed").alias("lines_removed"),
@@ -63,11 +70,29 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op5_simhash(spark, sf_dir):
+    return near_duplicates(_t(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 def op6_mix(spark, sf_dir):
     return plan_mix(_t(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op8_language(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _t(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(_t(spark, sf_dir, "documents"), keep="max")
 
@@ -81,9 +106,13 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op5_simhash": op5_simhash,
         "op6_mix": op6_mix,
+        "op8_language": op8_language,
+        "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
