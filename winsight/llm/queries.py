@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from winsight.llm import langid, toxicity
 from winsight.llm.decontaminate import scan
 from winsight.llm.exact import exact_dedup
+from winsight.llm.licences import scan_licences
 from winsight.llm.lines import dedup_lines
 from winsight.llm.mixing import plan_mix
+from winsight.llm.preferences import format_preferences
 from winsight.llm.repeats import remove_repeats
 from winsight.llm.simhash import near_duplicates
 
@@ -18,6 +21,33 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preferences(spark, sf_dir):
+    """The table marks no preferences: conversations 2k and 2k + 1 stand for the two sides of pair k."""
+    out = format_preferences(_t(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    spans = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return out.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
+SQL_OP1 = """
+WITH t AS (SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS c, role, text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+                  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r,
+                  length(coalesce(role, '')) + 5 AS head FROM conversations),
+m AS (SELECT a.pair, min(a.i) AS i FROM t a JOIN t b ON a.pair = b.pair AND a.i = b.i AND a.c AND NOT b.c
+      WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
+n AS (SELECT pair, coalesce(any_value(m.i) - 1, least(count(*) FILTER (c), count(*) FILTER (NOT c))) AS n
+      FROM t LEFT JOIN m USING (pair) GROUP BY 1),
+x AS (SELECT *, sum(CASE WHEN t.i > n THEN length(r) ELSE 0 END) OVER (PARTITION BY pair, c ORDER BY i) AS e FROM t JOIN n USING (pair)),
+y AS (SELECT *, (e - length(r) + head)::BIGINT || '-' || e::BIGINT AS span FROM x)
+SELECT pair, any_value(n)::BIGINT AS prompt_turns, coalesce(string_agg(r, '' ORDER BY i) FILTER (c AND i <= n), '') AS prompt,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (c AND i > n), '') AS chosen,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (NOT c AND i > n), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY i) FILTER (c AND i > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(span, ',' ORDER BY i) FILTER (NOT c AND i > n AND role = 'assistant'), '') AS rejected_mask
+FROM y GROUP BY pair
+"""
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return remove_repeats(_t(spark, sf_dir, "documents"))
 
@@ -79,6 +109,13 @@ def op6_mix(spark, sf_dir):
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op7_licences(spark, sf_dir):
+    """The table has no paths: a document's is its source, a folder of a hundred ids, and its id."""
+    docs = _t(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op8_language(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out()))
@@ -106,19 +143,23 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     return {
+        "op1_preferences": op1_preferences,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash": op5_simhash,
         "op6_mix": op6_mix,
+        "op7_licences": op7_licences,
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_preferences": SQL_OP1,
         "op3_line_dedup": SQL_OP3,
         "op4_decontaminate": SQL_OP4,
         "op10_exact_dedup": SQL_OP10,
