@@ -22,7 +22,7 @@ from winsight.functions.time import epoch_ms, epoch_s, floor_div, from_micros, p
 from winsight.operators import measures as M
 from winsight.operators.batches import assign_batches, batch_markers
 from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_stats, run_summary,
-                                     segment_by_marker, source_totals)
+                                     segment_by_marker, source_totals, weighted_rows)
 from winsight.operators.suite import union_results, window_result
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
 from winsight.monitor import Monitor
@@ -367,7 +367,7 @@ def q_distinct_windows(spark, sf_dir):
 def q_rows_of_window(spark, sf_dir):
     w = assign_windows(_t(spark, sf_dir, "events"), HOUR, "ts")
     start, end = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-02 01:00:00").cast("timestamp_ntz")
-    rows = rows_of_window(w, start, end, {"event_type": "click"})
+    rows = rows_of_window(w, start, end, {"event_type": "click"}, time_col="ts")
     return rows.select("event_id", "user_id", "value")
 
 
@@ -386,8 +386,7 @@ def _ms(c):
 
 def q_json_decode(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
-    msgs = ev.select("event_id", F.when(F.col("event_type") == "error", F.substring("props", 1, 4))
-                     .otherwise(F.col("props")).cast("binary").alias("value"))
+    msgs = ev.select("event_id", F.col("props").cast("binary").alias("value"))
     # k declared double: a nullable number column reads the same from every engine
     schema = T.StructType([T.StructField("k", T.DoubleType())])
     return decode_json(msgs, schema, keep=["event_id"])
@@ -420,9 +419,23 @@ def q_parse_ts(spark, sf_dir):
 
 def q_safe_cast(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(
-        "o_orderkey", F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1), F.lit(" ")).alias("prio"),
-        F.col("o_orderstatus").alias("status"))
-    return safe_cast(o, {"prio": "bigint", "status": "bigint", "absent": "bigint"})
+        "o_orderkey", F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("key_text"),
+        F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"))
+    return safe_cast(o, {"key_text": "bigint", "prio": "bigint", "status": "bigint", "absent": "bigint"})
+
+
+def q_safe_cast_typed(spark, sf_dir):
+    """Typed columns: a double to whole numbers and a boolean to a number."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("price"),
+                                           (F.col("o_totalprice") > 100000).alias("large"))
+    return safe_cast(o, {"price": "bigint", "large": "bigint"})
+
+
+def q_bigint_mean(spark, sf_dir):
+    """Means over whole numbers whose sum leaves the bigint range."""
+    ev = _t(spark, sf_dir, "events").withColumn("big", F.col("user_id").cast("long") + F.lit(4_000_000_000_000_000_000))
+    out = windowed_measures(ev, WindowSpec.tumbling("1440 minutes"), "ts", {"n": M.size(), "mean_big": M.mean("big")})
+    return out.select("window_start", "window_end", "n", F.round(F.col("mean_big") / 1e15, 6).alias("mean_big"))
 
 
 def q_rename_tag(spark, sf_dir):
@@ -496,7 +509,7 @@ def q_segments(spark, sf_dir):
 
 def q_source_totals(spark, sf_dir):
     msgs = classify(event_messages(spark, sf_dir), MARKER, SOURCES, DEFAULT_SOURCE)
-    return source_totals(segment_by_marker(msgs))
+    return source_totals(segment_by_marker(weighted_rows(msgs)))
 
 
 def q_run_summary(spark, sf_dir):
@@ -543,7 +556,7 @@ def q_union_results(spark, sf_dir):
     day = WindowSpec.tumbling("1440 minutes")
     a = window_result(reddit_like_suite().evaluate(ev, HOUR, "ts"), HOUR, {"suite": "reddit_like"})
     b = window_result(products_like_suite().evaluate(ev, day, "ts"), day, {"suite": "products_like"})
-    return union_results(a, b)
+    return union_results(a, b).drop("time")  # the time the record was made
 
 
 _SLIDE_ROWS = """
@@ -570,8 +583,7 @@ from events where ts is not null group by 1, 2
 """
 
 SQL_JSON_DECODE = """
-select event_id, case when event_type = 'error' then null else cast(json_extract(props, '$.k') as double) end k
-from events
+select event_id, cast(json_extract(props, '$.k') as double) k from events
 """
 
 SQL_EPOCH_MS = "select event_id, (epoch_us(ts) // 1000) ms, epoch_ms(epoch_us(ts) // 1000) ts_ms from events"
@@ -587,11 +599,22 @@ from (select event_id, case when event_type = 'error' then 'bad' else strftime(t
 """
 
 SQL_SAFE_CAST = """
-select o_orderkey, try_cast(trim(' ' || substr(o_orderpriority, 1, 1) || ' ') as bigint) prio,
+select o_orderkey, o_orderkey key_text, try_cast(trim(o_orderpriority) as bigint) prio,
        try_cast(trim(o_orderstatus) as bigint) status
 from orders
 """
 
+SQL_SAFE_CAST_TYPED = """
+select o_orderkey, floor(o_totalprice)::bigint price, (o_totalprice > 100000)::bigint large from orders
+"""
+
+SQL_BIGINT_MEAN = """
+select time_bucket(interval 1 day, ts, timestamp '1970-01-01') window_start,
+       time_bucket(interval 1 day, ts, timestamp '1970-01-01') + interval 1 day window_end, count(*) n,
+       round((sum(user_id::hugeint + 4000000000000000000)::double / count(user_id)) / 1e15, 6) mean_big
+from events where ts is not null group by 1, 2
+"""
+
 SQL_RENAME_TAG = "select event_id, event_type tag from events"
 
 SQL_PACK_MESSAGES = "select 'winsight' \"key\", event_id, event_type, value, '8' num_cores from events"
@@ -657,7 +680,7 @@ _LATEST = """
 select event_type run, max((epoch_us(ts) // 1000)) latest, count(distinct file) n_files
 from (select *, case when event_type = 'signup' and hour(ts) >= 20 then 'c.csv'
                      when hour(ts) < 12 then 'a.csv' else 'b.csv' end file from events) x
-group by 1 having count(distinct file) between 1 and 2
+group by 1
 """
 
 SQL_RUN_LATEST = _LATEST
@@ -691,7 +714,7 @@ where window_end <= (select max(ts) from events)
 """
 
 SQL_STREAM_SESSION_UNIQUE = f"""
-select * from ({SQL_SESSION_UNIQUE}) x where window_end < (select max(ts) from events)
+select * from ({SQL_SESSION_UNIQUE}) x where window_end <= (select max(ts) from events)
 """
 
 SQL_STREAM_SUMMARY = _MSGS + """,
@@ -781,6 +804,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "epoch_s": q_epoch_s,
         "parse_ts": q_parse_ts,
         "safe_cast": q_safe_cast,
+        "safe_cast_typed": q_safe_cast_typed,
+        "bigint_mean": q_bigint_mean,
         "rename_tag": q_rename_tag,
         "pack_messages": q_pack_messages,
         "route_keys": q_route_keys,
@@ -830,6 +855,8 @@ def oracle_sql() -> dict[str, str]:
         "epoch_s": SQL_EPOCH_S,
         "parse_ts": SQL_PARSE_TS,
         "safe_cast": SQL_SAFE_CAST,
+        "safe_cast_typed": SQL_SAFE_CAST_TYPED,
+        "bigint_mean": SQL_BIGINT_MEAN,
         "rename_tag": SQL_RENAME_TAG,
         "pack_messages": SQL_PACK_MESSAGES,
         "route_keys": SQL_ROUTE_KEYS,

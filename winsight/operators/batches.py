@@ -8,6 +8,8 @@ single-partition ``row_number``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +17,25 @@ from ..plans.prefix import ordinal
 
 
 def parse_sizes(text: str) -> list[int]:
-    """``"100, 200,300"`` -> ``[100, 200, 300]``."""
-    sizes = [int(x.strip()) for x in str(text).strip().split(",")]
-    if not sizes or any(s <= 0 for s in sizes):
-        raise ValueError(f"batch sizes must be positive: {text!r}")
+    """A comma list of positive whole numbers; an error names the item that is none."""
+    sizes = []
+    for place, item in enumerate(str(text).split(","), start=1):
+        if not re.fullmatch(r"\s*0*[1-9][0-9]*\s*", item):
+            raise ValueError(f"batch size {place} of {text!r} is not a positive whole number: {item.strip()!r}")
+        sizes.append(int(item))
     return sizes
 
 
-def assign_batches(df: DataFrame, order_col: str, sizes, partition_cols=(), *, block: int | None = None) -> DataFrame:
-    """B1: add ``batch_id`` (1-based) and ``batch_size`` (its target size)."""
+def assign_batches(df: DataFrame, order_col: str, sizes, partition_cols=(), *, block: int | None = None,
+                   tie_cols=()) -> DataFrame:
+    """B1: add ``batch_id`` (1-based) and ``batch_size`` (its target size).
+
+    ``tie_cols`` settle the order of rows with equal ``order_col``.
+    """
     sizes = list(sizes)
     cycle = sum(sizes)
     kw = {"block": block} if block else {}
-    d = ordinal(df, order_col, partition_cols, out="_rn", **kw)
+    d = ordinal(df, order_col, partition_cols, out="_rn", tie_cols=tie_cols, **kw)
     r0 = F.col("_rn") - 1
     pos = F.pmod(r0, F.lit(cycle))
     full = ((r0 - pos) / F.lit(cycle)).cast("long")

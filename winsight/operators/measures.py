@@ -54,9 +54,11 @@ class Measure:
         object.__setattr__(self, "values", tuple(self.values))
 
     # -- partials -------------------------------------------------------
-    def partials(self) -> list[Partial]:
+    def partials(self, whole=frozenset()) -> list[Partial]:
+        """``whole``: columns of whole numbers; they are summed as decimals, which cannot overflow."""
         c = F.col(self.column) if self.column else None
         k, name = self.kind, self.column
+        summed = c.cast("decimal(19,0)") if name in whole else c
         if k == "size":
             return []
         if k == "count":
@@ -66,9 +68,9 @@ class Measure:
         if k == "min":
             return [Partial(f"_min__{name}", F.min(c), "min")]
         if k == "mean":
-            return [Partial(f"_sum__{name}", F.sum(c), "sum"), Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_sum__{name}", F.sum(summed), "sum"), Partial(f"_nn__{name}", F.count(c), "sum")]
         if k == "sum":
-            return [Partial(f"_sum__{name}", F.sum(c), "sum")]
+            return [Partial(f"_sum__{name}", F.sum(summed), "sum")]
         if k == "completeness":
             return [Partial(f"_nn__{name}", F.count(c), "sum")]
         if k == "conformance":

@@ -46,33 +46,25 @@ def segment_by_marker(df: DataFrame, is_marker="is_marker", order_col: str = "of
 
 def source_totals(segmented: DataFrame, partition_cols=("partition",), segment: str = "segment") -> DataFrame:
     """A2: per segment and source: windows, last arrival (-1 if none) and
-    summed processing time (``checkingTimeMs``, else arrival - ``time``)."""
-    fields = F.from_json(F.col("value").cast("string"), RESULT_FIELDS)
-    proc = F.coalesce(fields["checkingTimeMs"], F.col("arrival") - fields["time"])
+    summed processing time (``checkingTimeMs``, else arrival - ``time``), from
+    segmented :func:`weighted_rows`."""
     return (segmented.where(~F.col("is_marker"))
             .groupBy(*partition_cols, segment, "source")
-            .agg(F.count(F.lit(1)).alias("number_of_windows"),
-                 F.coalesce(F.max("arrival"), F.lit(-1)).cast("long").alias("max_timestamp"),
-                 F.sum(proc).cast("long").alias("processing_time")))
+            .agg(F.sum("_w").alias("number_of_windows"),
+                 F.coalesce(F.max("_arr"), F.lit(-1)).cast("long").alias("max_timestamp"),
+                 F.sum("_proc").cast("long").alias("processing_time")))
 
 
-def markers(segmented: DataFrame, partition_cols=("partition",), segment: str = "segment") -> DataFrame:
-    """Marker rows with their fields; a missing field reads as -1."""
-    f = F.from_json(F.col("value").cast("string"), MARKER_FIELDS)
-    return segmented.where(F.col("is_marker")).select(
-        *partition_cols, segment, "offset",
-        *[F.coalesce(f[n], F.lit(-1)).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
-
-
-def weighted_rows(segmented: DataFrame, partition_cols=("partition",), segment: str = "segment") -> DataFrame:
-    """Rows ready for :func:`segment_summaries`: weight 1, arrival, processing
-    time (results) or marker fields (markers).  JSON is parsed only for the
-    rows that need it."""
+def weighted_rows(classified: DataFrame, partition_cols=("partition",)) -> DataFrame:
+    """Classified messages reduced to numbers: weight 1, arrival, processing
+    time (results) or marker fields (markers).  JSON is parsed here, only for
+    the rows that need it, and the raw value goes no further: it never rides
+    through the segmentation's shuffle."""
     m = F.col("is_marker")
     res = F.from_json(F.col("value").cast("string"), RESULT_FIELDS)
     mk = F.from_json(F.col("value").cast("string"), MARKER_FIELDS)
-    return segmented.select(
-        *partition_cols, segment, "is_marker", "offset", "source", F.lit(1).cast("long").alias("_w"),
+    return classified.select(
+        *partition_cols, "is_marker", "offset", "source", F.lit(1).cast("long").alias("_w"),
         F.col("arrival").cast("long").alias("_arr"),
         F.when(~m, F.coalesce(res["checkingTimeMs"], F.col("arrival") - res["time"])).cast("long").alias("_proc"),
         *[F.when(m, mk[n]).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
@@ -127,19 +119,23 @@ def run_summary(messages: DataFrame, marker_key: str, sources, default: str, con
     segment it closes, run constants.  A source is active when its last
     arrival is > 0 (F3).  One segmentation pass and one grouping; no join."""
     parts = list(partition_cols)
-    seg = segment_by_marker(classify(messages, marker_key, sources, default), partition_cols=parts)
+    seg = segment_by_marker(weighted_rows(classify(messages, marker_key, sources, default), parts), partition_cols=parts)
     names = all_sources(sources, default)
-    per_src = per_source(segment_summaries(weighted_rows(seg, parts), names, parts), names)
+    per_src = per_source(segment_summaries(seg, names, parts), names)
     return summary_rows(per_src, constants, parts)
 
 
 # ---------------------------------------------------------------- timings
 def latest_by_run(timings: DataFrame, run_col: str = "run", file_col: str = "file",
-                  ts_col: str = "timestamp") -> DataFrame:
-    """A5: greatest timestamp per run over its files; only runs with 1 or 2 files."""
-    return (timings.groupBy(run_col)
-                   .agg(F.max(ts_col).cast("long").alias("latest"), F.countDistinct(file_col).alias("n_files"))
-                   .where(F.col("n_files").between(1, 2)))
+                  ts_col: str = "timestamp", max_files: int | None = None) -> DataFrame:
+    """A5: greatest timestamp per run over its files, and how many files there are.
+
+    A run folder written by a distributed job has a file per task, so every
+    run counts.  ``max_files`` leaves out runs with more files, for folders
+    where that marks a broken run; it is off by default.
+    """
+    latest = timings.groupBy(run_col).agg(F.max(ts_col).cast("long").alias("latest"), F.countDistinct(file_col).alias("n_files"))
+    return latest if max_files is None else latest.where(F.col("n_files") <= max_files)
 
 
 def run_elapsed(latest: DataFrame, start: Column | int, elements: int, sleep: float) -> DataFrame:
@@ -151,6 +147,8 @@ def run_elapsed(latest: DataFrame, start: Column | int, elements: int, sleep: fl
 def run_stats(values: DataFrame, run_col: str = "run", value_col: str = "value") -> DataFrame:
     """Mean and population standard deviation per run."""
     v = F.col(value_col)
+    if isinstance(values.schema[value_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        v = v.cast("decimal(38,0)")  # whole numbers: the sum must not overflow
     # sum / count rather than avg: exact for decimal input, and the same double for any summation order
     return values.groupBy(run_col).agg(
         F.count(v).alias("n"), (F.sum(v).cast("double") / F.nullif(F.count(v), F.lit(0))).alias("mean"),

@@ -12,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.durations import WindowSpec
-from ..plans.aggregate import WS, WE, windowed_measures
+from ..plans.aggregate import WS, WE, check_names, windowed_measures
 from . import constraints as C
 from . import measures as M
 
@@ -34,8 +35,10 @@ class Suite:
         self.constraints: list[C.Constraint] = list(constraints)
 
     def add(self, constraint: C.Constraint) -> "Suite":
-        if constraint.name in {c.name for c in self.constraints} | {SIZE, FAILED}:
+        taken = {SIZE, FAILED} | {n for c in self.constraints for n in (c.name, f"{c.name}_ok")}
+        if {constraint.name, f"{constraint.name}_ok"} & taken:
             raise ValueError(f"duplicate constraint name {constraint.name!r}")
+        check_names([constraint.name, f"{constraint.name}_ok"], ())
         self.constraints.append(constraint)
         return self
 
@@ -76,6 +79,7 @@ class Suite:
         ``<name>_ok`` verdict, and ``num_failed``."""
         if not self.constraints:
             raise ValueError("suite has no constraints")
+        check_names([*self.measures(), FAILED, *[f"{c.name}_ok" for c in self.constraints]], tags)
         return self.finish(windowed_measures(df, window, time_col, self.measures(), tags, watermark=watermark))
 
     def stream_sessions(self, spark, window: WindowSpec, time_col: str, tags=(), *, delay_ms: int = 0,
@@ -93,21 +97,32 @@ class Suite:
         return measured.select("*", *oks).withColumn(FAILED, failed)
 
     def verdict_rows(self, result: DataFrame, keep=()) -> DataFrame:
-        """C11: one row per (window, constraint) with value (double) and verdict."""
-        items = F.array(*[F.struct(F.lit(c.name).alias("constraint"),
-                                   F.col(c.name).cast("double").alias("value"),
-                                   F.col(f"{c.name}_ok").alias("ok")) for c in self.constraints])
-        return result.select(*keep, WS, WE, F.inline(items))
+        """C11: one row per (window, constraint) with value (double) and verdict.
+
+        A value that is no number (the maximum of a text or time column) has a
+        null ``value``; where a constraint of the suite measures such a
+        column, a further column ``text_value`` shows every value as text.
+        """
+        texts = [c.name for c in self.constraints if not isinstance(result.schema[c.name].dataType, (T.NumericType, T.BooleanType))]
+
+        def item(c):
+            value = F.col(c.name)
+            number = F.lit(None).cast("double") if c.name in texts else value.cast("double")
+            shown = [value.cast("string").alias("text_value")] if texts else []
+            return F.struct(F.lit(c.name).alias("constraint"), number.alias("value"), F.col(f"{c.name}_ok").alias("ok"), *shown)
+
+        return result.select(*keep, WS, WE, F.inline(F.array(*[item(c) for c in self.constraints])))
 
 
 def window_result(result: DataFrame, window: WindowSpec, constants: dict | None = None,
                   keep=()) -> DataFrame:
     """Result record per (tag, window) -- bounds, window type and duration,
-    batch size, failed count, plus run constants (e.g. core count)."""
+    batch size, failed count, ``time`` (epoch ms at which the record was made;
+    in a stream, of its micro-batch), plus run constants (e.g. core count)."""
     cols: list[Column] = [F.col(k) for k in keep]
     cols += [F.col(WS), F.col(WE), F.lit(window.kind).alias("window_type"),
              F.lit(window.duration if window.kind != "session" else window.gap).alias("window_duration"),
-             F.col(SIZE), F.col(FAILED)]
+             F.col(SIZE), F.col(FAILED), F.unix_millis(F.current_timestamp()).alias("time")]
     cols += [F.lit(v).alias(k) for k, v in (constants or {}).items()]
     return result.select(*cols)
 

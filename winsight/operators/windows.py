@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +54,17 @@ def distinct_windows(windowed: DataFrame, tags=()) -> DataFrame:
     return windowed.select(*tags, WS, WE).distinct()
 
 
-def rows_of_window(windowed: DataFrame, start, end, tag_values: dict | None = None) -> DataFrame:
-    """rows of one window; tag equality is null-safe (a null tag is a group)."""
+def rows_of_window(windowed: DataFrame, start, end, tag_values: dict | None = None,
+                   time_col: str | None = None) -> DataFrame:
+    """rows of one window; tag equality is null-safe (a null tag is a group).
+
+    With ``time_col`` the bounds are also stated on the event time itself, so
+    that they reach the scan and files outside the window are not read.
+    """
     cond = F.col(WS).eqNullSafe(F.lit(start)) & F.col(WE).eqNullSafe(F.lit(end))
+    if time_col is not None:
+        cond = cond & (F.col(time_col) >= F.lit(start)) & (F.col(time_col) < F.lit(end))
     for k, v in (tag_values or {}).items():
         cond = cond & F.col(k).eqNullSafe(F.lit(v))
     return windowed.where(cond).drop("window", WS, WE)
 
-
-def non_empty(df: DataFrame) -> bool:
-    """guard used before writing a batch (one-row probe, not a count)."""
-    return not df.isEmpty()
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

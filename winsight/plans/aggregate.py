@@ -5,7 +5,9 @@ present; every level below the first works on partials, never on rows):
 
 * tumbling            ``groupBy(tags, window(ts, d))``                      1 level
 * sliding, batch      rows -> panes of gcd(d, s) -> windows                 2 levels
-* sliding, stream, or with uniqueness: ``groupBy(tags, window(ts, d, s))`` 1 level
+* sliding, stream     ``groupBy(tags, window(ts, d, s))``                  1 level
+* sliding, batch, with uniqueness: the pane plan for everything else, plus
+  (value, pane) counts turned into ranges of windows (see ``sliding``)
 * session, batch      rows -> gap-sized buckets -> sessions (see sessions)  2 levels
 * session, stream     ``groupBy(tags, session_window(ts, gap))``            1 level
 * + uniqueness        one more level keyed by the value; the value level is
@@ -18,6 +20,7 @@ one tag, window or value) costs one partial row per task, not one task.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import gcd
 
@@ -41,14 +44,32 @@ def check_columns(df: DataFrame, names) -> None:
         raise ValueError(f"unknown column(s) {missing}; have {df.columns}")
 
 
-def collect_partials(measures) -> list[Partial]:
+def whole_columns(df: DataFrame) -> frozenset:
+    """Columns of whole numbers, whose sums could overflow their own type."""
+    return frozenset(f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)))
+
+
+def collect_partials(measures, whole=frozenset()) -> list[Partial]:
     seen: dict[str, Partial] = {N: Partial(N, F.count(F.lit(1)), "sum")}
     for m in measures:
-        for p in m.partials():
+        for p in m.partials(whole):
             seen.setdefault(p.name, p)
     return list(seen.values())
 
 
+#: Column names the plans use themselves.
+RESERVED = re.compile(r"_(n|w|p|k|ws|b|sid|us|d|blk|v|seed|all|chunk|tmin|tmax|closed|start)$|_(nn|max|min|sum|in|out|neg|uq1|uqn)__")
+
+
+def check_names(names, tags) -> None:
+    """Output names must differ from each other, from tags and bounds, and from the plans' own columns."""
+    taken = {*tags, WS, WE}
+    for n in names:
+        if n in taken or RESERVED.match(n):
+            raise ValueError(f"output name {n!r} is taken; choose another (tags {list(tags)}, bounds and inner names are reserved)")
+        taken.add(n)
+
+
 def _extra(tags, u) -> list[str]:
     """Grouping column for the value level (none when the value is a tag)."""
     return [u] if u and u not in tags else []
@@ -74,7 +95,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 # --------------------------------------------------------------------------
 def _plan_time_window(df, spec: WindowSpec, ts, tags, partials, u):
-    """Tumbling, and sliding when streaming or measuring uniqueness: Spark's window()."""
+    """Tumbling, and sliding when streaming: Spark's window()."""
     if spec.kind == "tumbling":
         w = F.window(ts, spark_interval(spec.duration_ms))
     else:
@@ -87,29 +108,29 @@ def _plan_time_window(df, spec: WindowSpec, ts, tags, partials, u):
                         *[c for c in level.columns if c not in keys])
 
 
-def _plan_panes(df, spec: WindowSpec, ts, tags, partials, u, dtype):
+def _plan_panes(df, spec: WindowSpec, ts, tags, partials, uniq, dtype):
     """Sliding batch: aggregate panes of gcd(d, s) once, then fan panes out.
 
     Each row is aggregated once; only pane partials are replicated to the
     d/s windows that cover them (window() would replicate every row).
+    Uniqueness adds its own counts per window (``sliding.unique_events``).
     """
     d, s = spec.duration_ms * 1000, spec.slide_ms * 1000
     g = gcd(d, s)
     pane = floor_div(to_micros(ts, dtype), g).alias("_p")
-    lvl = df.groupBy(*tags, pane, *_extra(tags, u)).agg(*[p.expr.alias(p.name) for p in partials])
+    lvl = df.groupBy(*tags, pane).agg(*[p.expr.alias(p.name) for p in partials])
     p = F.col("_p")
     k_hi = floor_div(p * g, s)
     k_lo = -floor_div(-((p + 1) * g - d), s)
-    lvl = (lvl.where(k_lo <= k_hi)
-              .withColumn("_k", F.explode(F.sequence(k_lo, k_hi)))
-              .withColumn("_ws", F.col("_k") * s)
-              .drop("_p", "_k"))
-    keys = list(tags) + ["_ws"]
-    lvl = lvl.groupBy(*keys, *_extra(tags, u)).agg(*_merge(partials))
-    if u:
-        lvl = lvl.groupBy(*keys).agg(*_merge(partials, _unique_parts(u)))
-    return lvl.select(*tags, from_micros(F.col("_ws"), dtype).alias(WS),
-                      from_micros(F.col("_ws") + d, dtype).alias(WE),
+    lvl = lvl.where(k_lo <= k_hi).withColumn("_k", F.explode(F.sequence(k_lo, k_hi))).drop("_p")
+    keys = list(tags) + ["_k"]
+    if uniq:
+        from .sliding import unique_counts
+        lvl = unique_counts(lvl, df.select("*", pane), tags, uniq, partials, d // g, s // g)
+    else:
+        lvl = lvl.groupBy(*keys).agg(*_merge(partials))
+    start = F.col("_k") * s
+    return lvl.select(*tags, from_micros(start, dtype).alias(WS), from_micros(start + d, dtype).alias(WE),
                       *[c for c in lvl.columns if c not in keys])
 
 
@@ -178,23 +199,22 @@ def windowed_measures(df: DataFrame, spec: WindowSpec, time_col: str, measures:
     else:
         df = df.where(F.col(time_col).isNotNull())
 
+    check_names(measures, tags)
     uniq = list(dict.fromkeys(m.column for m in measures.values() if m.kind == "unique"))
-    partials = collect_partials(measures.values())
+    partials = collect_partials(measures.values(), whole_columns(df))
 
     def plan(parts, u):
-        # Sliding windows: panes aggregate every row once, which wins for
-        # mergeable measures.  With a uniqueness measure the (window, value)
-        # level must be built anyway, and a pane level in front of it only adds
-        # a shuffle when values rarely repeat, so Spark's window() is used.
-        if spec.kind == "tumbling" or (spec.kind == "sliding" and (streaming or u)):
+        if spec.kind == "tumbling" or (spec.kind == "sliding" and streaming):
             return _plan_time_window(df, spec, time_col, tags, parts, u)
-        if spec.kind == "sliding":
-            return _plan_panes(df, spec, time_col, tags, parts, u, dtype)
         if streaming:
             return _plan_session_stream(df, spec, time_col, tags, parts, u)
         return _plan_session_batch(df, spec, time_col, tags, parts, u, dtype)
 
-    out = plan(partials, uniq[0] if uniq else None)
+    if spec.kind == "sliding" and not streaming:
+        out = _plan_panes(df, spec, time_col, tags, partials, uniq, dtype)
+        uniq = []
+    else:
+        out = plan(partials, uniq[0] if uniq else None)
     if len(uniq) > 1:
         if streaming:
             raise NotImplementedError("one uniqueness column per streaming query; start one query per column")

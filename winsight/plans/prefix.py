@@ -1,47 +1,79 @@
 """Running sums over an ordered key without a single-partition window.
 
 ``Window.orderBy(x)`` with no partition moves every row into one task.  Here
-the order key (an offset or id, unique within a partition) is cut into blocks
-of ``block`` consecutive values: block totals are an ordinary aggregate, the
-running total over blocks is a window over the small block table, and the
-running sum inside a block is a window partitioned by block (at most
-``block`` rows each).  The block table joins back on its key; AQE turns that
-join into a broadcast only when the measured block table is small.
+the order key is cut into blocks of about ``block`` rows: the width of a block
+follows from the key's range and the number of rows (one aggregate over the
+key, planned as a scalar subquery), so sparse keys do not make a block of
+every row.  Block totals are an ordinary aggregate.  Each block then starts
+from one *seed row* that carries the sum of all earlier blocks; seeds are
+unioned to the rows before the window, so the rows are shuffled exactly once
+and nothing is joined to them.
+
+The sum over blocks works on the block table in two levels (groups of
+``GROUP`` blocks), so no task sees more than ``GROUP`` blocks of one partition,
+plus one row per group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.time import floor_div
 from .aggregate import null_safe_join
 
-DEFAULT_BLOCK = 1 << 20
+DEFAULT_BLOCK = 1 << 14
 BLOCK_CONF = "spark.winsight.prefixBlockRows"
+GROUP = 4096
+
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _block_of(df: DataFrame, order_col: str, block: int) -> Column:
+    """Block number of a row: blocks of equal key width that hold ``block`` rows on average."""
+    key = F.col(order_col).cast("decimal(20,0)")
+    bounds = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).alias("b")).scalar()
+    span = bounds["hi"] - bounds["lo"] + 1
+    blocks = F.greatest(F.lit(1), F.ceil(bounds["n"] / F.lit(block))).cast("decimal(20,0)")
+    width = F.greatest(F.lit(1).cast("decimal(20,0)"), F.ceil(span / blocks).cast("decimal(20,0)"))
+    return F.floor((key - bounds["lo"]) / width).cast("long")
+
+
+def _before(totals: DataFrame, parts: list[str]) -> DataFrame:
+    """``parts, _blk, _before``: the sum of the totals ``_bt`` of all earlier blocks."""
+    t = totals.withColumn("_grp", F.floor(F.col("_blk") / GROUP))
+    groups = t.groupBy(*parts, "_grp").agg(F.sum("_bt").alias("_gt"))
+    over_groups = (Window.partitionBy(*parts) if parts else Window).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*parts, "_grp", F.coalesce(F.sum("_gt").over(over_groups), F.lit(0)).alias("_gb"))
+    inside = Window.partitionBy(*parts, "_grp").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_ib", F.coalesce(F.sum("_bt").over(inside), F.lit(0)))
+    return null_safe_join(t, groups, parts + ["_grp"]).select(*parts, "_blk", (F.col("_gb") + F.col("_ib")).alias("_before"))
 
 
 def running_sum(df: DataFrame, value: Column, order_col: str, partition_cols=(), *, inclusive: bool = True,
-                out: str = "_running", block: int | None = None) -> DataFrame:
+                out: str = "_running", block: int | None = None, tie_cols=()) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows up to this one (``inclusive``) or
     strictly before it, in ``order_col`` order within ``partition_cols``.
 
-    ``block`` (order-key values per block) defaults to the session setting
-    ``spark.winsight.prefixBlockRows`` (1,048,576)."""
+    ``order_col`` is a whole number (checked here).  Where it is not unique,
+    ``tie_cols`` settle the order; without them the order of equal keys is
+    arbitrary.  Rows whose key is null come first, as a block of their own.
+    ``block`` (rows per block) defaults to the session setting
+    ``spark.winsight.prefixBlockRows`` (16,384)."""
     parts = list(partition_cols)
+    if not isinstance(df.schema[order_col].dataType, _INTEGRAL):
+        raise TypeError(f"order column {order_col!r} must be a whole number, not {df.schema[order_col].dataType.simpleString()}")
     block = block or int(df.sparkSession.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK)))
-    d = df.withColumn("_blk", floor_div(F.col(order_col).cast("long"), block)).withColumn("_v", value.cast("long"))
-    totals = d.groupBy(*parts, "_blk").agg(F.sum("_v").alias("_bt"))
-    wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_blk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("_before", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
-    d = null_safe_join(d, before, parts + ["_blk"])
-    wr = Window.partitionBy(*parts, "_blk").orderBy(order_col) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    inner = F.coalesce(F.sum("_v").over(wr), F.lit(0))
-    return d.withColumn(out, (F.col("_before") + inner).cast("long")).drop("_blk", "_v", "_before")
-
-
-def ordinal(df: DataFrame, order_col: str, partition_cols=(), *, out: str = "_rn", block: int | None = None):
-    """1-based row number in ``order_col`` order (``order_col`` unique)."""
-    return running_sum(df, F.lit(1), order_col, partition_cols, inclusive=True, out=out, block=block)
+    rows = df.withColumn("_blk", F.coalesce(_block_of(df, order_col, block), F.lit(-1))).withColumn("_v", value.cast("long"))
+    totals = rows.groupBy(*parts, "_blk").agg(F.sum("_v").alias("_bt"))
+    seeds = _before(totals, parts).select(*parts, "_blk", F.col("_before").alias("_v"), F.lit(True).alias("_seed"))
+    both = rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    order = [F.col("_seed").desc(), F.col(order_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie_cols]]
+    inside = Window.partitionBy(*parts, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    summed = both.withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0)).cast("long"))
+    return summed.where(~F.col("_seed")).select(*df.columns, out)
+
+
+def ordinal(df: DataFrame, order_col: str, partition_cols=(), *, out: str = "_rn", block: int | None = None, tie_cols=()):
+    """1-based row number in ``order_col`` order."""
+    return running_sum(df, F.lit(1), order_col, partition_cols, inclusive=True, out=out, block=block, tie_cols=tie_cols)

@@ -26,6 +26,9 @@ TIMING_LAYOUTS = {
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType, fill_empty_strings: bool = True) -> DataFrame:
     """S3: headered UTF-8 CSV with quoted multi-line cells.
 
+    Cells that span lines cannot be split inside a file, so one file is one
+    task: keep many files of moderate size rather than one large one.
+
     Spark reads empty cells as null; a dict-row CSV reader keeps ``''``, so
     string columns are filled back to ``''`` (completeness depends on it).
     """
@@ -45,9 +48,9 @@ def read_timings_csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
         raise ValueError(f"unknown timing layout {layout!r}; choose from {sorted(TIMING_LAYOUTS)}")
     spec = TIMING_LAYOUTS[layout]
     if spec["header"]:
-        ts_name = spec["rename"] or "timestamp"
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        ts = F.col(ts_name)
+        # a header decides where the column is, file by file: the lines are read as
+        # text, and each file's first line is joined back to its other lines
+        return _headered_timings(spark, path, spec["rename"] or "timestamp")
     else:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in spec["names"]])
         df = spark.read.schema(schema).option("header", False).csv(path)
@@ -56,6 +59,23 @@ def read_timings_csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
                      F.trim(ts).try_cast("double").cast("long").alias("timestamp"))
 
 
+def _headered_timings(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``file, timestamp`` of headered files whose columns may be in any order.
+
+    One row per file (its header's place of ``name``) is joined to the file's
+    lines.  A file without the column fails the read.
+    """
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+             .where("value <> ''"))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1")))
+    lines = lines.select("file", cells.alias("cells"))
+    head = lines.where(F.array_contains("cells", name)).select(
+        F.col("file").alias("_file"), (F.array_position("cells", name)).cast("int").alias("_at")).groupBy("_file").agg(F.max("_at").alias("_at"))
+    at = F.when(F.col("_at").isNull(), F.raise_error(F.concat(F.lit(f"no column {name!r} in "), "file")).cast("int")).otherwise(F.col("_at"))
+    joined = lines.where(~F.array_contains("cells", name)).join(head, F.col("file") == F.col("_file"), "left")
+    return joined.select("file", F.get("cells", at - 1).try_cast("double").cast("long").alias("timestamp"))
+
+
 def layout_for(run_name: str, rules: dict[str, str], default: str = "three") -> str:
     """Pick a timing layout by a substring of the run name (first match wins)."""
     for needle, layout in rules.items():

@@ -8,8 +8,8 @@ on its new rows *plus* the carried partials of sessions still open:
 * carried state = (tags, bucket[, value]) partial rows of open sessions and
   the largest event time seen, written under the checkpoint folder per batch
   id (a retried batch reads the same state and overwrites the same output);
-* a session is emitted when the watermark (largest event time - delay) is
-  strictly past its end, so an in-order row can no longer join it;
+* a session is emitted when the watermark (largest event time - delay) has
+  reached its end, the rule of Spark's own session operator;
 * rows whose own session ``[ts, ts + gap)`` ends at or before the previous
   batch's watermark are late and dropped.
 
@@ -90,7 +90,7 @@ class SessionMeasures:
             # late rows lie before the previous watermark, so the persisted level
             # (open state + this batch) holds the largest event time seen
             seen_now = F.greatest(seen_before, level.agg(F.max("_tmax")).scalar())
-            closed_flag = (F.col("_tmax") + self.gap) < (seen_now - self.delay)
+            closed_flag = (F.col("_tmax") + self.gap) <= (seen_now - self.delay)
             sess = sess.withColumn("_closed", F.coalesce(closed_flag, F.lit(False))).persist()
             out = sess.where("_closed").select(
                 *self.tags, from_micros(F.col("_sid"), dtype).alias(WS),

@@ -49,9 +49,8 @@ class SummaryStream:
         of this batch).  The per-segment table is read by both writes, so it is
         persisted for the call; the source replays the batch if it is lost.
         """
-        seg = segment_by_marker(classify(batch, self.marker_key, self.sources, self.default),
-                                partition_cols=self.parts)
-        rows = weighted_rows(seg, self.parts)
+        rows = segment_by_marker(weighted_rows(classify(batch, self.marker_key, self.sources, self.default), self.parts),
+                                 partition_cols=self.parts)
         carry = self._read_carry(batch_id, self._carry_schema(batch)).select(
             *self.parts, F.lit(0).cast("long").alias("segment"), F.lit(False).alias("is_marker"),
             F.lit(None).cast("long").alias("offset"), "source", F.col("number_of_windows").alias("_w"),
