@@ -21,7 +21,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 from winsight.checks import clean_comment_records  # noqa: E402
 from winsight.operators.batches import assign_batches, batch_markers, parse_sizes  # noqa: E402
-from winsight.session import checkpoint_dir  # noqa: E402
+from winsight.session import checkpoint_dir, materialise  # noqa: E402
 from winsight.sources.files import read_records_csv  # noqa: E402
 from winsight.sources.messages import to_messages  # noqa: E402
 
@@ -30,7 +30,8 @@ def build(spark: SparkSession, env=os.environ) -> tuple[DataFrame, DataFrame]:
     path = env["RECORDS_CSV"]
     header = spark.read.option("header", True).csv(path).columns  # names only; every cell is text
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = read_records_csv(spark, path, schema).withColumn("_pos", F.monotonically_increasing_id())
+    # the position is written once: it is not the same on every evaluation
+    rows = materialise(read_records_csv(spark, path, schema).withColumn("_pos", F.monotonically_increasing_id()), "replay")
     sizes = parse_sizes(env.get("MESSAGES_PER_WINDOW", "100,200,300"))
     tagged = assign_batches(clean_comment_records(rows), "_pos", sizes).withColumnRenamed("batch_id", "blast_id")
     records = to_messages(tagged.drop("_pos", "batch_size"), env.get("RECORD_KEY", "record"))

@@ -29,8 +29,9 @@ def build(spark: SparkSession, env=os.environ):
                  "number_of_threads": env.get("NUM_THREADS", "1"), "memory_limit": env.get("MEMORY_LIMIT", "8G"),
                  "experiment_type": env.get("EXPERIMENT_TYPE", "kafka")}
     tools = [env.get("MONITOR_KEY", "monitor"), env.get("CHECKS_KEY", "checks")]
-    summary = SummaryStream(spark, env.get("BLAST_KEY", "blast"), tools, tools[0], constants,
-                            base=env.get("SUMMARY_PATH"))
+    if not env.get("SUMMARY_PATH"):
+        raise ValueError("SUMMARY_PATH is not set; name a shared folder that stays the same over restarts")
+    summary = SummaryStream(spark, env.get("BLAST_KEY", "blast"), tools, tools[0], constants, base=env["SUMMARY_PATH"])
     fmt = env.get("SOURCE_FORMAT", "kafka")
     options = {"kafka.bootstrap.servers": env.get("KAFKA_BOOTSTRAP_SERVERS", "localhost:9092"),
                "subscribe": env.get("OUTPUT_TOPIC", "output_topic")} if fmt == "kafka" else {}

@@ -13,6 +13,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from winsight.session import local_session
-    s = local_session("*", 8, "winsight-tests")
+    s = local_session(os.environ.get("TEST_CPUS", "*"), 8, "winsight-tests")
     yield s
     s.stop()

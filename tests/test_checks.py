@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from winsight import WindowSpec
@@ -73,8 +75,11 @@ def test_quality_job_on_file_stream(spark, tmp_path):
     assert out.isStreaming
     from winsight.streaming.suites import run_available
     res = run_available(spark, out, "job_test")
-    assert res.count() >= 1 and set(res.columns) >= {"blast_id", "window_start", "num_failed", "batch_size"}
-    assert res.agg(F.sum("batch_size")).first()[0] <= 12
+    assert set(res.columns) >= {"blast_id", "window_start", "num_failed", "batch_size", "time", "numCores"}
+    # windows [0, 60) and [60, 120) hold 6 records each; the second is still open when the data ends
+    rows = [(r.blast_id, r.window_start.timestamp() if r.window_start.tzinfo else r.window_start, r.batch_size, r.num_failed) for r in res.collect()]
+    assert [(b, n, f) for b, _, n, f in rows] == [("1", 6, 1)]  # ids repeat: one failed check
+    assert all(r.time > 1_600_000_000_000 for r in res.collect())
 
 
 def test_quality_job_sessions(spark, tmp_path):
@@ -89,11 +94,18 @@ def test_quality_job_sessions(spark, tmp_path):
               "blast_id": 1} for k, t in enumerate([0, 2, 4, 30, 31, 100])]
     (src / "m.json").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
     env = {"WINDOW_TYPE": "session", "GAP_DURATION": "5 seconds", "RECORDS": "comments",
-           "SOURCE_FORMAT": "text", "SOURCE_PATH": str(src)}
-    proc, records = job.build(spark, env)
-    q = proc.start(records, trigger={"availableNow": True})
-    q.awaitTermination()
-    rows = sorted((r.batch_size, r.num_failed) for r in proc.result().collect())
+           "SOURCE_FORMAT": "text", "SOURCE_PATH": str(src), "OUTPUT_PATH": str(tmp_path / "out"), "OUTPUT_FORMAT": "json",
+           "CHECKPOINT": str(tmp_path / "chk")}
+    for missing in ("OUTPUT_PATH", "CHECKPOINT"):
+        with pytest.raises(ValueError, match=missing):
+            job.build(spark, {k: v for k, v in env.items() if k != missing})
+    job.start(spark, env, trigger={"availableNow": True}).awaitTermination()
+    read = lambda: sorted((r.batch_size, r.num_failed) for r in spark.read.json(str(tmp_path / "out")).collect())
+    rows = read()
+    assert (tmp_path / "chk" / "checkpoint").exists()
+    # a restart goes on where the job stopped: nothing is appended twice
+    job.start(spark, env, trigger={"availableNow": True}).awaitTermination()
+    assert read() == rows
     # sessions [0, 9) with ids 0,1,2 and [30, 36) with ids 3,0; [100, 105) is still open
     assert rows == [(2, 0), (3, 0)]
 
@@ -164,3 +176,51 @@ def test_summary_job_on_files(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.tool, r.number_of_windows, r.processing_time, r.window_setting) for r in summary.result().collect())
     assert got == [("checks", 1, 5, "tumbling_10 seconds"), ("monitor", 1, 10, "tumbling_10 seconds")]
+
+
+def test_quality_job_feeds_summary_job(spark, tmp_path):
+    """Result records of one job, kept as message files, summarised by the other."""
+    quality, summary_job = _load_job("quality_job"), _load_job("summary_job")
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [{"id_": f"id{k}", "downs": 0, "controversiality": 0, "author": "u", "created_utc": 10 * k, "blast_id": 1} for k in range(20)]
+    (src / "m.json").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+    env = {"WINDOW_TYPE": "tumbling", "WINDOW_DURATION": "1 minutes", "RECORDS": "comments", "SOURCE_FORMAT": "text",
+           "SOURCE_PATH": str(src), "OUTPUT_PATH": str(tmp_path / "results"), "OUTPUT_FORMAT": "json", "CHECKPOINT": str(tmp_path / "chk")}
+    quality.start(spark, env, trigger={"availableNow": True}).awaitTermination()
+    results = spark.read.json(str(tmp_path / "results"))
+    n = results.count()
+    assert n == 3
+    values = [r.value for r in quality.messages_of(results, {"RESULT_KEY": "checks"}).collect()]
+    stamp = "2100-01-01T00:00:00.000Z"
+    msgs = [{"key": "checks", "value": v, "partition": 0, "offset": i, "timestamp": stamp} for i, v in enumerate(values)]
+    msgs.append({"key": "blast", "value": json.dumps({"blast_id": 1, "blast_size": 20}), "partition": 0, "offset": n, "timestamp": stamp})
+    (tmp_path / "msgs").mkdir()
+    (tmp_path / "msgs" / "m.json").write_text("\n".join(json.dumps(m) for m in msgs) + "\n")
+    with pytest.raises(ValueError, match="SUMMARY_PATH"):
+        summary_job.build(spark, {"SOURCE_FORMAT": "json", "SOURCE_PATH": str(tmp_path / "msgs")})
+    summary, messages = summary_job.build(spark, {"SOURCE_FORMAT": "json", "SOURCE_PATH": str(tmp_path / "msgs"), "SUMMARY_PATH": str(tmp_path / "sum")})
+    summary.start(messages, trigger={"availableNow": True}).awaitTermination()
+    got = summary.result().collect()
+    assert [(r.tool, r.number_of_windows, r.blast_id) for r in got] == [("checks", 3, 1)]
+    assert got[0].processing_time is not None and got[0].processing_time > 0
+
+
+@pytest.mark.parametrize("window", [WindowSpec.tumbling("10 seconds"), WindowSpec.sliding("10 seconds", "5 seconds"), WindowSpec.session("5 seconds")])
+@pytest.mark.parametrize("sink", ["path", "operation"])
+def test_monitor_start(spark, tmp_path, window, sink):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "m.json").write_text("\n".join(json.dumps({"t": t, "id_": f"i{t % 3}"}) for t in [0, 1, 2, 3, 20, 21, 60]) + "\n")
+    stream = spark.readStream.schema("t long, id_ string").json(str(src))
+    seen = []
+    operation = (lambda batch, batch_id: seen.extend(batch.collect())) if sink == "operation" else None
+    mon = Monitor(window, "t", time_unit="s", source=stream, sink_operation=operation)
+    mon.add(comment_measures()["count"], "n").add(comment_measures()["is_id_unique"], "u")
+    q = mon.start(path=str(tmp_path / "out"), checkpoint=str(tmp_path / "chk"), fmt="json", trigger={"availableNow": True})
+    q.awaitTermination()
+    rows = seen if sink == "operation" else spark.read.json(str(tmp_path / "out")).collect()
+    batch = Monitor(window, "t", time_unit="s", source=spark.read.schema("t long, id_ string").json(str(src)), measures=dict(mon.measures)).run()
+    want = sorted((r.n, round(r.u, 6)) for r in batch.where("unix_seconds(cast(window_end as timestamp)) <= 60").collect())
+    assert sorted((r.n, round(r.u, 6)) for r in rows) == want and want
+    assert (tmp_path / "chk").exists()

@@ -121,6 +121,8 @@ def test_g10_runs(spark):
     t = spark.createDataFrame([("r1", "f1", 4000), ("r1", "f2", 5000), ("r2", "f1", 1), ("r2", "f2", 2),
                                ("r2", "f3", 3)], "run string, file string, timestamp long")
     lat = latest_by_run(t)
+    assert sorted((r.run, r.latest, r.n_files) for r in lat.collect()) == [("r1", 5000, 2), ("r2", 3, 3)]
+    lat = latest_by_run(t, max_files=2)  # the rule that leaves out runs with more files, on request
     assert [(r.run, r.latest) for r in lat.collect()] == [("r1", 5000)]
     assert run_elapsed(lat, 1000, 10, 100).collect()[0].elapsed == 3000
     st = run_stats(spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", 4.0)], "run string, value double")) \

@@ -71,12 +71,70 @@ def test_running_sums_partition_by_block(spark):
 
 
 def test_session_plan_reads_raw_data_at_most_twice(spark):
-    """The (tag, bucket) table is checkpointed once; later reads never reach back to the scan."""
+    """Building the query runs no job, and nothing is read back as an RDD."""
     ev = spark.read.parquet(EV)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("session-build", "session-build")
     out = windowed_measures(ev, WindowSpec.session("30 minutes"), "ts",
                             {"n": M.size(), "u": M.fraction_of_unique("event_type")}, tags=["user_id"])
-    out.collect()
-    assert _plan(out).count("FileScan parquet") <= 2
     plain = windowed_measures(ev, WindowSpec.session("30 minutes"), "ts", {"n": M.size()}, tags=["user_id"])
-    plain.collect()
-    assert _plan(plain).count("FileScan parquet") == 0  # everything after the checkpoint reads the bucket table
+    assert not tracker.getJobIdsForGroup("session-build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "ExistingRDD" not in _plan(out) + _plan(plain)
+    assert _optimized(plain).count("Relation [") == 1
+    assert _optimized(out).count("Relation [") <= 3  # the scan of the bucket bounds is planned twice and shuffled once
+
+
+def test_sliding_uniqueness_copies_no_rows(spark):
+    """No row is copied per window: below the value level's shuffle there is neither Expand nor Generate."""
+    ev = spark.read.parquet(EV)
+    out = windowed_measures(ev, WindowSpec.sliding("10 minutes", "1 minutes"), "ts", {"n": M.size(), "u": M.fraction_of_unique("user_id")})
+    plan = _plan(out)
+    assert "Expand" not in plan
+    lines = plan.splitlines()
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x]
+    assert len(scans) == 2  # panes, and values per pane
+    for at in scans:
+        above = []
+        for x in reversed(lines[:at]):
+            above.append(x)
+            if "Exchange" in x:
+                break
+        assert not any("Generate" in x for x in above)
+
+
+def test_running_sum_shuffles_rows_once(spark):
+    """With broadcast off: one exchange carries rows, the raw message value goes no further than the scan's projection."""
+    import __spark_entry__ as E
+    from winsight.operators.runs import classify, segment_by_marker, weighted_rows
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        msgs = weighted_rows(classify(E.event_messages(spark, "/root/testdata/sf0.001"), E.MARKER, E.SOURCES, E.DEFAULT_SOURCE))
+        plan = _plan(segment_by_marker(msgs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    rows = [x for x in plan.splitlines() if re.search(r"\bWindow\b.*_proc", x)]
+    assert "value#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(partition" in x and "_blk" in x]) >= 1
+    assert rows or "Window" in plan
+
+
+def test_running_sum_has_several_blocks(spark):
+    from winsight.plans.prefix import _block_of
+    ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    blocks = ev.select(_block_of(ev, "event_id", 1 << 14).alias("b")).groupBy("b").count().collect()
+    assert len(blocks) > 4 and max(r["count"] for r in blocks) <= 2 * (1 << 14)
+    sparse = ev.select((ev.event_id * 1_000_003).alias("k"))
+    assert sparse.select(_block_of(sparse, "k", 1 << 14).alias("b")).distinct().count() == len(blocks)
+
+
+def test_window_bounds_reach_the_scan(spark):
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = _plan(E.q_rows_of_window(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed

@@ -1,0 +1,149 @@
+"""Inputs the test tables do not hold: typed casts, large sums, mixed headers, text values, names, folders."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from winsight import Suite, WindowSpec, windowed_measures
+from winsight import session as S
+from winsight.functions.casts import safe_cast
+from winsight.functions.durations import WindowSpec as Spec
+from winsight.operators import measures as M
+from winsight.operators.batches import parse_sizes
+from winsight.operators.runs import run_stats
+from winsight.operators.suite import window_result
+from winsight.plans.prefix import running_sum
+from winsight.sources.files import read_timings_csv
+
+HOUR = WindowSpec.tumbling("60 minutes")
+
+
+def test_typed_values_are_cast_as_they_are(spark):
+    df = spark.createDataFrame([(5.0, True, " 7 ", "1.0")], "d double, b boolean, s string, t string")
+    r = safe_cast(df, {"d": "bigint", "b": "bigint", "s": "bigint", "t": "bigint"}).first()
+    assert (r.d, r.b, r.s, r.t) == (5, 1, 7, None)
+
+
+def test_means_of_large_numbers(spark):
+    df = spark.createDataFrame([(2 ** 62,)] * 3, "v long").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert windowed_measures(df, HOUR, "ts", {"m": M.mean("v")}).first().m == float(2 ** 62)
+    sliding = windowed_measures(df, WindowSpec.sliding("60 minutes", "30 minutes"), "ts", {"m": M.mean("v")}).collect()
+    assert {r.m for r in sliding} == {float(2 ** 62)}
+    assert run_stats(df.withColumn("run", F.lit("r")).withColumnRenamed("v", "value")).first().mean == float(2 ** 62)
+
+
+def test_headers_in_any_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,x\n100,7\n")
+    (tmp_path / "b.csv").write_text("x,timestamp\n7,900\n8,\n")
+    got = read_timings_csv(spark, str(tmp_path), "headered").collect()
+    assert sorted((r.file[-5:], r.timestamp) for r in got if r.timestamp) == [("a.csv", 100), ("b.csv", 900)] and len(got) == 3
+    (tmp_path / "c.csv").write_text("x,y\n7,8\n")
+    with pytest.raises(Exception, match="no column"):
+        read_timings_csv(spark, str(tmp_path), "headered").collect()
+
+
+def test_verdicts_on_text(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 3)], "s string, v long").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    suite = Suite("s").has_max("s", lambda v: v == "b", "top").has_min("v", lambda v: v > 0, "low")
+    rows = {r.constraint: r for r in suite.verdict_rows(suite.evaluate(df, HOUR, "ts")).collect()}
+    assert rows["top"].ok and rows["top"].value is None and rows["top"].text_value == "b" and rows["low"].value == 2.0
+
+
+def test_taken_names_are_refused_when_the_query_is_built(spark):
+    df = spark.createDataFrame([("x", 1)], "tag string, v long").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    for name in ("tag", "window_start", "_n", "_sum__v"):
+        with pytest.raises(ValueError, match="taken"):
+            windowed_measures(df, HOUR, "ts", {name: M.size()}, tags=["tag"])
+    with pytest.raises(ValueError):
+        Suite("s").has_min("v", lambda v: v > 0, "window_end")
+    with pytest.raises(ValueError):
+        Suite("s").has_min("v", lambda v: v > 0, "a").has_max("v", lambda v: v > 0, "a_ok")
+    with pytest.raises(ValueError, match="taken"):
+        Suite("s").has_min("v", lambda v: v > 0, "tag").evaluate(df, HOUR, "ts", ["tag"])
+
+
+def test_result_records_are_stamped(spark):
+    df = spark.createDataFrame([(1,)], "v long").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    r = window_result(Suite("s").has_min("v", lambda v: v > 0).evaluate(df, HOUR, "ts"), HOUR).first()
+    assert r.time > 1_600_000_000_000
+
+
+def test_batch_sizes_name_the_bad_item():
+    assert parse_sizes(" 10,20 , 030") == [10, 20, 30]
+    for text, place in (("10,x", "2"), ("0", "1"), ("5,,6", "2"), ("-3", "1"), ("", "1")):
+        with pytest.raises(ValueError, match=f"batch size {place} "):
+            parse_sizes(text)
+
+
+def test_running_sum_order(spark):
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(40)]), i, r.randint(0, 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "p string, k long, id long, v long").repartition(5)
+    for block in (1, 7, 1000):
+        got = running_sum(df, F.col("v"), "k", ["p"], out="s", block=block, tie_cols=["id"]).collect()
+        want, total = {}, {}
+        for p, k, i, v in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+            total[p] = total.get(p, 0) + v
+            want[i] = total[p]
+        assert {x.id: x.s for x in got} == want
+    with pytest.raises(TypeError, match="whole number"):
+        running_sum(df, F.col("v"), "p")
+
+
+@pytest.mark.parametrize("d,s", [(10, 5), (10, 3), (7, 7), (6, 4), (1, 1)])
+def test_sliding_uniqueness_against_window_function(spark, d, s):
+    r = random.Random(d * 10 + s)
+    rows = [(r.choice(["x", "y", None]), r.randint(0, 90), r.choice([None, "hot", "hot", *map(str, range(25))]), r.choice([None, 1, 2])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "tag string, t long, u string, w long").withColumn("ts", F.timestamp_seconds("t")).repartition(6)
+    spec = WindowSpec.sliding(f"{d} seconds", f"{s} seconds")
+    got = windowed_measures(df, spec, "ts", {"n": M.size(), "fu": M.fraction_of_unique("u"), "fw": M.fraction_of_unique("w"), "ft": M.fraction_of_unique("tag")}, tags=["tag"])
+    w = df.select("tag", F.window("ts", f"{d} seconds", f"{s} seconds").alias("win"), "u", "w")
+    want = {}
+    for x in w.collect():
+        want.setdefault((x.tag, x.win.start, x.win.end), []).append(x)
+    share = lambda vs: (sum(1 for v in vs if vs.count(v) == 1) / len(vs)) if vs else None
+    expect = {k: (len(v), *[share([getattr(x, c) for x in v if getattr(x, c) is not None]) for c in ("u", "w", "tag")]) for k, v in want.items()}
+    assert {(x.tag, x.window_start, x.window_end): (x.n, x.fu, x.fw, x.ft) for x in got.collect()} == expect
+
+
+def test_value_blocks_meet_at_their_edges(spark):
+    from winsight.plans.sliding import unique_events
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.randint(-60, 60)) for _ in range(90)]
+    df = spark.createDataFrame(rows, "u string, _p long")
+    for panes, step in ((4, 1), (6, 4), (5, 5)):
+        one = sorted(map(tuple, unique_events(df, [], "u", panes, step, block=10_000).where("_d <> 0").collect()))
+        for block in (panes, panes + 3, 17):
+            assert sorted(map(tuple, unique_events(df, [], "u", panes, step, block=block).where("_d <> 0").collect())) == one
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def __init__(self, path):
+            self.path = path
+
+        def get(self, key, default=None):
+            return self.path if key == "spark.checkpoint.dir" else default
+
+    class Context:
+        master, checkpoint = "spark://head:7077", None
+
+        def getCheckpointDir(self):
+            return self.checkpoint
+
+        def setCheckpointDir(self, path):
+            self.checkpoint = path
+
+    class Session:
+        def __init__(self, path):
+            self.conf, self.sparkContext = Conf(path), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.checkpoint_dir(Session(None))
+    assert S.checkpoint_dir(Session("hdfs:///shared")) == "hdfs:///shared"
+    assert S.scratch_path(Session("hdfs:///shared"), "x").startswith("hdfs:///shared/winsight/x-")
+    held = Session(None)
+    held.sparkContext.checkpoint = "hdfs:///own"
+    assert S.checkpoint_dir(held) == "hdfs:///own"
+    assert Spec.parse("tumbling", "5 seconds", "", "").duration_ms == 5000

@@ -91,7 +91,7 @@ def test_elapsed_values_roundtrip(spark, tmp_path):
             (tmp_path / "t" / run / name).write_text("".join(f"0,0,{x}\n" for x in stamps))
     t = read_timings_csv(spark, str(tmp_path / "t" / "*"), "three").withColumn("run", parent_dir("file"))
     el = run_elapsed(latest_by_run(t), 5, elements=2, sleep=1.0)
-    assert sorted((r.run, r.elapsed) for r in el.collect()) == [("r1", 33.0), ("r2", 18.0)]
+    assert sorted((r.run, r.elapsed) for r in el.collect()) == [("r1", 33.0), ("r2", 18.0), ("r3", -4.0)]
     write_values_text(el, str(tmp_path / "v"), "elapsed", "run")
     write_values_text(el, str(tmp_path / "v"), "elapsed", "run")  # a second experiment appends
     vals = read_values_text(spark, str(tmp_path / "v")).withColumn("run", F.substring_index(parent_dir("file"), "=", -1))

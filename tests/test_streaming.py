@@ -155,7 +155,7 @@ def test_stream_session_uniqueness_matches_batch(spark, tmp_path):
     assert got.select("batch_id").distinct().count() > 1
     got = got.drop("batch_id")
     max_ts = ev.agg(F.max("ts")).first()[0]
-    want = windowed_measures(ev, spec, "ts", ms, tags=["user_id"]).where(F.col("window_end") < F.lit(max_ts))
+    want = windowed_measures(ev, spec, "ts", ms, tags=["user_id"]).where(F.col("window_end") <= F.lit(max_ts))
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
@@ -172,7 +172,7 @@ def test_suite_stream_sessions(spark, tmp_path):
     got = proc.result().drop("batch_id")
     max_ts = ev.agg(F.max("ts")).first()[0]
     want = suite.evaluate(ev, WindowSpec.session("30 minutes"), "ts", ["user_id"]) \
-        .where(F.col("window_end") < F.lit(max_ts))
+        .where(F.col("window_end") <= F.lit(max_ts))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 

@@ -25,6 +25,7 @@ from .functions.time import epoch_ms, epoch_s, parse_ts
 from .operators.measures import Measure
 from .plans.aggregate import WE, WS, windowed_measures
 from .session import scratch_path
+from .sources.sinks import batch_files, each_batch, stream_to_files
 
 
 @dataclass
@@ -80,27 +81,29 @@ class Monitor:
 
     def start(self, df: DataFrame | None = None, *, path: str | None = None, checkpoint: str | None = None,
               fmt: str = "parquet", trigger: dict | None = None) -> StreamingQuery:
-        """N3, streaming: start the query; closed windows are appended to the sink."""
+        """N3, streaming: start the query; closed windows are appended to the sink.
+
+        ``sink_operation`` gets every micro-batch's closed windows; otherwise
+        they go to ``path`` (or ``sink_path``) as ``fmt``.  A query that has to
+        go on after a restart needs a ``checkpoint`` of its own; without one,
+        progress is kept in a fresh folder and forgotten.
+        """
         src = self._input(df)
         if not src.isStreaming:
             raise ValueError("start() needs a streaming source; use run() for batch")
         spark = src.sparkSession
         base = scratch_path(spark, "monitor")
+        path = path or self.sink_path or f"{base}/data"
         if self.window.kind == "session" and any(m.kind == "unique" for m in self.measures.values()):
             from .streaming.sessions import SessionMeasures
             drop = ([WS] if not self.show_window_start else []) + ([WE] if not self.show_window_end else [])
             proc = SessionMeasures(spark, self.window, self.time_column, self.measures, self.tags,
-                                   delay_ms=int(self.wait_for_late * 1000), base=base,
-                                   post=lambda out: out.drop(*drop))
+                                   delay_ms=int(self.wait_for_late * 1000), base=base, checkpoint=checkpoint,
+                                   post=lambda out: out.drop(*drop), sink=self.sink_operation or batch_files(path, fmt))
             return proc.start(src, trigger)
         result = self.plan(src, prepared=True)
         checkpoint = checkpoint or f"{base}/checkpoint"
-        w = result.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         if self.sink_operation is not None:
-            w = w.foreachBatch(self.sink_operation)
-        else:
-            w = w.format(fmt).option("path", path or self.sink_path or f"{base}/data")
-            if fmt == "csv":
-                w = w.option("header", True)
-        return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
+            return each_batch(result, self.sink_operation, checkpoint, trigger=trigger)
+        return stream_to_files(result, path, checkpoint, fmt, trigger=trigger)
 

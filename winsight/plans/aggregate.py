@@ -31,8 +31,7 @@ from pyspark.sql import types as T
 from ..functions.durations import WindowSpec, spark_interval
 from ..functions.time import event_time, floor_div, from_micros, to_micros
 from ..operators.measures import N, Measure, Partial
-from ..session import checkpoint_dir
-from .sessions import session_ids
+from .sessions import session_ids, session_totals
 
 WS, WE = "window_start", "window_end"
 ALL_KEY = "_all"  # constant *column* used when a streaming session has no tag
@@ -141,22 +140,17 @@ def _plan_session_batch(df, spec: WindowSpec, ts, tags, partials, u, dtype):
     bounds = [Partial("_tmin", F.min(us), "min"), Partial("_tmax", F.max(us), "max")]
     parts = list(partials) + bounds
     lvl = df.groupBy(*tags, b, *_extra(tags, u)).agg(*[p.expr.alias(p.name) for p in parts])
-    # The session scan reads the (tag, bucket) table several times.  It is
-    # written once to the checkpoint folder, so those reads never reach back to
-    # the raw scan (and its lineage is cut).
-    checkpoint_dir(df.sparkSession)
+    keys = list(tags) + ["_sid"]
     if u:
         # bucket bounds straight from the scan: two columns, combined map-side to
         # one row per (tag, bucket) -- cheaper than re-grouping the value level
-        buckets = df.groupBy(*tags, b).agg(F.min(us).alias("_tmin"), F.max(us).alias("_tmax")).checkpoint()
+        buckets = df.groupBy(*tags, b).agg(F.min(us).alias("_tmin"), F.max(us).alias("_tmax"))
         sess = session_ids(buckets, tags, g).select(*tags, "_b", "_sid")
-        lvl = null_safe_join(lvl, sess, list(tags) + ["_b"])
-    else:
-        lvl = session_ids(lvl.checkpoint(), tags, g)
-    keys = list(tags) + ["_sid"]
-    lvl = lvl.drop("_b").groupBy(*keys, *_extra(tags, u)).agg(*_merge(parts))
-    if u:
+        lvl = null_safe_join(lvl, sess, list(tags) + ["_b"]).drop("_b")
+        lvl = lvl.groupBy(*keys, *_extra(tags, u)).agg(*_merge(parts))
         lvl = lvl.groupBy(*keys).agg(*_merge(parts, _unique_parts(u)))
+    else:
+        lvl = session_totals(lvl, tags, g, parts)
     return lvl.select(*tags, from_micros(F.col("_sid"), dtype).alias(WS),
                       from_micros(F.col("_tmax") + g, dtype).alias(WE),
                       *[c for c in lvl.columns if c not in keys + ["_tmin", "_tmax"]])

@@ -13,11 +13,15 @@ last row is more than ``gap`` before this bucket's first row.
 
 Rows are first reduced to one partial row per (tag, bucket) with an ordinary
 ``groupBy`` (map-side combine keeps a hot tag cheap).  The ordered scan over
-that bucket table is itself split into blocks of ``block`` buckets: the scan
-inside a block is a window partitioned by (tag, block), the previous block's
-last bucket enters it as a copied "ghost" row, and the last session start of
-earlier blocks comes from a window over the much smaller per-block summary.
-No task sees more than ``block`` (+1) buckets of one tag, however hot the tag.
+that bucket table is split into blocks of ``block`` buckets: only the last
+bucket a block can have is copied into the next block, because whether a
+bucket starts a session depends on the adjacent bucket alone.  No task of the
+scan sees more than ``block`` (+1) buckets of one tag, however hot the tag.
+
+Inside a block, buckets become fragments of sessions; the one before the
+block's first start continues a session of an earlier block.  The fragments
+(a row per session, plus one per block edge) are put together per tag.
+Without a tag that last step is one task over the sessions themselves.
 """
 
 from __future__ import annotations
@@ -41,32 +45,43 @@ def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return null_safe_join(left, right, keys)
 
 
-def session_ids(buckets: DataFrame, tags, gap_us: int, block: int | None = None) -> DataFrame:
-    """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
+def session_scan(buckets: DataFrame, tags, gap_us: int, block: int | None = None) -> DataFrame:
+    """Add ``_blk`` and ``_sid_in`` to a (tags, _b, _tmin, _tmax, ...) table: the last
+    session start of the block up to this bucket, null before the block's first start."""
     tags = list(tags)
     block = block or block_size(buckets.sparkSession)
-    d = buckets.withColumn("_blk", floor_div(F.col("_b"), block)).withColumn("_ghost", F.lit(False))
-    # Each block's last bucket is copied into the next block as a "ghost" row.  If
-    # that next block's first bucket has an earlier non-empty bucket, it is either
-    # the ghost or two or more buckets back (a start either way), so the scan
-    # inside a block needs nothing else from its neighbours.
-    ghosts = (d.groupBy(*tags, "_blk").agg(F.max("_b").alias("_b"), F.max("_tmax").alias("_tmax"))
-               .select(*tags, "_b", F.lit(None).cast("long").alias("_tmin"), "_tmax",
-                       (F.col("_blk") + 1).alias("_blk"), F.lit(True).alias("_ghost")))
-    # partial columns ride along; ghost rows carry nulls there and are dropped below
-    scan = d.unionByName(ghosts, allowMissingColumns=True)
+    own = floor_div(F.col("_b"), block)
+    here = F.struct(own.alias("_blk"), F.lit(False).alias("_ghost"))
+    there = F.struct((own + 1).alias("_blk"), F.lit(True).alias("_ghost"))
+    last = F.col("_b") == own * block + (block - 1)
+    scan = buckets.select("*", F.explode_outer(F.when(last, F.array(here, there)).otherwise(F.array(here))).alias("_at"))
+    scan = scan.select(*buckets.columns, "_at.*")
     in_blk = Window.partitionBy(*tags, "_blk").orderBy("_b")
     prev_b, prev_max = F.lag("_b").over(in_blk), F.lag("_tmax").over(in_blk)
-    starts = ~F.col("_ghost") & (prev_b.isNull() | (prev_b < F.col("_b") - 1)
-                                 | (F.col("_tmin") - prev_max > F.lit(gap_us)))
+    starts = ~F.col("_ghost") & (prev_b.isNull() | (prev_b < F.col("_b") - 1) | (F.col("_tmin") - prev_max > F.lit(gap_us)))
     scan = scan.withColumn("_start", F.when(starts, F.col("_tmin")))
     scan = scan.withColumn("_sid_in", F.max("_start").over(in_blk.rowsBetween(Window.unboundedPreceding, 0)))
-    scan = scan.where(~F.col("_ghost"))
+    return scan.where(~F.col("_ghost")).drop("_ghost", "_start")
+
+
+def session_ids(buckets: DataFrame, tags, gap_us: int, block: int | None = None) -> DataFrame:
+    """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
+    tags = list(tags)
+    scan = session_scan(buckets, tags, gap_us, block)
     # the last session start of all earlier blocks, for buckets before the block's first start
     by_tag = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk")
-    carried = (scan.groupBy(*tags, "_blk").agg(F.max("_start").alias("_bs"))
+    carried = (scan.groupBy(*tags, "_blk").agg(F.max("_sid_in").alias("_bs"))
                    .select(*tags, "_blk", F.max("_bs").over(by_tag.rowsBetween(Window.unboundedPreceding, -1))
                            .alias("_carry")))
     out = _join(scan, carried, tags + ["_blk"])
-    return (out.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry")))
-               .drop("_blk", "_ghost", "_start", "_sid_in", "_carry"))
+    return out.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry"))).drop("_blk", "_sid_in", "_carry")
+
+
+def session_totals(buckets: DataFrame, tags, gap_us: int, partials, block: int | None = None) -> DataFrame:
+    """``tags, _sid`` and the buckets' partials merged per session."""
+    tags = list(tags)
+    scan = session_scan(buckets, tags, gap_us, block)
+    fragments = scan.groupBy(*tags, "_blk", "_sid_in").agg(*[p.merged() for p in partials])
+    upto = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk", F.col("_sid_in").asc_nulls_first())
+    fragments = fragments.withColumn("_sid", F.max("_sid_in").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    return fragments.groupBy(*tags, "_sid").agg(*[p.merged() for p in partials])

@@ -36,17 +36,27 @@ def write_values_text(df: DataFrame, path: str, value_col: str, run_col: str, mo
 
 
 def stream_to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *,
-                    trigger: dict | None = None, output_mode: str = "append") -> StreamingQuery:
+                    trigger: dict | None = None, output_mode: str = "append", query_name: str | None = None) -> StreamingQuery:
     """K3: file sink for a streaming result (append; windows arrive once closed)."""
     w = (df.writeStream.format(fmt).outputMode(output_mode).option("path", path)
          .option("checkpointLocation", checkpoint))
     if fmt == "csv":
         w = w.option("header", True)
+    if query_name:
+        w = w.queryName(query_name)
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def batch_files(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A per-micro-batch sink: ``path/batch_id=<id>``, overwritten when a batch is retried."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_results(batch, f"{path.rstrip('/')}/batch_id={batch_id}", fmt, mode="overwrite")
+
+    return write
+
+
 def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, *,
                trigger: dict | None = None) -> StreamingQuery:
     """K5: per-micro-batch hook, for fan-out to more than one sink."""
-    return (df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    return (df.writeStream.outputMode("append").foreachBatch(fn).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"})).start())

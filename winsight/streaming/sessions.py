@@ -31,13 +31,23 @@ from ..functions.time import floor_div, from_micros, to_micros
 from ..operators.measures import Measure, Partial
 from ..plans.aggregate import WE, WS, _extra, _merge, _unique_parts, check_columns, collect_partials, null_safe_join
 from ..plans.sessions import session_ids
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
+
+
+def retire(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Delete the state that a finished batch left behind."""
+    if batch_id >= 0:
+        remove_path(spark, f"{folder}/batch_id={batch_id}")
 
 
 class SessionMeasures:
     def __init__(self, spark: SparkSession, spec: WindowSpec, time_col: str, measures: dict[str, Measure],
                  tags=(), *, delay_ms: int = 0, post: Callable[[DataFrame], DataFrame] | None = None,
-                 base: str | None = None):
+                 base: str | None = None, sink: Callable[[DataFrame, int], None] | None = None,
+                 checkpoint: str | None = None):
+        """``base``: folder of output, state and checkpoint; ``sink``: called with each
+        batch's closed sessions instead of writing them under ``base/out``;
+        ``checkpoint``: where the query's progress and the carried state are kept."""
         if spec.kind != "session":
             raise ValueError("SessionMeasures is for session windows; other kinds stream natively")
         uniq = list(dict.fromkeys(m.column for m in measures.values() if m.kind == "unique"))
@@ -51,9 +61,10 @@ class SessionMeasures:
         self.partials = collect_partials(self.measures.values()) + [
             Partial("_tmin", F.min("_us"), "min"), Partial("_tmax", F.max("_us"), "max")]
         self.base = base or scratch_path(spark, "sessions")
-        self.out_dir, self.carry_dir, self.state_dir = (f"{self.base}/out", f"{self.base}/carry",
-                                                        f"{self.base}/state")
-        self.checkpoint = f"{self.base}/checkpoint"
+        self.sink = sink
+        kept = checkpoint or self.base
+        self.out_dir, self.carry_dir, self.state_dir = f"{self.base}/out", f"{kept}/carry", f"{kept}/state"
+        self.checkpoint = f"{kept}/checkpoint"
 
     # ------------------------------------------------------------- state
     def _keys(self) -> list[str]:
@@ -82,6 +93,7 @@ class SessionMeasures:
         buckets = level.groupBy(*self.tags, "_b").agg(F.min("_tmin").alias("_tmin"), F.max("_tmax").alias("_tmax"))
         mapping = session_ids(buckets, self.tags, self.gap).select(*self.tags, "_b", "_sid")
         level = null_safe_join(level, mapping, self.tags + ["_b"]).persist()
+        held = [level]
         try:
             skeys = self.tags + ["_sid"]
             sess = level.drop("_b").groupBy(*skeys, *_extra(self.tags, self.u)).agg(*_merge(self.partials))
@@ -92,21 +104,28 @@ class SessionMeasures:
             seen_now = F.greatest(seen_before, level.agg(F.max("_tmax")).scalar())
             closed_flag = (F.col("_tmax") + self.gap) <= (seen_now - self.delay)
             sess = sess.withColumn("_closed", F.coalesce(closed_flag, F.lit(False))).persist()
+            held.append(sess)
             out = sess.where("_closed").select(
                 *self.tags, from_micros(F.col("_sid"), dtype).alias(WS),
                 from_micros(F.col("_tmax") + self.gap, dtype).alias(WE),
                 *[m.value().alias(name) for name, m in self.measures.items()])
             if self.post is not None:
                 out = self.post(out)
-            out.write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
+            if self.sink is not None:
+                self.sink(out, batch_id)
+            else:
+                out.write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
             still_open = sess.where(~F.col("_closed")).select(*skeys)
             (null_safe_join(level, still_open, skeys).select(*fresh.columns)
              .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
             batch.sparkSession.range(1).select(seen_now.cast("long").alias("max_us")) \
                 .write.mode("overwrite").parquet(f"{self.state_dir}/batch_id={batch_id}")
-            sess.unpersist()
+            # a retried batch reads the state of the batch before it; anything older is of no use
+            for folder in (self.carry_dir, self.state_dir):
+                retire(self.spark, folder, batch_id - 2)
         finally:
-            level.unpersist()
+            for df in held:
+                df.unpersist()
 
     def start(self, stream: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self.process).option("checkpointLocation", self.checkpoint)

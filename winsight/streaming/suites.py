@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import scratch_path
+from ..sources.sinks import batch_files, each_batch, stream_to_files
 
 
 def start(result: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *,
@@ -20,13 +21,7 @@ def start(result: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *
     """Start an append-mode file sink for a streaming result."""
     if not result.isStreaming:
         raise ValueError("start() needs a streaming DataFrame; batch results are plain DataFrames")
-    w = (result.writeStream.format(fmt).outputMode("append").option("path", path)
-         .option("checkpointLocation", checkpoint))
-    if fmt == "csv":
-        w = w.option("header", True)
-    if query_name:
-        w = w.queryName(query_name)
-    return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
+    return stream_to_files(result, path, checkpoint, fmt, trigger=trigger, query_name=query_name)
 
 
 def start_with_batch_ids(result: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", *,
@@ -34,12 +29,7 @@ def start_with_batch_ids(result: DataFrame, path: str, checkpoint: str, fmt: str
     """R1 with ``batch_id``: each micro-batch's closed windows go to
     ``path/batch_id=<id>`` (overwrite, so a retried batch is idempotent);
     reading ``path`` back yields the ``batch_id`` column."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
-
-    return (result.writeStream.outputMode("append").foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+    return each_batch(result, batch_files(path, fmt), checkpoint, trigger=trigger)
 
 
 def run_available(spark: SparkSession, result: DataFrame, name: str, fmt: str = "parquet",

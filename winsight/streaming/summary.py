@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.runs import (MARKER_FIELDS, all_sources, classify, per_source, segment_by_marker,
                               segment_summaries, summary_rows, weighted_rows)
 from ..session import scratch_path
+from ..sources.sinks import each_batch
+from .sessions import retire
 
 class SummaryStream:
     def __init__(self, spark: SparkSession, marker_key: str, sources, default: str, constants: dict | None = None,
@@ -65,13 +67,12 @@ class SummaryStream:
                     .select(*self.parts, F.col("tool").alias("source"), "number_of_windows", "max_timestamp",
                             "processing_time")
                     .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
+            retire(self.spark, self.carry_dir, batch_id - 2)
         finally:
             per_src.unpersist()
 
     def start(self, messages: DataFrame, trigger: dict | None = None) -> StreamingQuery:
-        return (messages.writeStream.foreachBatch(self.process)
-                .option("checkpointLocation", self.checkpoint)
-                .trigger(**(trigger or {"processingTime": "1 second"})).start())
+        return each_batch(messages, self.process, self.checkpoint, trigger=trigger)
 
     def result(self) -> DataFrame:
         """Every summary row written so far (``batch_id`` from the folder names)."""
