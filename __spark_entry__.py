@@ -28,7 +28,7 @@ from winsight.operators.windows import assign_windows, collect_rows, distinct_wi
 from winsight.monitor import Monitor
 from winsight.session import scratch_path
 from winsight.sources.files import parent_dir, read_records_csv, read_run_start, read_timings_csv, read_values_text
-from winsight.sources.messages import decode_json, stream_table, to_messages
+from winsight.sources.messages import decode_json, read_messages, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
 from winsight.streaming.sessions import SessionMeasures
 from winsight.streaming.suites import run_available
@@ -72,7 +72,7 @@ def q_sliding_suite(spark, sf_dir):
 def q_sliding_measures(spark, sf_dir):
     """Mergeable measures only: the pane plan (rows aggregated once, panes fanned out)."""
     ms = {k: v for k, v in BASIC.items() if k != "uniq"}
-    return windowed_measures(_t(spark, sf_dir, "events"), WindowSpec.sliding("60 minutes", "15 minutes"), "ts", ms)
+    return Monitor(WindowSpec.sliding("60 minutes", "15 minutes"), "ts", source=_t(spark, sf_dir, "events"), measures=ms).run()
 
 
 def q_session_counts(spark, sf_dir):
@@ -148,11 +148,31 @@ def q_stream_session(spark, sf_dir):
     return run_available(spark, mon.plan(), "stream_session")
 
 
+#: Rows of a file of the ordered streams, and files at least: every file is a micro-batch.
+STREAM_ROWS, STREAM_FILES = 25_000, 4
+
+
+def ordered_stream(spark, sf_dir, order) -> DataFrame:
+    """The whole of ``events`` as files in the order of ``order`` (a long), one per micro-batch.
+
+    A file source takes files by age, so they are written one after the other.
+    """
+    ev = _t(spark, sf_dir, "events").withColumn("_at", order)
+    n, lo, hi = ev.agg(F.count(F.lit(1)), F.min("_at"), F.max("_at")).first()
+    files = max(STREAM_FILES, -(-n // STREAM_ROWS))
+    ev = ev.withColumn("_file", F.floor((F.col("_at") - lo) * files / (hi - lo + 1)))
+    path = scratch_path(spark, "ordered")
+    for i in range(files):
+        ev.where(F.col("_file") == i).drop("_at", "_file").repartition(1).write.mode("append").parquet(path)
+    schema = ev.drop("_at", "_file").schema
+    return read_messages(spark, "parquet", {"maxFilesPerTrigger": 1}, path=path, schema=schema)
+
+
 def q_stream_session_unique(spark, sf_dir):
     """Session windows with uniqueness over a stream: carried bucket partials (foreachBatch)."""
     ms = {"n": M.size(), "u": M.fraction_of_unique("event_type")}
     proc = SessionMeasures(spark, WindowSpec.session("120 minutes"), "ts", ms, ["user_id"])
-    q = proc.start(stream_table(spark, sf_dir, "events"), trigger={"availableNow": True})
+    q = proc.start(ordered_stream(spark, sf_dir, to_micros("ts", T.TimestampNTZType())), trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -161,7 +181,7 @@ def q_stream_session_unique(spark, sf_dir):
 
 def q_stream_summary(spark, sf_dir):
     summary = SummaryStream(spark, MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
-    q = summary.start(messages_of(stream_table(spark, sf_dir, "events")), trigger={"availableNow": True})
+    q = summary.start(messages_of(ordered_stream(spark, sf_dir, F.col("event_id").cast("long"))), trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -547,7 +567,7 @@ def experiment_frame(spark, sf_dir) -> DataFrame:
 
 def q_experiment_suite(spark, sf_dir, window: WindowSpec | None = None):
     """The experiment set-up: comment-style checks per (replay batch, window)."""
-    window = window or WindowSpec.sliding("10 minutes", "1 minutes")
+    window = window or WindowSpec.parse("sliding", "10 minutes", "1 minutes", "5 seconds")
     return reddit_like_suite().evaluate(experiment_frame(spark, sf_dir), window, "ts", tags=["batch_id"])
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import pack_row
+
 
 def read_messages(spark: SparkSession, fmt: str = "kafka", options: dict | None = None, *,
                   path: str | None = None, schema: T.StructType | None = None,
@@ -41,7 +43,7 @@ def decode_json(df: DataFrame, schema: T.StructType, value_col: str = "value", k
 
 def to_messages(df: DataFrame, key: str) -> DataFrame:
     """K2: constant key + the whole row as JSON, the shape a topic sink takes."""
-    return df.select(F.lit(key).alias("key"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+    return df.select(F.lit(key).alias("key"), F.to_json(pack_row(df)).alias("value"))
 
 
 def write_messages(df: DataFrame, topic: str, options: dict) -> None:
