@@ -62,3 +62,27 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col:
     return both.select("pair", F.col("_n").cast("long").alias("prompt_turns"), _render(F.col("_p")).alias("prompt"),
                        _render(F.col("_cr")).alias("chosen"), _render(F.col("_rr")).alias("rejected"),
                        _mask(F.col("_cr")).alias("chosen_mask"), _mask(F.col("_rr")).alias("rejected_mask"))
+
+
+def swapped_answers(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                    text_col: str = "text") -> DataFrame:
+    """Preference turns ``pair, chosen, turn, role, text`` out of plain conversations, one pair per conversation.
+
+    Chosen is the conversation as it is; rejected is the conversation up to
+    its last answer, with the last answer of its neighbour (ids 2k and 2k + 1
+    are neighbours) in place of it.  A conversation without an answer is
+    rejected as it is; without a neighbour's answer the rejected side stops
+    before its own.  Of several last answers of one turn number the greatest
+    text counts.
+    """
+    t = conversations.select(F.col(id_col).cast("long").alias("pair"), F.col(turn_col).alias("turn"),
+                             F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    last = (t.where(F.col("role") == TRAINED).groupBy("pair").agg(F.max(F.struct("turn", "text")).alias("m"))
+            .select(F.col("pair").alias("own"), F.col("m.turn").alias("at"), F.col("m.text").alias("answer")))
+    before = t.join(last, t["pair"].eqNullSafe(last["own"]), "left").where(F.col("at").isNull() | (F.col("turn") < F.col("at")))
+    other = last.select(F.col("own").bitwiseXOR(F.lit(1)).alias("pair"), F.col("answer").alias("text"))
+    answers = last.select(F.col("own").alias("pair"), F.col("at").alias("turn"), F.lit(TRAINED).alias("role")).join(other, "pair")
+    columns = ["pair", "chosen", "turn", "role", "text"]
+    return (t.withColumn("chosen", F.lit(True)).select(*columns)
+            .unionByName(before.withColumn("chosen", F.lit(False)).select(*columns))
+            .unionByName(answers.withColumn("chosen", F.lit(False)).select(*columns)))

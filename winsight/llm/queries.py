@@ -12,7 +12,7 @@ from winsight.llm.exact import exact_dedup
 from winsight.llm.licences import scan_licences
 from winsight.llm.lines import dedup_lines
 from winsight.llm.mixing import plan_mix
-from winsight.llm.preferences import format_preferences
+from winsight.llm.preferences import format_preferences, swapped_answers
 from winsight.llm.repeats import remove_repeats
 from winsight.llm.simhash import near_duplicates
 
@@ -22,17 +22,21 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_preferences(spark, sf_dir):
-    """The table marks no preferences: conversations 2k and 2k + 1 stand for the two sides of pair k."""
-    out = format_preferences(_t(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    """The table marks no preferences: a conversation is chosen over itself with its neighbour's last answer."""
+    turns = swapped_answers(_t(spark, sf_dir, "conversations"))
+    out = format_preferences(turns, F.col("pair"), F.col("chosen"))
     spans = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
     return out.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
 
 
 SQL_OP1 = """
-WITH t AS (SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS c, role, text,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
-                  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r,
-                  length(coalesce(role, '')) + 5 AS head FROM conversations),
+WITH l AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1),
+u AS (SELECT conv_id AS pair, true AS c, turn, role, text FROM conversations
+      UNION ALL SELECT conv_id, false, turn, role, text FROM conversations LEFT JOIN l USING (conv_id) WHERE last_turn IS NULL OR turn < last_turn
+      UNION ALL SELECT a.conv_id, false, a.last_turn, 'assistant', b.answer FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+t AS (SELECT pair, c, role, text, row_number() OVER (PARTITION BY pair, c ORDER BY turn, role, text) AS i,
+             '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r,
+             length(coalesce(role, '')) + 5 AS head FROM u),
 m AS (SELECT a.pair, min(a.i) AS i FROM t a JOIN t b ON a.pair = b.pair AND a.i = b.i AND a.c AND NOT b.c
       WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
 n AS (SELECT pair, coalesce(any_value(m.i) - 1, least(count(*) FILTER (c), count(*) FILTER (NOT c))) AS n
@@ -52,6 +56,23 @@ def op2_suffix_dedup(spark, sf_dir):
     return remove_repeats(_t(spark, sf_dir, "documents"))
 
 
+# every 200-byte string by itself: starts that occur twice, runs of covered bytes, what lies between them
+SQL_OP2 = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM h)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+p AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200, true) AS new FROM w SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, s, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM p),
+a AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY ALL),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM a),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+             string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM c JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
+
+
 def op3_line_dedup(spark, sf_dir):
     out = dedup_lines(_t(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_lines_removed").alias("lines_removed"),
@@ -160,6 +181,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_preferences": SQL_OP1,
+        "op2_suffix_dedup": SQL_OP2,
         "op3_line_dedup": SQL_OP3,
         "op4_decontaminate": SQL_OP4,
         "op10_exact_dedup": SQL_OP10,
