@@ -138,12 +138,26 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     class Session:
         def __init__(self, path):
             self.conf, self.sparkContext = Conf(path), Context()
+            self.sparkContext._jvm = None
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         S.checkpoint_dir(Session(None))
     assert S.checkpoint_dir(Session("hdfs:///shared")) == "hdfs:///shared"
-    assert S.scratch_path(Session("hdfs:///shared"), "x").startswith("hdfs:///shared/winsight/x-")
+    assert S.scratch_path(Session("hdfs:///shared"), "x", keep=True).startswith("hdfs:///shared/winsight/x-")
     held = Session(None)
     held.sparkContext.checkpoint = "hdfs:///own"
     assert S.checkpoint_dir(held) == "hdfs:///own"
     assert Spec.parse("tumbling", "5 seconds", "", "").duration_ms == 5000
+
+
+def test_scratch_folders_go_at_the_end(spark, monkeypatch):
+    import os
+    monkeypatch.setattr(S, "_SCRATCH", [])
+    path = S.scratch_path(spark, "gone")
+    kept = S.scratch_path(spark, "kept", keep=True)
+    for p in (path, kept):
+        spark.range(3).write.parquet(p)
+    S.clean_scratch()
+    assert not os.path.exists(path) and os.path.exists(kept)
+    S.remove_path(spark, kept)
+    assert not os.path.exists(kept)

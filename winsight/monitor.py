@@ -92,7 +92,7 @@ class Monitor:
         if not src.isStreaming:
             raise ValueError("start() needs a streaming source; use run() for batch")
         spark = src.sparkSession
-        base = scratch_path(spark, "monitor")
+        base = scratch_path(spark, "monitor", keep=True)
         path = path or self.sink_path or f"{base}/data"
         if self.window.kind == "session" and any(m.kind == "unique" for m in self.measures.values()):
             from .streaming.sessions import SessionMeasures

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 #: Folder of this process when nothing is configured on a local master (tests, benches).
 _LOCAL: list[str] = []
+#: Scratch folders to delete at the end: the JVM that can reach them, and the path.
+_SCRATCH: list[tuple] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "winsight") -> SparkSession:
@@ -54,9 +59,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for written intermediate tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/winsight/{name}-{uuid.uuid4().hex[:12]}"
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh sub-folder of the checkpoint folder for written intermediate tables.
+
+    It is deleted when the driver's process ends, unless it is to be kept (the
+    output and progress of streaming queries).
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/winsight/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        if not _SCRATCH:
+            atexit.register(clean_scratch)
+        _SCRATCH.append((spark.sparkContext._jvm, path))
+    return path
+
+
+def clean_scratch() -> None:
+    """Delete the scratch folders of this process (also after ``spark.stop()``)."""
+    while _SCRATCH:
+        jvm, path = _SCRATCH.pop()
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -60,7 +60,7 @@ class SessionMeasures:
         self.post = post
         self.partials = collect_partials(self.measures.values()) + [
             Partial("_tmin", F.min("_us"), "min"), Partial("_tmax", F.max("_us"), "max")]
-        self.base = base or scratch_path(spark, "sessions")
+        self.base = base or scratch_path(spark, "sessions", keep=True)
         self.sink = sink
         kept = checkpoint or self.base
         self.out_dir, self.carry_dir, self.state_dir = f"{self.base}/out", f"{kept}/carry", f"{kept}/state"

@@ -29,7 +29,7 @@ class SummaryStream:
         self.names = all_sources(sources, default)
         self.constants = dict(constants or {})
         self.parts = list(partition_cols)
-        self.base = base or scratch_path(spark, "summary")
+        self.base = base or scratch_path(spark, "summary", keep=True)
         self.out_dir, self.carry_dir = f"{self.base}/summary", f"{self.base}/carry"
         self.checkpoint = f"{self.base}/checkpoint"
 
