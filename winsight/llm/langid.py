@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winsight.llm.tokens import Bounded, letter_words
+from winsight.llm.tokens import letter_words
+from winsight.llm.words import packed, unpacked
 from winsight.session import materialise
 
 #: Model bounds: words and n-grams kept, the most frequent ones first.
@@ -32,41 +33,60 @@ MAX_N = 4
 #: Words of a document that count as evidence for the confidence, at most.
 EVIDENCE = 24
 UNKNOWN = "und"
+_SLICE = 10_000  # words looked up at a time
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    rows: dict[str, int]
-    logp: np.ndarray  # rows x langs: log10 relative frequencies
-    max_n: int = MAX_N
+    words: dict[str, int]  # row of each known word
+    grams: list[dict[str, int]]  # by length: row of each known n-gram
+    logp: np.ndarray  # rows x langs: log10 relative frequencies, the words' rows first
 
-    def grams(self, word: str) -> np.ndarray:
-        """Backoff for an unseen word: the longest known n-grams, their mean."""
-        padded = f"\x02{word}\x03"
-        for n in range(min(self.max_n, len(padded)), 0, -1):
-            known = [r for i in range(len(padded) - n + 1) if (r := self.rows.get(f"{n}{padded[i:i + n]}")) is not None]
-            if known:
-                return self.logp[known].mean(axis=0)
-        return np.full(len(self.langs), self.logp.min() if self.logp.size else 0.0)
 
-    def word(self, word: str) -> np.ndarray:
-        row = self.rows.get(f"w{word}")
-        return self.grams(word) if row is None else self.logp[row]
+class Scorer(dict):
+    """Row of each word of a text, for one task: known words have theirs from the
+    start, an unseen word gets one when it is met first."""
+
+    def __init__(self, model: LanguageModel, room: int = 1_200_000):
+        super().__init__(model.words)
+        self.model, self.used = model, len(model.words)
+        self.room = max(2 * _SLICE, room // max(1, len(model.langs)))
+        self.rows = np.empty((self.used + self.room, len(model.langs)))
+        self.rows[:self.used] = model.logp[:self.used]
+        self.floor = model.logp.min() if model.logp.size else 0.0
 
-    def predict(self, text: str | None, cache: Bounded) -> tuple[str, float]:
-        words = letter_words(text)
-        if not words or not self.langs:
+    def __missing__(self, word: str) -> int:
+        """Backoff: the longest known n-grams, their mean."""
+        padded = f"\x02{word}\x03"
+        row = self[word] = self.used
+        self.used += 1
+        for n in range(min(len(self.model.grams) - 1, len(padded)), 0, -1):
+            get = self.model.grams[n].get
+            known = [r for r in [get(padded[i:i + n]) for i in range(len(padded) - n + 1)] if r is not None]
+            if known:
+                self.rows[row] = np.add.reduce(self.model.logp.take(known, axis=0)) / len(known)
+                return row
+        self.rows[row] = self.floor
+        return row
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words, langs = letter_words(text), self.model.langs
+        if not words or not langs:
             return UNKNOWN, 0.0
-        counts = Counter(words)
-        total = np.zeros(len(self.langs))
-        for w, n in counts.items():
-            total += cache[w] * n
+        total = np.zeros(len(langs))
+        for i in range(0, len(words), _SLICE):
+            if self.used + _SLICE > len(self.rows):  # full: forget the unseen words
+                self.clear()
+                self.update(self.model.words)
+                self.used = len(self.model.words)
+            part = words[i:i + _SLICE]
+            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         mean = total / len(words)
         # confidence: the posterior after a bounded number of words of this mean
         e = np.exp((mean - mean.max()) * math.log(10) * min(len(words), EVIDENCE))
         best = int(mean.argmax())
-        return self.langs[best], float(e[best] / e.sum())
+        return langs[best], float(e[best] / e.sum())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +100,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([n for c in per.values() for n in c.values()], pa.int64())], ["lang", "word", "n"])
 
 
+def _cut(max_n: int):
+    """n-gram counts of a batch of the word table."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            per: dict[tuple[str, int], dict[str, int]] = {}
+            for lang, word, count in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), b.column("n").to_pylist()):
+                padded = f"\x02{word}\x03"
+                for n in range(1, min(max_n, len(padded)) + 1):
+                    c = per.setdefault((lang, n), {})
+                    for i in range(len(padded) - n + 1):
+                        g = padded[i:i + n]
+                        c[g] = c.get(g, 0) + count
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang for (lang, _), c in per.items() for _ in c], pa.string()),
+                pa.array([k for (_, k), c in per.items() for _ in c], pa.int32()),
+                pa.array([g for c in per.values() for g in c], pa.string()),
+                pa.array([n for c in per.values() for n in c.values()], pa.int64())], ["lang", "size", "unit", "n"])
+
+    return cut
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
           max_grams: int = MAX_GRAMS, max_n: int = MAX_N) -> LanguageModel:
     """A model of every row with a language; rows without one are passed over."""
@@ -87,35 +129,33 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lang-words")
-    padded = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
-
-    def cuts(n: int) -> Column:
-        starts = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))
-
-    cut = F.flatten(F.array(*[cuts(n) for n in range(1, max_n + 1)]))
-    grams = counts.select("lang", "n", F.explode_outer(cut).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    words = counts.select("lang", F.concat(F.lit("w"), "word").alias("key"), "n")
-
-    def bounded(units: DataFrame, limit: int) -> DataFrame:
-        per = units.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return per.orderBy(F.desc("all"), "key").limit(limit)
+    grams = counts.mapInArrow(_cut(max_n), "lang string, size int, unit string, n long")
+    grams = materialise(grams.groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")), "lang-grams")
+    words = counts.select("lang", F.lit(0).alias("size"), F.col("word").alias("unit"), "n")
+    totals = {(r["lang"], r["size"]): r["n"] for r in words.unionByName(grams).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
 
-    model = bounded(words, max_words).unionByName(bounded(grams, max_grams)).select("key", "by").toPandas()
-    kind = F.substring("key", 1, 1)
-    totals = {(r["lang"], r["kind"]): r["n"] for r in words.unionByName(grams).groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    place = {lang: i for i, lang in enumerate(langs)}
-    logp = np.zeros((len(model), len(langs)))
-    size = np.array([[totals.get((lang, k), 0) for lang in langs] for k in ["w", *map(str, range(1, max_n + 1))]], float)
-    kinds = {k: i for i, k in enumerate(["w", *map(str, range(1, max_n + 1))])}
-    for r, (key, by) in enumerate(zip(model["key"], model["by"])):
-        n = np.full(len(langs), 0.5)  # not seen in a language: half a count
-        for x in by:
-            n[place[x["lang"]]] = x["n"]
-        logp[r] = np.log10(n / np.maximum(size[kinds[key[0]]], 1.0))
-    # equal keys cannot occur: the kind is their first character
-    return LanguageModel(langs, {k: i for i, k in enumerate(model["key"])}, logp, max_n)
+    size = np.array([[totals.get((lang, k), 0) for lang in langs] for k in range(max_n + 1)], float)
+
+    def bounded(units: DataFrame, limit: int) -> pa.Table:
+        """A column of counts per language, so that the model comes to the driver as plain numbers."""
+        per = units.groupBy("size", "unit").agg(F.sum("n").alias("all"), *[
+            F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
+        return per.orderBy(F.desc("all"), "size", "unit").limit(limit).drop("all").toArrow()
+
+    found: list[dict[str, int]] = [{} for _ in range(max_n + 1)]
+    logp: list[np.ndarray] = []
+    first = 0
+    for table in (bounded(words, max_words), bounded(grams, max_grams)):
+        kinds = table.column("size").to_numpy()
+        # not seen in a language: half a count
+        n = np.column_stack([table.column(f"n{i}").fill_null(0).to_numpy() for i in range(len(langs))]) if langs else np.zeros((len(kinds), 0))
+        logp.append(np.log10(np.maximum(n, 0.5) / np.maximum(size[kinds], 1.0)))
+        for row, (kind, unit) in enumerate(zip(kinds.tolist(), table.column("unit").to_pylist()), start=first):
+            found[kind][unit] = row
+        first += len(kinds)
+    logp = np.concatenate(logp)
+    return LanguageModel(langs, found[0], found, logp)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred",
@@ -128,20 +168,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (lang_out, score_out)]
-    held = docs.select(*[docs[c] for c in rest], docs[text_col].cast("string").alias("_text"))
+    held = packed(docs, _text=docs[text_col].cast("string"))
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        cache = Bounded(m.word)
+        scorer = Scorer(shared.value)
         for b in batches:
-            out = [m.predict(t.as_py(), cache) for t in b.column("_text")]
+            out = [scorer.predict(t.as_py()) for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in rest), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())],
-                [*rest, lang_out, score_out])
+                [b.column("_doc"), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())],
+                ["_doc", "_lang", "_score"])
 
-    schema = held.drop("_text").schema.add(lang_out, "string").add(score_out, "double")
-    return held.mapInArrow(predict, schema)
+    found = held.mapInArrow(predict, held.select("_doc").schema.add("_lang", "string").add("_score", "double"))
+    return found.select(*unpacked(rest), F.col("_lang").alias(lang_out), F.col("_score").alias(score_out))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -151,5 +190,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def accept(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` whose language is told with a confidence of ``least`` or more; same columns."""
-    found = identify(docs, model, text_col, "_lang_pred", "_lang_score")
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    lang, score = (f"_{'_'.join(docs.columns)}_{n}" for n in ("lang", "score"))  # names that no column has
+    found = identify(docs, model, text_col, lang, score)
+    return found.where((F.col(f"`{lang}`") != UNKNOWN) & (F.col(f"`{score}`") >= least)).select(*[found[f"`{c}`"] for c in docs.columns])

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
 
-_RUN = re.compile(r"[^\W\d_]+")
+class _Letters(dict):
+    """Code point -> itself for a letter, a space for anything else; filled as characters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        c = self[code] = c if c.isalpha() else " "
+        return c
+
+
+_LETTERS = _Letters()
 
 
 def letter_words(text: str | None) -> list[str]:
     """Lower-cased runs of letters, in order."""
-    if not text:
-        return []
-    words = _RUN.findall(text.lower())
-    # \w knows a few characters that are neither letters nor decimal digits
-    if all(map(str.isalpha, set(words))):
-        return words
-    return [p for w in words for p in ("".join(c if c.isalpha() else " " for c in w)).split()]
+    return text.lower().translate(_LETTERS).split() if text else []
 
 
 class Bounded(dict):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The character classes of the operators' contracts.
@@ -13,6 +13,16 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """``_doc`` (every column of ``docs``) and the ``extra`` columns, so that no name of the input can clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *[e.alias(n) for n, e in extra.items()])
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns back again."""
+    return [F.col("_doc").getField(n).alias(n) for n in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; letters beyond ASCII keep their case."""
     return F.translate(text, UPPER, LOWER)
