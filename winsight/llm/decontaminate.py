@@ -124,6 +124,16 @@ def _without(text):
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$"
     gone = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["_s"], h["_s"] + h["_len"] - 1))))
     pieces = F.regexp_extract_all(text, F.lit(f"({piece})"), F.lit(1))
-    kept = F.transform(pieces, lambda p, i: F.when(F.array_contains(gone, i), F.regexp_replace(p, word, "")).otherwise(p))
     tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$", 1)
-    return F.concat(F.concat_ws("", kept), tail)
+
+    def joined(row):
+        # set operations on the places: linear, however many words go
+        places = F.sequence(F.lit(0), F.greatest(F.size(row["pieces"]) - 1, F.lit(0)))
+        whole = F.transform(F.array_except(places, row["gone"]), lambda i: F.struct(i.alias("i"), F.get(row["pieces"], i).alias("t")))
+        cut = F.transform(F.array_intersect(places, row["gone"]),
+                          lambda i: F.struct(i.alias("i"), F.regexp_replace(F.get(row["pieces"], i), word, "").alias("t")))
+        return F.array_join(F.transform(F.array_sort(F.concat(whole, cut)), lambda p: p["t"]), "")
+
+    # a one-row array, so that the pieces are found once and not once per place
+    rows = F.transform(F.array(F.struct(pieces.alias("pieces"), gone.alias("gone"))), joined)
+    return F.concat(F.coalesce(F.element_at(rows, 1), F.lit("")), tail)

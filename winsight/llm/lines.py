@@ -44,7 +44,10 @@ def line_chunks(docs: DataFrame, id_col: str, text_col: str, window: int = WINDO
     out = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), F.split(text, "\n", -1).alias("_lines"))
     value, end, chunk, size = _chunks(text, "_lines", window, divisor, "_values", "_ends")
     out = out.withColumn("_values", value).withColumn("_ends", end).withColumn("_chunks", chunk).withColumn("_sizes", size)
-    return out.drop("_lines", "_values", "_ends")
+    # one row again: a filter on what is made of the chunks must not be pushed below them, where each
+    # lambda would work out all the arrays it refers to once per element
+    both = F.explode_outer(F.array(F.struct("_chunks", "_sizes"))).alias("_both")
+    return out.drop("_lines", "_values", "_ends").withColumn("_both", both).drop("_chunks", "_sizes").select("*", "_both._chunks", "_both._sizes").drop("_both")
 
 
 def _removals(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int, min_lines: int) -> DataFrame:
@@ -56,6 +59,8 @@ def _removals(docs: DataFrame, id_col: str, text_col: str, window: int, divisor:
     each = each.where((F.element_at("_sizes", F.col("_at") + 1) >= min_lines) & F.col("_text").rlike(r"\S"))
     places = materialise(each.select("_id", "_key", (F.col("_at") + 1).alias("_at"), F.unhex(F.md5(F.encode("_text", "UTF-8"))).alias("_d")), "line-chunks")
     repeated = places.groupBy("_d").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_key", "_at")).alias("_first")).where("_n > 1").drop("_n")
+    # a table of its own, so that both sides of the join are plain shuffles and a hot chunk's side can be split
+    repeated = materialise(repeated, "line-repeated")
     later = (places.join(repeated, "_d").where(~F.struct("_id", "_key", "_at").eqNullSafe(F.col("_first"))))
     later = materialise(later.select("_d", "_id", "_key", "_at"), "line-later")
     firsts = repeated.join(later.select("_d").distinct(), "_d", "left_semi")
@@ -93,7 +98,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = line_chunks(joined, id_col, text_col, window, divisor)
     # documents without removals keep their text as it is
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i + 1)), "\n"))
+        # set difference: linear, however many chunks go
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size("_chunks")), "_gone"), lambda i: F.element_at("_chunks", i)), "\n"))
     lines = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate("_gone", F.lit(0).cast("long"), lambda a, k: a + F.element_at("_sizes", k)))
