@@ -96,7 +96,7 @@ def test_elapsed_values_roundtrip(spark, tmp_path):
     write_values_text(el, str(tmp_path / "v"), "elapsed", "run")  # a second experiment appends
     vals = read_values_text(spark, str(tmp_path / "v")).withColumn("run", F.substring_index(parent_dir("file"), "=", -1))
     st = {r.run: (r.n, r.mean, r.std) for r in run_stats(vals).collect()}
-    assert st == {"r1": (2, 33.0, 0.0), "r2": (2, 18.0, 0.0)}
+    assert st == {"r1": (2, 33.0, 0.0), "r2": (2, 18.0, 0.0), "r3": (2, -4.0, 0.0)}
 
 
 def test_stream_file_sink_and_each_batch(spark, tmp_path):
