@@ -81,7 +81,8 @@ class ToxicModel:
 
     def passages(self, text: str | None, cache: Bounded) -> tuple[int, list[tuple[int, int, float]]]:
         words = letter_words(text)
-        return len(words), segments([cache[w] for w in words], self.drift)
+        scores = list(map(cache.__getitem__, words))
+        return len(words), segments(scores, self.drift) if any(scores) else []
 
     def features(self, text: str | None, cache: Bounded) -> tuple[float, float, int, list]:
         """Extreme-value scores of the best passage and of all, in nats over chance."""
