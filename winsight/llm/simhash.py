@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected(near_links(fps.select("fp"), max_bits))
     nodes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     nodes = materialise(nodes, "simhash-nodes")
-    # only classes of several fingerprints need a grouped minimum
-    smallest = nodes.where("root <> fp").select("root").distinct().join(nodes, "root").groupBy("root").agg(F.min("first").alias("least"))
+    # classes of several fingerprints; a table of its own, so that the side of a large class can be split in the join
+    smallest = nodes.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    smallest = materialise(smallest, "simhash-classes")
     label = nodes.join(smallest, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     out = prints.join(label, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
