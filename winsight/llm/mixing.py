@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winsight.llm.words import space_words
+from winsight.llm.words import packed, space_words, unpacked
 from winsight.session import materialise
 
 WEIGHTS = (5, 2, 1)
 #: Sources up to this many (a row of about 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
-ORDER_BINS = 65_536
+#: Bins of the rounding order: a source has so many rows at most in the running sum, and one bin is sorted.
+ORDER_BINS = 4_096
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, total: float | None = None) -> DataFrame:
@@ -102,7 +103,7 @@ def _round(rows: DataFrame, targets: DataFrame, n: int, seed: int) -> DataFrame:
     need = sums.join(_few(t, n), sums["source"].eqNullSafe(F.col("at"))).select("source", (F.col("target") - F.col("taken")).alias("need"))
     need = materialise(need, "mix-need")
     bins = rows.where(F.col("turn").isNotNull()).groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-    upto = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin"))  # at most 65,536 rows a source
+    upto = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin"))
     bins = bins.select(F.col("source").alias("at"), "bin", upto.alias("upto"), "in_bin")
     edge = (bins.join(_few(need, n), bins["at"].eqNullSafe(need["source"]))
             .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("in_bin") < F.col("need")))
@@ -182,12 +183,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     plan = plan.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    on = (docs[id_col].eqNullSafe(plan["_id"]) & docs[source_col].eqNullSafe(plan["_source"])
-          & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(plan["_key"]))
-    out = docs.join(plan, on)
+    rest = [c for c in docs.columns if c != "copy"]
+    held = packed(docs, _i=docs[id_col], _s=docs[source_col], _k=F.xxhash64(docs[text_col].cast("string")))
+    out = held.join(plan, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key")))
     # repeated rows share their copies as evenly as they divide
     share = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(
         F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(
             Window.partitionBy("_id", "_key", "_source").orderBy("_key")) <= F.col("_copies") % F.col("_rows")).cast("long"))
     out = out.withColumn("_copies", share).where("_copies > 0")
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    return out.select(*unpacked(rest), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
