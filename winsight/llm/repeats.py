@@ -47,6 +47,8 @@ SPAN = MATCH - GRAM + 1
 BLOCK = 4 << 20
 CHUNK = 1 << 19
 _EDGE = 4 * MATCH
+#: Bytes of text whose keys share a bucket, and buckets per shuffle partition at least.
+BUCKET = 16 << 20
 BUCKETS_PER_PARTITION = 4
 
 _U = np.uint64
@@ -431,7 +433,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # buckets grow with the text, so that the keys of one stay a few megabytes
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
     blocks = rows.mapInArrow(_as_blocks, f"uid string, ids array<{kind}>, lens binary, text binary, sizes binary")
     phrases = _answered(rows.mapInArrow(_of_phrases(buckets), _ASK), _sort_phrases)
     known = blocks.join(phrases, "uid", "left")
