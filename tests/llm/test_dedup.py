@@ -262,6 +262,15 @@ def test_simhash_odd_rows(edge, none):
     assert len(ids) == len(set(ids)) and {1, 3, 7, 9} <= set(ids) and 2 not in ids
 
 
+def test_keep_one_without_ids_and_with_shared_ids(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (None, d), (None, None), (None, ""), (5, c), (5, d), (5, d), (8, c), (5, e), (3, " ")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, a), (None, b), (5, c), (5, d), (5, e), (3, " ")])
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     path = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winsight.llm.components import connected
@@ -57,15 +57,22 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, fp``: the fingerprint as a signed long, one row per input row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long"
+def _text_key(text):
+    """The MD5 of a text; of a null text: null."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_key: bool = False) -> DataFrame:
+    """``id, fp``: the fingerprint as a signed long, one row per input row; ``with_key``: and ``key``, the MD5 of the text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *([_text_key(F.col(text_col)).alias("key")] if with_key else []))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long" + (", key binary" if with_key else "")
+    names = ["id", "fp"] + ["key"] * with_key
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64)), *map(b.column, names[2:])], names)
 
     return rows.mapInArrow(prints, schema)
 
@@ -200,6 +207,14 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keys.mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
+def _classes(prints: DataFrame, first, max_bits: int) -> DataFrame:
+    """``fp, first, root``: every distinct fingerprint with the aggregate ``first`` of its rows and the root of its class."""
+    fps = materialise(prints.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    roots = connected(near_links(fps.select("fp"), max_bits))
+    nodes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialise(nodes, "simhash-nodes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """``id_col, fingerprint, component_id``: one row per document.
@@ -211,10 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    fps = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = connected(near_links(fps.select("fp"), max_bits))
-    nodes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    nodes = materialise(nodes, "simhash-nodes")
+    nodes = _classes(prints, F.min("id"), max_bits)
     # classes of several fingerprints; a table of its own, so that the side of a large class can be split in the join
     smallest = nodes.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     smallest = materialise(smallest, "simhash-classes")
@@ -223,10 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]))
-    one = F.row_number().over(Window.partitionBy("_kept").orderBy(text_col))  # repeated rows of one id
-    return out.select(*[docs[c] for c in docs.columns], one.alias("_nth")).where("_nth = 1").drop("_nth")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each class of near-duplicates: the one with the smallest id.
+
+    Null ids come last; among texts of one id the smallest MD5 decides.  Classes
+    are told apart by their fingerprints, so documents without an id or with the
+    same id go only if their class has another document that stays.
+    """
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, with_key=True), "simhash-prints")
+    nodes = _classes(prints, F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")), max_bits)
+    # a table of its own, so that the side of a row that is often repeated can be split in the join
+    kept = materialise(nodes.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.id").alias("_kept"), F.col("first.key").alias("_kept_key")), "simhash-kept")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]) & _text_key(docs[text_col]).eqNullSafe(kept["_kept_key"]))
+    return out.select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col, text_col])  # repeated rows
