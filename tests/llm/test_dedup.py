@@ -83,6 +83,21 @@ def test_phrases_do_not_depend_on_chunks_and_blocks(texts, monkeypatch):
     assert want[0].sum() == len(data) - 199 and want[0].max() <= repeats.SPAN
 
 
+def test_many_surroundings_of_one_trigger_differ():
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, 1 << 18, np.uint8)
+    roll = repeats._rolling()[0]
+    at = int(np.argmin(repeats._mix((lambda s: (s[repeats.GRAM:] - s[:-repeats.GRAM]) * roll.down[:len(s) - repeats.GRAM])(roll.sums(letters)))))
+    n = 300_000  # of so many, some are equal in 32 bits
+    docs = rng.integers(97, 123, (n, 200), np.uint8)
+    docs[:, 50:150] = letters[at:at + repeats.GRAM]
+    ends = np.arange(1, n + 1) * 200
+    sizes, key, word = repeats._parse(docs.ravel(), ends - 200, ends)
+    assert sizes.sum() == n and max(Counter(key.tolist()).values()) > 0.99 * n
+    assert len(np.unique(word)) == n
+    assert not (repeats._sort_phrases(key, word, np.zeros(len(key), bool)) >= repeats.SURE).any()
+
+
 def test_one_letter_documents(spark):
     df = spark.createDataFrame([(1, "a" * 700_000), (2, "b" * 199), (3, "c" * 200)], "doc_id long, text string")
     assert {x.doc_id: (x.n_removed, x.n_spans) for x in remove_repeats(df).collect()} == {1: (700_000, 1), 2: (0, 0), 3: (0, 0)}

@@ -20,7 +20,9 @@ needed.  It is never sorted byte by byte:
    occurrence of each word, are taken start by start, cut at ``MATCH`` bytes,
    and sorted in buckets alike.
 
-Fingerprints (96 bits) stand for words and suffixes.  Texts travel once,
+Fingerprints stand for words and suffixes: a key of 64 bits and a word of 64
+bits by a second hash function.  Phrases of one trigger all have its key, so
+they are told apart by the 64 bits of their words.  Texts travel once,
 compressed, in blocks of a few megabytes; a block asks the buckets and gets
 back the numbers of its keys that are repeated.  A key that occurs often in
 one block is sent once, so the most frequent passage of the corpus costs one
@@ -109,12 +111,12 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int):
     """Phrases that begin in ``[lo, hi)`` of a block: number of starts, key of the trigger, key of the word."""
-    none = np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.uint32)
+    none = np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U)
     a, b = max(0, lo - _EDGE), min(len(data), hi + _EDGE)
     part = data[a:b]
     if len(part) < MATCH:
         return none
-    roll = _rolling()[0]
+    roll, other = _rolling()
     sums = roll.sums(part)
     m = len(part) - GRAM + 1
     h = _mix((sums[GRAM:] - sums[:-GRAM]) * roll.down[:m])
@@ -134,9 +136,9 @@ def _phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi
     cut = np.flatnonzero(new)
     trigger = (_U((1 << _BITS) - 1) - (low[cut] & _U((1 << _BITS) - 1))).astype(np.int64)
     begin, size = valid[cut], np.diff(np.append(cut, len(valid)))
-    word = roll.prints(sums, begin, begin + size + MATCH - 1)
+    word = other.prints(other.sums(part), begin, begin + size + MATCH - 1)
     # the word, its length and the trigger's place in it
-    word = (_mix(word ^ ((size * 512 + trigger - begin).astype(_U) * _U(0x9E3779B97F4A7C15))) >> _U(32)).astype(np.uint32)
+    word = _mix(word ^ ((size * 512 + trigger - begin).astype(_U) * _U(0x9E3779B97F4A7C15)))
     core = (begin + a >= lo) & (begin + a < hi)
     return size[core], h[trigger[core]], word[core]
 
@@ -144,7 +146,7 @@ def _phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi
 def _parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     parts = [_phrases(data, starts, ends, lo, min(lo + CHUNK, len(data))) for lo in range(0, len(data), CHUNK)]
     if not parts:
-        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.uint32)
+        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -228,10 +230,10 @@ def _answers(batches: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatc
     """Rows sorted by bucket: sort each bucket's keys and tell every block what their neighbours say."""
 
     def answer(asked: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        n = [len(p) // 16 for _, p in asked]
+        n = [len(p) // 20 for _, p in asked]
         key = np.concatenate([np.frombuffer(p, _U, k) for (_, p), k in zip(asked, n)])
-        word = np.concatenate([np.frombuffer(p, np.uint32, k, 8 * k) for (_, p), k in zip(asked, n)])
-        number = np.concatenate([np.frombuffer(p, np.uint32, k, 12 * k) for (_, p), k in zip(asked, n)])
+        word = np.concatenate([np.frombuffer(p, _U, k, 8 * k) for (_, p), k in zip(asked, n)])
+        number = np.concatenate([np.frombuffer(p, np.uint32, k, 16 * k) for (_, p), k in zip(asked, n)])
         state = judge(key, word, (number & np.uint32(1)) > 0)
         numbers, uids, out, at = number >> np.uint32(1), [], [], 0
         for (uid, _), k in zip(asked, n):
@@ -321,14 +323,14 @@ class _Block:
     def suffixes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of the MATCH bytes from each start on."""
         data = np.frombuffer(self.raw, np.uint8)
-        key, word = np.empty(len(at), _U), np.empty(len(at), np.uint32)
+        key, word = np.empty(len(at), _U), np.empty(len(at), _U)
         one, two = _rolling()
         for lo in range(0, len(data), CHUNK):
             i, j = np.searchsorted(at, [lo, lo + CHUNK])
             if i < j:
                 part, s = data[lo:lo + CHUNK + MATCH], at[i:j] - lo
                 key[i:j] = one.prints(one.sums(part), s, s + MATCH)
-                word[i:j] = (two.prints(two.sums(part), s, s + MATCH) >> _U(32)).astype(np.uint32)
+                word[i:j] = two.prints(two.sums(part), s, s + MATCH)
         return key, word
 
     def spans(self, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
