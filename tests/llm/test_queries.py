@@ -23,7 +23,7 @@ COLUMNS = {
 def test_all_registered():
     names = set(E.queries())
     assert {"pipeline", *Q.queries()} <= names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from winsight.llm import langid, toxicity
+from winsight.llm.centroids import cluster
 from winsight.llm.decontaminate import scan
 from winsight.llm.exact import exact_dedup
 from winsight.llm.licences import scan_licences
 from winsight.llm.lines import dedup_lines
 from winsight.llm.mixing import plan_mix
+from winsight.llm.neighbours import nearest_neighbours
 from winsight.llm.preferences import format_preferences, swapped_answers
 from winsight.llm.repeats import remove_repeats
 from winsight.llm.simhash import near_duplicates
+from winsight.llm.spelling import spelling_variants
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +165,64 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_neighbours(spark, sf_dir):
+    """Every vector whose id is divisible by 100, against all."""
+    return nearest_neighbours(_t(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op12_clusters(spark, sf_dir):
+    return cluster(_t(spark, sf_dir, "embeddings"))
+
+
+# one round: every vector measured against every centroid (a row per centroid and component), then the floor of the means
+_ROUND = """
+a{r} AS (SELECT row, min(struct_pack(distance, cluster)) AS best FROM
+         (SELECT row, cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance FROM v JOIN c{r} c USING (i) GROUP BY ALL) GROUP BY 1),
+m{r} AS (SELECT a.best.cluster AS cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} a USING (row) GROUP BY ALL),
+c{n} AS (SELECT cluster, i, CASE WHEN m.n IS NULL THEN c.x ELSE (s - (s % m.n + m.n) % m.n) // m.n END AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster, i)),"""
+
+SQL_OP12 = """
+WITH k AS (SELECT vec_id, embedding AS e, row_number() OVER () AS row FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT row, i, floor(64 * e[i]::DOUBLE)::BIGINT AS x FROM k, range(1, 65) t(i)),
+s AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM k),
+c0 AS (SELECT cluster, i, x FROM v JOIN s USING (row) WHERE cluster < 16),""" + "".join(_ROUND.format(r=r, n=r + 1) for r in range(4)) + """
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY 1),
+f AS (SELECT vec_id, best.cluster::INT AS "cluster", best.distance AS distance FROM a3 JOIN k USING (row))
+SELECT *, (sum(distance) OVER (PARTITION BY "cluster"))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia
+FROM f JOIN h USING ("cluster")
+"""
+
+
+def op13_spellings(spark, sf_dir):
+    return spelling_variants(_t(spark, sf_dir, "documents"), min_chars=5, min_count=3, slips=97)
+
+
+# CRC-32 byte by byte over a table that is made here; near words through all single deletions
+SQL_OP13 = r"""
+WITH RECURSIVE
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+o AS (SELECT doc_id, run, count(*) AS k FROM (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM o),
+h AS (SELECT run, k, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                         lambda c, y: xor(c // 256, tab[xor(c, y) % 256 + 1]), 4294967295), 4294967295) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+      FROM h GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5),
+g AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM g a JOIN w b ON a.less = b.word
+      UNION SELECT b.word, a.word, a.n FROM g a JOIN w b ON a.less = b.word),
+m AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -other_n, w := other)) AS best FROM p GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n
+      FROM w LEFT JOIN m USING (word)),
+c AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN c USING (word) JOIN f r ON r.word = c.root WHERE r.form IS NULL
+"""
+
+
 def queries() -> dict:
     return {
         "op1_preferences": op1_preferences,
@@ -174,6 +235,9 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_neighbours": op11_neighbours,
+        "op12_clusters": op12_clusters,
+        "op13_spellings": op13_spellings,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -185,4 +249,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": SQL_OP3,
         "op4_decontaminate": SQL_OP4,
         "op10_exact_dedup": SQL_OP10,
+        "op12_clusters": SQL_OP12,
+        "op13_spellings": SQL_OP13,
     }
