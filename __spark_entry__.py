@@ -31,6 +31,8 @@ from winsight.sources.files import parent_dir, read_records_csv, read_run_start,
 from winsight.sources.messages import decode_json, read_messages, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
 from winsight.streaming.sessions import SessionMeasures
+from winsight.streaming.sliding import stream_sliding
+from winsight.streaming.state import run_stateful
 from winsight.streaming.suites import run_available
 from winsight.streaming.summary import SummaryStream
 
@@ -179,13 +181,32 @@ def q_stream_session_unique(spark, sf_dir):
     return proc.result().drop("batch_id")
 
 
+#: Seconds by which the rows of the sliding stream arrive out of order, at most; the stream waits as long.
+JITTER_S = 2700
+
+
+def shuffled_stream(spark, sf_dir) -> DataFrame:
+    """``events`` in the order of event time plus up to ``JITTER_S``: out of order, never late."""
+    jitter = F.pmod(F.col("event_id") * 7919, F.lit(JITTER_S)) * 1_000_000
+    return ordered_stream(spark, sf_dir, to_micros("ts", T.TimestampNTZType()) + jitter)
+
+
+def q_stream_sliding(spark, sf_dir):
+    """Sliding windows over rows out of order: pane partials in keyed state, timers at window ends."""
+    ms = {"n": M.size(), "mx": M.max("value"), "mn": M.min("value"), "avg_value": M.mean("amount"),
+          "frac": M.fraction_of_set_conformance("event_type", ALLOWED)}
+    out = stream_sliding(_with_amount(shuffled_stream(spark, sf_dir)), WindowSpec.sliding("60 minutes", "15 minutes"), "ts", ms,
+                         watermark=f"{JITTER_S} seconds")
+    return run_stateful(out, "stream_sliding", STREAM_FILES)
+
+
 def q_stream_summary(spark, sf_dir):
     summary = SummaryStream(spark, MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
     q = summary.start(messages_of(ordered_stream(spark, sf_dir, F.col("event_id").cast("long"))), trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return summary.result().drop("batch_id")
+    return summary.result()
 
 
 # ---------------------------------------------------------------- files
@@ -253,6 +274,15 @@ select ws window_start, ws + interval 1 hour window_end, count(*) n, max(value)
 from x group by 1
 """
 
+SQL_STREAM_SLIDING = f"""
+with x as (select *, time_bucket(interval 15 minute, ts, timestamp '1970-01-01') - to_minutes(15 * k) ws
+           from events, range(4) r(k) where ts is not null)
+select ws window_start, ws + interval 1 hour window_end, count(*) n, max(value) mx, min(value) mn,
+       cast(sum(cast(value as decimal(12, 2))) as double) / nullif(count(value), 0) avg_value,
+       count(*) filter (where event_type in ('click','view')) / nullif(count(event_type), 0) frac
+from x group by 1 having ws + interval 1 hour <= (select max(ts) from events) - to_seconds({JITTER_S})
+"""
+
 SQL_SLIDING = """
 with x as (select *, time_bucket(interval 15 minute, ts, timestamp '1970-01-01') - to_minutes(15 * k) ws
            from events, range(4) r(k) where ts is not null),
@@ -843,6 +873,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_tumbling": q_stream_tumbling,
         "stream_session": q_stream_session,
         "stream_session_unique": q_stream_session_unique,
+        "stream_sliding": q_stream_sliding,
         "stream_summary": q_stream_summary,
         "csv_roundtrip": q_csv_roundtrip,
         "timings_csv": q_timings_csv,
@@ -894,6 +925,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_tumbling": SQL_STREAM_TUMBLING,
         "stream_session": SQL_STREAM_SESSION,
         "stream_session_unique": SQL_STREAM_SESSION_UNIQUE,
+        "stream_sliding": SQL_STREAM_SLIDING,
         "stream_summary": SQL_STREAM_SUMMARY,
         "csv_roundtrip": SQL_CSV_ROUNDTRIP,
         "timings_csv": SQL_TIMINGS_CSV,

@@ -23,6 +23,12 @@ class Partial:
     name: str
     expr: Column = field(compare=False, hash=False)
     merge: str  # "sum" | "min" | "max"
+    row: Column | None = field(default=None, compare=False, hash=False)  # its value for a single row
+
+    def of_row(self) -> Column:
+        if self.row is None:
+            raise ValueError(f"partial {self.name} has no value for a single row")
+        return self.row
 
     def merged(self, src: str | None = None) -> Column:
         c = F.col(src or self.name)
@@ -59,30 +65,32 @@ class Measure:
         c = F.col(self.column) if self.column else None
         k, name = self.kind, self.column
         summed = c.cast("decimal(19,0)") if name in whole else c
+        one = lambda cond: F.when(cond, 1).otherwise(0).cast("long")
         if k == "size":
             return []
         if k == "count":
-            return [Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_nn__{name}", F.count(c), "sum", one(c.isNotNull()))]
         if k == "max":
-            return [Partial(f"_max__{name}", F.max(c), "max")]
+            return [Partial(f"_max__{name}", F.max(c), "max", c)]
         if k == "min":
-            return [Partial(f"_min__{name}", F.min(c), "min")]
+            return [Partial(f"_min__{name}", F.min(c), "min", c)]
         if k == "mean":
-            return [Partial(f"_sum__{name}", F.sum(summed), "sum"), Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_sum__{name}", F.sum(summed), "sum", summed), Partial(f"_nn__{name}", F.count(c), "sum", one(c.isNotNull()))]
         if k == "sum":
-            return [Partial(f"_sum__{name}", F.sum(summed), "sum")]
+            return [Partial(f"_sum__{name}", F.sum(summed), "sum", summed)]
         if k == "completeness":
-            return [Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_nn__{name}", F.count(c), "sum", one(c.isNotNull()))]
         if k == "conformance":
-            return [Partial(f"_in__{name}__{_key(self.values)}", F.count_if(c.isin(list(self.values))), "sum"),
-                    Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_in__{name}__{_key(self.values)}", F.count_if(c.isin(list(self.values))), "sum", one(c.isin(list(self.values)))),
+                    Partial(f"_nn__{name}", F.count(c), "sum", one(c.isNotNull()))]
         if k == "outside":
             return [Partial(f"_out__{name}__{_key(self.values)}",
-                            F.count_if(c.isNotNull() & ~c.isin(list(self.values))), "sum")]
+                            F.count_if(c.isNotNull() & ~c.isin(list(self.values))), "sum",
+                            one(c.isNotNull() & ~c.isin(list(self.values))))]
         if k == "negatives":
-            return [Partial(f"_neg__{name}", F.count_if(c < 0), "sum")]
+            return [Partial(f"_neg__{name}", F.count_if(c < 0), "sum", one(c < 0))]
         if k == "unique":
-            return [Partial(f"_nn__{name}", F.count(c), "sum")]
+            return [Partial(f"_nn__{name}", F.count(c), "sum", one(c.isNotNull()))]
         raise AssertionError(k)
 
     # -- final value ----------------------------------------------------

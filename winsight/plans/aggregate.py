@@ -49,7 +49,7 @@ def whole_columns(df: DataFrame) -> frozenset:
 
 
 def collect_partials(measures, whole=frozenset()) -> list[Partial]:
-    seen: dict[str, Partial] = {N: Partial(N, F.count(F.lit(1)), "sum")}
+    seen: dict[str, Partial] = {N: Partial(N, F.count(F.lit(1)), "sum", F.lit(1).cast("long"))}
     for m in measures:
         for p in m.partials(whole):
             seen.setdefault(p.name, p)

@@ -1,79 +1,138 @@
-"""A4: run summaries over a streaming result topic (K5 fan-out).
-
-Each micro-batch is summarised with the batch operators (distributed
-segments, totals, marker join).  What crosses micro-batches is only the open
-segment: per (partition, source) partial totals since the last marker.  That
-carry is a small table written under the checkpoint folder, keyed by batch
-id, so a re-run of a failed batch reads the same carry and overwrites the
-same output folder (idempotent).
+"""A4: run summaries over a streaming result topic, with keyed state.
+
+State per topic partition is the open segment alone: for every source the
+number of results, the last arrival and the summed processing time since the
+last marker.  A marker emits the active sources and resets the state.
+
+Rows reach the state reduced: inside a task, results with consecutive offsets
+are merged per source.  No marker of another task can lie between consecutive
+offsets, so the merged row takes its place by its first offset, and a
+partition hands over a few rows per marker, not one per result.  The state
+operator puts the rows of a micro-batch in offset order; a topic delivers
+offsets in order from one micro-batch to the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.runs import (MARKER_FIELDS, all_sources, classify, per_source, segment_by_marker,
-                              segment_summaries, summary_rows, weighted_rows)
+from ..operators.runs import MARKER_FIELDS, all_sources, classify, summary_rows, weighted_rows
 from ..session import scratch_path
-from ..sources.sinks import each_batch
-from .sessions import retire
+from .state import merged, start_stateful
+
+_MARKER = MARKER_FIELDS.fieldNames()
+# names without a leading underscore: the state operator renames the others
+_MERGES = {"offset": "min", "weight": "sum", "arrival": "max", "proc": "sum", **{n: "max" for n in _MARKER}}
+
+
+def _runs(parts: list[str]):
+    """Task body: results with consecutive offsets of one partition merged per source; markers stay as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            t = t.sort_by([(c, "ascending") for c in [*parts, "offset"]])
+            at = np.asarray(pc.fill_null(t["offset"], np.iinfo(np.int64).min))
+            marker = np.asarray(t["is_marker"])
+            new = np.ones(len(t), bool)
+            new[1:] = (np.diff(at) != 1) | marker[1:] | marker[:-1]
+            for c in parts:
+                code = np.asarray(pc.fill_null(t[c].combine_chunks().dictionary_encode().indices, -1))
+                new[1:] |= code[1:] != code[:-1]
+            t = t.append_column("run", pa.array(np.cumsum(new)))
+            got = merged(t, [*parts, "run", "is_marker", "source"], _MERGES)
+            yield from got.drop_columns(["run"]).select([*parts, "is_marker", "source", *_MERGES]).to_batches()
+
+    return run
+
+
+class _Segments(StatefulProcessor):
+    """Folds results into the open segment of a partition; a marker emits and resets it."""
+
+    def __init__(self, parts: list[str], names: list[str]):
+        self.parts, self.names = parts, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "n array<bigint>, latest array<bigint>, spent array<bigint>, spent_n array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        d = pd.concat(list(rows)).sort_values("offset", na_position="first", kind="stable")
+        marker = d["is_marker"].to_numpy(bool)
+        segment = np.cumsum(marker) - marker  # markers before the row
+        k, last = len(self.names), int(marker.sum())
+        source = d["source"].map({n: i for i, n in enumerate(self.names)}).to_numpy(np.int64)
+        n, spent, spent_n = (np.zeros((last + 1, k), np.int64) for _ in range(3))
+        latest = np.full((last + 1, k), -1, np.int64)
+        if self.open.exists():
+            n[0], latest[0], spent[0], spent_n[0] = (np.array(x, np.int64) for x in self.open.get())
+        at = segment[~marker], source[~marker]
+        has = d.loc[~marker, "proc"].notna().to_numpy()
+        proc = d.loc[~marker, "proc"].fillna(0).to_numpy(np.int64)
+        np.add.at(n, at, d.loc[~marker, "weight"].to_numpy(np.int64))
+        np.maximum.at(latest, at, d.loc[~marker, "arrival"].fillna(-1).to_numpy(np.int64))
+        np.add.at(spent, at, proc)
+        np.add.at(spent_n, at, has.astype(np.int64))
+        self.open.update(tuple(x[last].tolist() for x in (n, latest, spent, spent_n)))
+        if last:
+            marks = d[marker]
+            seg, src = np.nonzero(latest[:last] > 0)
+            out = {p: [v] * len(seg) for p, v in zip(self.parts, key)}
+            out |= {"offset": marks["offset"].to_numpy()[seg], "tool": np.array(self.names, object)[src]}
+            out |= {c: pd.array(marks[c].to_numpy()[seg], dtype="Int64") for c in _MARKER}
+            out |= {"number_of_windows": n[seg, src], "max_timestamp": latest[seg, src],
+                    "processing_time": pd.array(np.where(spent_n[seg, src] > 0, spent[seg, src].astype(object), None), dtype="Int64")}
+            yield pd.DataFrame(out)
+
+
+def stream_summaries(messages: DataFrame, marker_key: str, sources, default: str, constants: dict | None = None,
+                     partition_cols=("partition",)) -> DataFrame:
+    """A4 as a streaming DataFrame: the rows of ``run_summary`` (and the marker's ``offset``) as markers arrive.
+
+    Results after a partition's last marker stay open and are not reported.
+    """
+    parts, names = list(partition_cols), all_sources(sources, default)
+    rows = weighted_rows(classify(messages, marker_key, sources, default), parts)
+    keys = [f"part{i}" for i in range(len(parts))]
+    rows = rows.select(*[F.col(p).alias(k) for p, k in zip(parts, keys)], "is_marker", "source", "offset", F.col("_w").alias("weight"),
+                       F.col("_arr").alias("arrival"), F.col("_proc").alias("proc"), *_MARKER)
+    of_parts = rows.schema.fields[:len(keys)]
+    rows = rows.mapInArrow(_runs(keys), rows.schema)
+    out = T.StructType(of_parts + [T.StructField("offset", T.LongType()), T.StructField("tool", T.StringType())]
+                       + [T.StructField(c, T.LongType()) for c in [*_MARKER, "number_of_windows", "max_timestamp", "processing_time"]])
+    got = rows.groupBy(*keys).transformWithStateInPandas(_Segments(keys, names), out, "Append", "None")
+    got = got.select(*[F.col(k).alias(p) for p, k in zip(parts, keys)], *got.columns[len(keys):])
+    # closed segments and active sources only: what summary_rows asks for holds for every row
+    return summary_rows(got.withColumns({"_closed": F.lit(1), "segment": F.lit(0)}), constants, parts, keep=["offset"]).drop("segment")
+
+
+#: Parts of the state: it has a row per topic partition, and few rows reach it.
+STATE_PARTITIONS = 4
+
 
 class SummaryStream:
+    """A4 into files under ``base``: the summaries and the query's checkpoint."""
+
     def __init__(self, spark: SparkSession, marker_key: str, sources, default: str, constants: dict | None = None,
                  base: str | None = None, partition_cols=("partition",)):
         self.spark = spark
-        self.marker_key, self.sources, self.default = marker_key, list(sources), default
-        self.names = all_sources(sources, default)
-        self.constants = dict(constants or {})
-        self.parts = list(partition_cols)
+        self.settings = marker_key, list(sources), default, dict(constants or {}), list(partition_cols)
         self.base = base or scratch_path(spark, "summary", keep=True)
-        self.out_dir, self.carry_dir = f"{self.base}/summary", f"{self.base}/carry"
-        self.checkpoint = f"{self.base}/checkpoint"
-
-    def _carry_schema(self, sample: DataFrame) -> T.StructType:
-        fields = [sample.schema[p] for p in self.parts] + [
-            T.StructField("source", T.StringType()), T.StructField("number_of_windows", T.LongType()),
-            T.StructField("max_timestamp", T.LongType()), T.StructField("processing_time", T.LongType())]
-        return T.StructType(fields)
-
-    def _read_carry(self, batch_id: int, schema: T.StructType) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.carry_dir}/batch_id={batch_id - 1}")
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """foreachBatch body: summaries of the segments this batch closes, and the new carry.
-
-        The carry enters as weighted rows of segment 0 (it precedes every row
-        of this batch).  The per-segment table is read by both writes, so it is
-        persisted for the call; the source replays the batch if it is lost.
-        """
-        rows = segment_by_marker(weighted_rows(classify(batch, self.marker_key, self.sources, self.default), self.parts),
-                                 partition_cols=self.parts)
-        carry = self._read_carry(batch_id, self._carry_schema(batch)).select(
-            *self.parts, F.lit(0).cast("long").alias("segment"), F.lit(False).alias("is_marker"),
-            F.lit(None).cast("long").alias("offset"), "source", F.col("number_of_windows").alias("_w"),
-            F.col("max_timestamp").alias("_arr"), F.col("processing_time").alias("_proc"),
-            *[F.lit(None).cast("long").alias(n) for n in MARKER_FIELDS.fieldNames()])
-        per_src = per_source(segment_summaries(rows.unionByName(carry), self.names, self.parts), self.names)
-        per_src = per_src.persist()
-        try:
-            summary_rows(per_src, self.constants, self.parts, keep=["offset"]).drop("segment") \
-                .write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
-            (per_src.where((F.col("_closed") == 0) & (F.col("number_of_windows") > 0))
-                    .select(*self.parts, F.col("tool").alias("source"), "number_of_windows", "max_timestamp",
-                            "processing_time")
-                    .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
-            retire(self.spark, self.carry_dir, batch_id - 2)
-        finally:
-            per_src.unpersist()
+        self.out_dir, self.checkpoint = f"{self.base}/summary", f"{self.base}/checkpoint"
 
     def start(self, messages: DataFrame, trigger: dict | None = None) -> StreamingQuery:
-        return each_batch(messages, self.process, self.checkpoint, trigger=trigger)
+        return start_stateful(stream_summaries(messages, *self.settings), self.out_dir, self.checkpoint, trigger, STATE_PARTITIONS)
 
     def result(self) -> DataFrame:
-        """Every summary row written so far (``batch_id`` from the folder names)."""
+        """Every summary row written so far."""
         return self.spark.read.parquet(self.out_dir)
