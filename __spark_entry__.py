@@ -30,6 +30,7 @@ from winsight.session import scratch_path
 from winsight.sources.files import parent_dir, read_records_csv, read_run_start, read_timings_csv, read_values_text
 from winsight.sources.messages import decode_json, read_messages, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
+from winsight.streaming.batches import BatchTags, stream_batch_markers
 from winsight.streaming.sessions import SessionMeasures
 from winsight.streaming.sliding import stream_sliding
 from winsight.streaming.state import run_stateful
@@ -200,6 +201,37 @@ def q_stream_sliding(spark, sf_dir):
     return run_stateful(out, "stream_sliding", STREAM_FILES)
 
 
+def q_stream_batches(spark, sf_dir):
+    """Batch numbers carried over micro-batches."""
+    tags = BatchTags(spark, "event_id", SIZES)
+    tags.start(ordered_stream(spark, sf_dir, F.col("event_id").cast("long")).select("event_id"), {"availableNow": True}).awaitTermination()
+    return tags.result().select("event_id", "batch_id")
+
+
+def q_stream_batch_markers(spark, sf_dir):
+    """A marker per batch, as it fills."""
+    ev = ordered_stream(spark, sf_dir, F.col("event_id").cast("long"))
+    return run_stateful(stream_batch_markers(ev, SIZES), "stream_batch_markers", 1)
+
+
+def q_stream_tumbling_unique2(spark, sf_dir):
+    """Three uniqueness columns in one streaming query."""
+    ms = {"n": M.size(), "mx": M.max("value"), "u_user": M.fraction_of_unique("user_id"),
+          "u_value": M.fraction_of_unique("value"), "u_kind": M.fraction_of_unique("event_type")}
+    return run_available(spark, windowed_measures(stream_table(spark, sf_dir, "events"), HOUR, "ts", ms), "stream_tumbling_unique2")
+
+
+def q_stream_collect_rows(spark, sf_dir):
+    """Bags of rows over a stream, in chunks by event id."""
+    bags = collect_rows(stream_table(spark, sf_dir, "events"), HOUR, "ts", chunk_rows=64, chunk_by="event_id")
+    return bag_totals(run_available(spark, bags, "stream_collect_rows"))
+
+
+def q_stream_distinct_windows(spark, sf_dir):
+    w = assign_windows(stream_table(spark, sf_dir, "events"), WindowSpec.tumbling("360 minutes"), "ts", watermark="0 seconds")
+    return run_available(spark, distinct_windows(w, ["event_type"]), "stream_distinct_windows")
+
+
 def q_stream_summary(spark, sf_dir):
     summary = SummaryStream(spark, MARKER, SOURCES, DEFAULT_SOURCE, RUN_CONSTANTS)
     q = summary.start(messages_of(ordered_stream(spark, sf_dir, F.col("event_id").cast("long"))), trigger={"availableNow": True})
@@ -422,7 +454,10 @@ def q_rows_of_window(spark, sf_dir):
 
 
 def q_collect_rows(spark, sf_dir):
-    bags = collect_rows(_t(spark, sf_dir, "events"), HOUR, "ts", chunk_rows=64)
+    return bag_totals(collect_rows(_t(spark, sf_dir, "events"), HOUR, "ts", chunk_rows=64))
+
+
+def bag_totals(bags: DataFrame) -> DataFrame:
     per_chunk = bags.select("window_start", "window_end", F.size("rows").alias("k"),
                             F.aggregate("rows", F.lit(0).cast("long"), lambda acc, r: acc + r["event_id"]).alias("s"))
     return per_chunk.groupBy("window_start", "window_end").agg(
@@ -757,6 +792,21 @@ from ({_products_sql(None)}) b
 
 SQL_STREAM_TUMBLING = f"select * from ({SQL_TUMBLING}) x where window_end <= (select max(ts) from events)"
 
+SQL_STREAM_TUMBLING_UNIQUE2 = f"""
+with w as (select {_HOUR} ws, * from events where ts is not null),
+once as ({" union all ".join(f"select ws, '{c}' col, count(*) c from w where {c} is not null group by ws, {c}" for c in ("user_id", "value", "event_type"))}),
+u as (select ws, col, count(*) filter (where c = 1) / sum(c) f from once group by 1, 2)
+select ws window_start, ws + interval 1 hour window_end, count(*) n, max(value) mx,
+       any_value((select f from u where u.ws = w.ws and col = 'user_id')) u_user,
+       any_value((select f from u where u.ws = w.ws and col = 'value')) u_value,
+       any_value((select f from u where u.ws = w.ws and col = 'event_type')) u_kind
+from w group by ws having ws + interval 1 hour <= (select max(ts) from events)
+"""
+
+SQL_STREAM_COLLECT_ROWS = f"select * from ({SQL_COLLECT_ROWS}) x where window_end <= (select max(ts) from events)"
+
+SQL_STREAM_DISTINCT_WINDOWS = f"select * from ({SQL_DISTINCT_WINDOWS}) x where window_end <= (select max(ts) from events)"
+
 SQL_STREAM_SESSION = _SESSIONS + """
 select * from (select user_id, min(ts) window_start, max(ts) + interval 2 hour window_end, count(*) n,
                       max(value) mx, min(value) mn from b group by user_id, sid) x
@@ -874,6 +924,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_session": q_stream_session,
         "stream_session_unique": q_stream_session_unique,
         "stream_sliding": q_stream_sliding,
+        "stream_batches": q_stream_batches,
+        "stream_batch_markers": q_stream_batch_markers,
+        "stream_tumbling_unique2": q_stream_tumbling_unique2,
+        "stream_collect_rows": q_stream_collect_rows,
+        "stream_distinct_windows": q_stream_distinct_windows,
         "stream_summary": q_stream_summary,
         "csv_roundtrip": q_csv_roundtrip,
         "timings_csv": q_timings_csv,
@@ -926,6 +981,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_session": SQL_STREAM_SESSION,
         "stream_session_unique": SQL_STREAM_SESSION_UNIQUE,
         "stream_sliding": SQL_STREAM_SLIDING,
+        "stream_batches": SQL_BATCHES,
+        "stream_batch_markers": SQL_BATCH_MARKERS,
+        "stream_tumbling_unique2": SQL_STREAM_TUMBLING_UNIQUE2,
+        "stream_collect_rows": SQL_STREAM_COLLECT_ROWS,
+        "stream_distinct_windows": SQL_STREAM_DISTINCT_WINDOWS,
         "stream_summary": SQL_STREAM_SUMMARY,
         "csv_roundtrip": SQL_CSV_ROUNDTRIP,
         "timings_csv": SQL_TIMINGS_CSV,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import ordinal
@@ -26,27 +26,30 @@ def parse_sizes(text: str) -> list[int]:
     return sizes
 
 
+def batch_of(place: Column, sizes) -> tuple[Column, Column]:
+    """Number and target size of the batch that holds the row at ``place`` (from 1)."""
+    sizes = list(sizes)
+    cycle = sum(sizes)
+    r0 = place - 1
+    pos = F.pmod(r0, F.lit(cycle))
+    full = ((r0 - pos) / F.lit(cycle)).cast("long")
+    idx, size, bound = F, F, 0  # grown into two CASE expressions
+    for i, s in enumerate(sizes):
+        bound += s
+        idx, size = idx.when(pos < bound, F.lit(i)), size.when(pos < bound, F.lit(s))
+    return (full * len(sizes) + idx + 1).cast("long"), size.cast("long")
+
+
 def assign_batches(df: DataFrame, order_col: str, sizes, partition_cols=(), *, block: int | None = None,
                    tie_cols=()) -> DataFrame:
     """B1: add ``batch_id`` (1-based) and ``batch_size`` (its target size).
 
     ``tie_cols`` settle the order of rows with equal ``order_col``.
     """
-    sizes = list(sizes)
-    cycle = sum(sizes)
     kw = {"block": block} if block else {}
     d = ordinal(df, order_col, partition_cols, out="_rn", tie_cols=tie_cols, **kw)
-    r0 = F.col("_rn") - 1
-    pos = F.pmod(r0, F.lit(cycle))
-    full = ((r0 - pos) / F.lit(cycle)).cast("long")
-    idx, size, bound = None, None, 0
-    for i, s in enumerate(sizes):
-        bound += s
-        idx = (idx.when(pos < bound, F.lit(i)) if idx is not None else F.when(pos < bound, F.lit(i)))
-        size = (size.when(pos < bound, F.lit(s)) if size is not None else F.when(pos < bound, F.lit(s)))
-    return (d.withColumn("batch_id", (full * len(sizes) + idx + 1).cast("long"))
-             .withColumn("batch_size", size.cast("long"))
-             .drop("_rn"))
+    number, size = batch_of(F.col("_rn"), sizes)
+    return d.withColumn("batch_id", number).withColumn("batch_size", size).drop("_rn")
 
 
 def batch_markers(batched: DataFrame, partition_cols=()) -> DataFrame:

@@ -12,6 +12,8 @@ present; every level below the first works on partials, never on rows):
 * session, stream     ``groupBy(tags, session_window(ts, gap))``            1 level
 * + uniqueness        one more level keyed by the value; the value level is
                       merged into windows before the window level.
+* + several uniqueness columns on a stream: the value level is keyed by the
+                      number of the column and its value
 
 Skew: every level is a plain ``groupBy`` of mergeable aggregates, so Spark
 combines map-side before the shuffle and a hot key (a third of all rows in
@@ -57,7 +59,7 @@ def collect_partials(measures, whole=frozenset()) -> list[Partial]:
 
 
 #: Column names the plans use themselves.
-RESERVED = re.compile(r"_(n|w|p|k|ws|b|sid|us|d|blk|v|seed|all|chunk|tmin|tmax|closed|start)$|_(nn|max|min|sum|in|out|neg|uq1|uqn)__")
+RESERVED = re.compile(r"_(n|w|p|k|ws|b|sid|us|d|blk|v|seed|all|chunk|tmin|tmax|closed|start|c|u[0-9]+)$|_(nn|max|min|sum|in|out|neg|uq1|uqn)__")
 
 
 def check_names(names, tags) -> None:
@@ -107,6 +109,25 @@ def _plan_time_window(df, spec: WindowSpec, ts, tags, partials, u):
                         *[c for c in level.columns if c not in keys])
 
 
+def _plan_stacked(df, spec: WindowSpec, ts, tags, partials, uniq):
+    """Several uniqueness columns of a stream in one pair of stateful aggregates: a row enters the value level
+    once per column, marked with the column's number; the other partials are taken from the first."""
+    step = [spark_interval(spec.slide_ms)] if spec.kind == "sliding" else []
+    rows = df.withColumn("_c", F.explode(F.array(*[F.lit(i) for i in range(len(uniq))])))
+    rows = rows.withColumns({f"_u{i}": F.when(F.col("_c") == i, F.col(u)) for i, u in enumerate(uniq)})
+    values = [f"_u{i}" for i in range(len(uniq))]
+    level = rows.groupBy(*tags, F.window(ts, spark_interval(spec.duration_ms), *step).alias("_w"), "_c", *values).agg(
+        *[p.expr.alias(p.name) for p in partials])
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    parts = [merge[p.merge](F.when(F.col("_c") == 0, F.col(p.name))).alias(p.name) for p in partials]
+    for i, u in enumerate(uniq):
+        there = F.col(f"_u{i}").isNotNull()
+        parts += [F.sum(F.when(there & (F.col(N) == 1), 1).otherwise(0)).cast("long").alias(f"_uq1__{u}"),
+                  F.sum(F.when(there, F.col(N)).otherwise(0)).cast("long").alias(f"_uqn__{u}")]
+    level = level.groupBy(*tags, "_w").agg(*parts)
+    return level.select(*tags, F.col("_w.start").alias(WS), F.col("_w.end").alias(WE), *level.columns[len(tags) + 1:])
+
+
 def _plan_panes(df, spec: WindowSpec, ts, tags, partials, uniq, dtype):
     """Sliding batch: aggregate panes of gcd(d, s) once, then fan panes out.
 
@@ -207,11 +228,12 @@ def windowed_measures(df: DataFrame, spec: WindowSpec, time_col: str, measures:
     if spec.kind == "sliding" and not streaming:
         out = _plan_panes(df, spec, time_col, tags, partials, uniq, dtype)
         uniq = []
+    elif streaming and len(uniq) > 1 and spec.kind != "session":
+        out = _plan_stacked(df, spec, time_col, tags, partials, uniq)
+        uniq = []
     else:
         out = plan(partials, uniq[0] if uniq else None)
     if len(uniq) > 1:
-        if streaming:
-            raise NotImplementedError("one uniqueness column per streaming query; start one query per column")
         for u in uniq[1:]:
             extra = plan([Partial(N, F.count(F.lit(1)), "sum")], u).drop(N)
             out = null_safe_join(out, extra, tags + [WS, WE])
