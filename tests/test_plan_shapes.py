@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from winsight import Suite, WindowSpec, windowed_measures
 from winsight.operators import measures as M
 
@@ -81,8 +83,34 @@ def test_session_plan_reads_raw_data_at_most_twice(spark):
     assert not tracker.getJobIdsForGroup("session-build")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert "ExistingRDD" not in _plan(out) + _plan(plain)
-    assert _optimized(plain).count("Relation [") == 1
-    assert _optimized(out).count("Relation [") <= 3  # the scan of the bucket bounds is planned twice and shuffled once
+    for df in (plain, out):  # bucket partials and bucket bounds; what is planned more often is shuffled once and reused
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") <= 2
+
+
+def test_session_scan_orders_blocks_not_fragments(spark):
+    """No window over buckets or fragments is partitioned by the tags alone, with tags or without."""
+    ev = spark.read.parquet(EV)
+    for tags in (["user_id"], []):
+        for ms in ({"n": M.size()}, {"n": M.size(), "u": M.fraction_of_unique("event_type")}):
+            plan = _optimized(windowed_measures(ev, WindowSpec.session("1 seconds"), "ts", ms, tags=tags))
+            windows = re.findall(r"Window \[.*?\], \[(.*?)\](?:, \[(.*?)\])?\n", plan) + [
+                ("", o) for o in re.findall(r"Window \[.*?\], (?:List\(\)|\[\]), \[(.*?)\]", plan)]
+            assert windows
+            for by, order in windows:
+                assert "_blk#" in by or "_grp#" in by or "_grp#" in order, (by, order)
+
+
+def test_prefix_blocks_stay_even(spark):
+    """Outliers, bursts, ties and nulls: no block over three times its share."""
+    from winsight.plans.prefix import with_blocks
+    i = F.col("id")
+    keys = {"outlier": F.when(i == 5, 10 ** 15).otherwise(i), "burst": F.when(i < 90_000, i % 7).otherwise(i * 1_000_000),
+            "ties": F.lit(3).cast("long"), "nulls": F.when(i % 3 > 0, i)}
+    for name, key in keys.items():
+        for ties in ((), ("id",)):
+            blocks = with_blocks(spark.range(100_000).select("id", key.alias("k")), "k", 1000, ties).groupBy("_blk").count().collect()
+            assert sum(r["count"] for r in blocks) == 100_000 and max(r["count"] for r in blocks) <= 3000, name
 
 
 def test_sliding_uniqueness_copies_no_rows(spark):
@@ -121,12 +149,12 @@ def test_running_sum_shuffles_rows_once(spark):
 
 
 def test_running_sum_has_several_blocks(spark):
-    from winsight.plans.prefix import _block_of
+    from winsight.plans.prefix import with_blocks
     ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
-    blocks = ev.select(_block_of(ev, "event_id", 1 << 14).alias("b")).groupBy("b").count().collect()
+    blocks = with_blocks(ev, "event_id", 1 << 14).groupBy("_blk").count().collect()
     assert len(blocks) > 4 and max(r["count"] for r in blocks) <= 2 * (1 << 14)
     sparse = ev.select((ev.event_id * 1_000_003).alias("k"))
-    assert sparse.select(_block_of(sparse, "k", 1 << 14).alias("b")).distinct().count() == len(blocks)
+    assert with_blocks(sparse, "k", 1 << 14).select("_blk").distinct().count() == len(blocks)
 
 
 def test_window_bounds_reach_the_scan(spark):

@@ -19,9 +19,9 @@ bucket starts a session depends on the adjacent bucket alone.  No task of the
 scan sees more than ``block`` (+1) buckets of one tag, however hot the tag.
 
 Inside a block, buckets become fragments of sessions; the one before the
-block's first start continues a session of an earlier block.  The fragments
-(a row per session, plus one per block edge) are put together per tag.
-Without a tag that last step is one task over the sessions themselves.
+block's first start continues a session of an earlier block.  Its start is the
+last start of the blocks before, a scan over one row per block in two levels;
+only the fragments at block edges are merged again.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from ..functions.time import floor_div
 
 DEFAULT_BLOCK = 1 << 14
 BLOCK_CONF = "spark.winsight.sessionBlockBuckets"
+#: Blocks per group of the scan over blocks.
+GROUP = 4096
 
 
 def block_size(spark) -> int:
@@ -64,24 +66,48 @@ def session_scan(buckets: DataFrame, tags, gap_us: int, block: int | None = None
     return scan.where(~F.col("_ghost")).drop("_ghost", "_start")
 
 
+def _carried(ends: DataFrame, tags) -> DataFrame:
+    """``tags, _blk, _carry``: the last session start of all earlier blocks, from ``tags, _blk, _bs``
+    (a block's last start, null if it has none).
+
+    Starts grow with time, so the last is the largest.  In two levels: blocks
+    within groups of ``GROUP``, then over the groups, so no task orders more.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    t = ends.withColumn("_grp", floor_div(F.col("_blk"), GROUP))
+    groups = t.groupBy(*tags, "_grp").agg(F.max("_bs").alias("_gs"))
+    over = before((Window.partitionBy(*tags) if tags else Window).orderBy("_grp"))
+    groups = groups.select(*tags, "_grp", F.max("_gs").over(over).alias("_gc"))
+    inside = before(Window.partitionBy(*tags, "_grp").orderBy("_blk"))
+    t = t.select(*tags, "_grp", "_blk", F.max("_bs").over(inside).alias("_ic"))
+    return _join(t, groups, tags + ["_grp"]).select(*tags, "_blk", F.coalesce("_ic", "_gc").alias("_carry"))
+
+
 def session_ids(buckets: DataFrame, tags, gap_us: int, block: int | None = None) -> DataFrame:
     """Add ``_sid`` (session start, epoch micros) to a (tags, _b, _tmin, _tmax) table."""
     tags = list(tags)
     scan = session_scan(buckets, tags, gap_us, block)
     # the last session start of all earlier blocks, for buckets before the block's first start
-    by_tag = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk")
-    carried = (scan.groupBy(*tags, "_blk").agg(F.max("_sid_in").alias("_bs"))
-                   .select(*tags, "_blk", F.max("_bs").over(by_tag.rowsBetween(Window.unboundedPreceding, -1))
-                           .alias("_carry")))
+    carried = _carried(scan.groupBy(*tags, "_blk").agg(F.max("_sid_in").alias("_bs")), tags)
     out = _join(scan, carried, tags + ["_blk"])
     return out.withColumn("_sid", F.coalesce(F.col("_sid_in"), F.col("_carry"))).drop("_blk", "_sid_in", "_carry")
 
 
 def session_totals(buckets: DataFrame, tags, gap_us: int, partials, block: int | None = None) -> DataFrame:
-    """``tags, _sid`` and the buckets' partials merged per session."""
+    """``tags, _sid`` and the buckets' partials merged per session.
+
+    A session that starts and ends within a block is whole there.  Only what
+    touches a block's edge, the part before its first start and the one from
+    its last, is looked up and merged again: two rows per block.
+    """
     tags = list(tags)
+    names = [p.name for p in partials]
     scan = session_scan(buckets, tags, gap_us, block)
-    fragments = scan.groupBy(*tags, "_blk", "_sid_in").agg(*[p.merged() for p in partials])
-    upto = (Window.partitionBy(*tags) if tags else Window).orderBy("_blk", F.col("_sid_in").asc_nulls_first())
-    fragments = fragments.withColumn("_sid", F.max("_sid_in").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    return fragments.groupBy(*tags, "_sid").agg(*[p.merged() for p in partials])
+    scan = scan.withColumn("_bs", F.max("_sid_in").over(Window.partitionBy(*tags, "_blk")))
+    fragments = scan.groupBy(*tags, "_blk", "_sid_in", "_bs").agg(*[p.merged() for p in partials])
+    at_edge = F.col("_sid_in").isNull() | (F.col("_sid_in") == F.col("_bs"))
+    whole = fragments.where(~at_edge).select(*tags, F.col("_sid_in").alias("_sid"), *names)
+    edges = fragments.where(at_edge)
+    carried = _carried(edges.groupBy(*tags, "_blk").agg(F.max("_bs").alias("_bs")), tags)
+    edges = _join(edges, carried, tags + ["_blk"]).withColumn("_sid", F.coalesce("_sid_in", "_carry"))
+    return whole.unionByName(edges.groupBy(*tags, "_sid").agg(*[p.merged() for p in partials]))

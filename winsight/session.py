@@ -82,11 +82,26 @@ def clean_scratch() -> None:
             target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    """The file system of a path as Spark reaches it, and the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder this process wrote, through Spark's file system of that path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _on_file_system(spark, path)
+    fs.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _on_file_system(spark, path)
+    return fs.exists(p)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _on_file_system(spark, path)
+    fs.mkdirs(p)
 
 
 def materialise(df, name: str):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.durations import WindowSpec
+from ..session import make_folder, path_exists, remove_path
 from .files import NTZ_FORMAT
 
 
@@ -60,3 +62,52 @@ def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     """K5: per-micro-batch hook, for fan-out to more than one sink."""
     return (df.writeStream.outputMode("append").foreachBatch(fn).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
+class FanOut:
+    """K5: every micro-batch to several sinks, each of them once.
+
+    ``sinks`` maps a name to a function of the micro-batch and its id.  A
+    ledger under ``ledger`` (a shared folder) notes each finished (sink,
+    micro-batch id); when a micro-batch is run again after a failure, only the
+    sinks that had not finished run.  A sink that fails in the middle has to
+    be one that can be repeated (``batch_files`` overwrites); the others see a
+    micro-batch once.  The micro-batch is kept for the call, so the sources
+    and the state are read once for all sinks.
+    """
+
+    def __init__(self, sinks: dict[str, Callable[[DataFrame, int], None]], ledger: str):
+        bad = [n for n in sinks if not re.fullmatch(r"[\w-]+", n)]
+        if bad or not sinks:
+            raise ValueError(f"sink names are letters, digits, '-' and '_': {bad or 'none given'}")
+        self.sinks, self.ledger = dict(sinks), ledger.rstrip("/")
+
+    def _entry(self, name: str, batch_id: int) -> str:
+        return f"{self.ledger}/sink={name}/batch_id={batch_id}"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        due = {n: fn for n, fn in self.sinks.items() if not path_exists(spark, self._entry(n, batch_id))}
+        batch = batch.persist()
+        try:
+            for name, fn in due.items():
+                fn(batch, batch_id)
+                make_folder(spark, self._entry(name, batch_id))
+        finally:
+            batch.unpersist()
+        for name in self.sinks:  # every sink has this micro-batch: the one before cannot come again
+            if batch_id > 0:
+                remove_path(spark, self._entry(name, batch_id - 1))
+
+
+def late_rows(progress) -> dict[int, int]:
+    """Micro-batch id -> what its stateful operators dropped as late, from a query's progress reports.
+
+    Spark counts after rows of one window (and tag, and value) are merged
+    within a task, so copies of a late row in one task count once.
+    """
+    out: dict[int, int] = {}
+    for p in progress:
+        dropped = sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
+        out[p["batchId"]] = out.get(p["batchId"], 0) + dropped
+    return out

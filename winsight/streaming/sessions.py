@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.durations import WindowSpec
 from ..functions.time import floor_div, from_micros, to_micros
 from ..operators.measures import Measure, Partial
-from ..plans.aggregate import WE, WS, _extra, _merge, _unique_parts, check_columns, collect_partials, null_safe_join
+from ..plans.aggregate import WE, WS, _extra, _merge, _unique_parts, check_columns, collect_partials, null_safe_join, whole_columns
 from ..plans.sessions import session_ids
 from ..session import remove_path, scratch_path
 
@@ -58,8 +58,8 @@ class SessionMeasures:
         self.gap = spec.gap_ms * 1000
         self.delay = int(delay_ms) * 1000
         self.post = post
-        self.partials = collect_partials(self.measures.values()) + [
-            Partial("_tmin", F.min("_us"), "min"), Partial("_tmax", F.max("_us"), "max")]
+        #: Micro-batch id -> rows that came too late for any open session.
+        self.late: dict[int, int] = {}
         self.base = base or scratch_path(spark, "sessions", keep=True)
         self.sink = sink
         kept = checkpoint or self.base
@@ -79,12 +79,15 @@ class SessionMeasures:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         check_columns(batch, [self.ts, *self.tags, *[m.column for m in self.measures.values()]])
         dtype = batch.schema[self.ts].dataType
+        self.partials = collect_partials(self.measures.values(), whole_columns(batch)) + [
+            Partial("_tmin", F.min("_us"), "min"), Partial("_tmax", F.max("_us"), "max")]
         used = list(dict.fromkeys([self.ts, *self.tags, *[m.column for m in self.measures.values() if m.column]]))
         state = self._read(self.state_dir, batch_id, T.StructType([T.StructField("max_us", T.LongType())]))
         seen_before = state.agg(F.max("max_us")).scalar()
-        rows = (batch.select(*used).where(F.col(self.ts).isNotNull())
-                     .withColumn("_us", to_micros(self.ts, dtype))
-                     .where(F.coalesce(F.col("_us") + self.gap > seen_before - self.delay, F.lit(True))))
+        late = F.coalesce(F.col("_us") + self.gap <= seen_before - self.delay, F.lit(False))
+        counted = Observation()
+        rows = (batch.select(*used).where(F.col(self.ts).isNotNull()).withColumn("_us", to_micros(self.ts, dtype))
+                     .withColumn("_late", late).observe(counted, F.count_if("_late").alias("late")).where(~F.col("_late")).drop("_late"))
         keys = self._keys()
         fresh = rows.groupBy(*self.tags, floor_div(F.col("_us"), self.gap).alias("_b"), *_extra(self.tags, self.u)) \
             .agg(*[p.expr.alias(p.name) for p in self.partials])
@@ -116,10 +119,12 @@ class SessionMeasures:
             else:
                 out.write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
             still_open = sess.where(~F.col("_closed")).select(*skeys)
-            (null_safe_join(level, still_open, skeys).select(*fresh.columns)
+            # in the types of fresh partials: a merged sum is a wider decimal
+            (null_safe_join(level, still_open, skeys).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fresh.schema.fields])
              .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
             batch.sparkSession.range(1).select(seen_now.cast("long").alias("max_us")) \
                 .write.mode("overwrite").parquet(f"{self.state_dir}/batch_id={batch_id}")
+            self.late[batch_id] = counted.get["late"]
             # a retried batch reads the state of the batch before it; anything older is of no use
             for folder in (self.carry_dir, self.state_dir):
                 retire(self.spark, folder, batch_id - 2)

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import scratch_path
@@ -59,6 +61,17 @@ def run_stateful(result: DataFrame, name: str, partitions: int | None = None) ->
     return spark.read.schema(result.schema).parquet(f"{base}/data")
 
 
+def as_text(column: Column, kind: T.DataType) -> Column:
+    """A grouping column that is never null (the pandas side of keyed state takes no null keys): ``=value``, or ``''``."""
+    text = F.base64(column) if isinstance(kind, T.BinaryType) else column.cast("string")
+    return F.coalesce(F.concat(F.lit("="), text), F.lit(""))
+
+
+def from_text(column: Column, kind: T.DataType) -> Column:
+    text = F.when(column != "", F.substring(column, 2, 1 << 30))
+    return F.unbase64(text) if isinstance(kind, T.BinaryType) else text.cast(kind)
+
+
 def combined(df: DataFrame, keys: list[str], merges: dict[str, str]) -> DataFrame:
     """Rows of equal ``keys`` merged within each Arrow batch of a task: ``keys`` and the ``merges`` columns.
 

@@ -28,7 +28,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.runs import MARKER_FIELDS, all_sources, classify, summary_rows, weighted_rows
 from ..session import scratch_path
-from .state import merged, start_stateful
+from .state import as_text, from_text, merged, start_stateful
 
 _MARKER = MARKER_FIELDS.fieldNames()
 # names without a leading underscore: the state operator renames the others
@@ -87,12 +87,14 @@ class _Segments(StatefulProcessor):
         if last:
             marks = d[marker]
             seg, src = np.nonzero(latest[:last] > 0)
-            out = {p: [v] * len(seg) for p, v in zip(self.parts, key)}
-            out |= {"offset": marks["offset"].to_numpy()[seg], "tool": np.array(self.names, object)[src]}
+            text = lambda xs: pd.Series(xs, dtype=object)  # noqa: E731  Arrow-backed text is not taken
+            out = {p: text([v] * len(seg)) for p, v in zip(self.parts, key)}
+            out |= {"offset": pd.array(marks["offset"].to_numpy()[seg], dtype="Int64"), "tool": text([self.names[i] for i in src])}
             out |= {c: pd.array(marks[c].to_numpy()[seg], dtype="Int64") for c in _MARKER}
             out |= {"number_of_windows": n[seg, src], "max_timestamp": latest[seg, src],
                     "processing_time": pd.array(np.where(spent_n[seg, src] > 0, spent[seg, src].astype(object), None), dtype="Int64")}
-            yield pd.DataFrame(out)
+            if len(seg):
+                yield pd.DataFrame(out)
 
 
 def stream_summaries(messages: DataFrame, marker_key: str, sources, default: str, constants: dict | None = None,
@@ -103,15 +105,15 @@ def stream_summaries(messages: DataFrame, marker_key: str, sources, default: str
     """
     parts, names = list(partition_cols), all_sources(sources, default)
     rows = weighted_rows(classify(messages, marker_key, sources, default), parts)
-    keys = [f"part{i}" for i in range(len(parts))]
-    rows = rows.select(*[F.col(p).alias(k) for p, k in zip(parts, keys)], "is_marker", "source", "offset", F.col("_w").alias("weight"),
+    keys, kinds = [f"part{i}" for i in range(len(parts))], {p: rows.schema[p].dataType for p in parts}
+    rows = rows.select(*[as_text(F.col(p), kinds[p]).alias(k) for p, k in zip(parts, keys)], "is_marker", "source", "offset", F.col("_w").alias("weight"),
                        F.col("_arr").alias("arrival"), F.col("_proc").alias("proc"), *_MARKER)
     of_parts = rows.schema.fields[:len(keys)]
     rows = rows.mapInArrow(_runs(keys), rows.schema)
     out = T.StructType(of_parts + [T.StructField("offset", T.LongType()), T.StructField("tool", T.StringType())]
                        + [T.StructField(c, T.LongType()) for c in [*_MARKER, "number_of_windows", "max_timestamp", "processing_time"]])
     got = rows.groupBy(*keys).transformWithStateInPandas(_Segments(keys, names), out, "Append", "None")
-    got = got.select(*[F.col(k).alias(p) for p, k in zip(parts, keys)], *got.columns[len(keys):])
+    got = got.select(*[from_text(F.col(k), kinds[p]).alias(p) for p, k in zip(parts, keys)], *got.columns[len(keys):])
     # closed segments and active sources only: what summary_rows asks for holds for every row
     return summary_rows(got.withColumns({"_closed": F.lit(1), "segment": F.lit(0)}), constants, parts, keep=["offset"]).drop("segment")
 
