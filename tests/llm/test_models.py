@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from winsight.llm import langid, toxicity
@@ -26,8 +27,8 @@ def test_words_back_off_to_shorter_ngrams(spark):
     model = langid.learn(df)
     told = lambda text: langid.Scorer(model).predict(text)[0]
     assert told("the") == "en"
-    assert "spouse" not in model.words and told("spouse") == "en"  # through -ouse
-    assert "haus" in model.grams[4] and "klaus" not in model.words and told("klaus") == "de"
+    assert "spouse" not in model.units[0] and told("spouse") == "en"  # through -ouse
+    assert "haus" in model.units[4] and "klaus" not in model.units[0] and told("klaus") == "de"
     assert told("qqqq") in ("de", "en")  # nothing known: still an answer
 
 
@@ -40,6 +41,102 @@ def test_scores_do_not_depend_on_the_cache(spark):
         assert once.predict(t) == small.predict(t) == langid.Scorer(model).predict(t)
 
 
+def brute_language(train, texts, max_n=4):
+    """Word-first backoff straight from its definition: floor for what a language does not have, mean over the words."""
+    import math
+    from collections import Counter
+    from winsight.llm.tokens import letter_words
+    langs = sorted({x for x, t in train if x is not None and letter_words(t)})
+    count = {(x, k): Counter() for x in langs for k in range(max_n + 1)}
+    grams = lambda w, n: [f"\x02{w}\x03"[i:i + n] for i in range(len(w) + 3 - n)]
+    for x, t in train:
+        for w in letter_words(t) if x is not None else ():
+            count[x, 0][w] += 1
+            for n in range(1, max_n + 1):
+                count[x, n].update(grams(w, n))
+    total = {k: sum(c.values()) for k, c in count.items()}
+    floor = [math.log10(0.1 / max(total[x, k] for x in langs)) for k in range(max_n + 1)]
+
+    def unit(x, k, u):
+        n = count[x, k][u]
+        return (math.log10(n / total[x, k]) if n else floor[k]) - floor[k]
+
+    def word(x, w):
+        if any(count[y, 0][w] for y in langs):
+            return unit(x, 0, w)
+        for n in range(min(max_n, len(w) + 2), 0, -1):
+            known = [g for g in grams(w, n) if any(count[y, n][g] for y in langs)]
+            if known:
+                return sum(unit(x, n, g) for g in known) / len(known)
+        return 0.0
+
+    out = []
+    for t in texts:
+        words = letter_words(t)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(word(x, w) for w in words) / len(words) for x in langs]
+        e = [math.exp((m - max(mean)) * math.log(10) * min(len(words), 24)) for m in mean]
+        out.append((langs[e.index(max(e))], max(e) / sum(e)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    train = [(x.lang, x.text) for x in docs[::3]] + [("xx", "only one odd row"), ("yy", "12 34"), (None, "no language")]
+    texts = [x.text for x in docs[1::9]] + [None, "", "12", "qqqq zzzz", "only"]
+    model = langid.learn(spark.createDataFrame(train, "lang string, text string"))
+    got = [langid.Scorer(model).predict(t) for t in texts]
+    want = brute_language(train, texts)
+    assert [x for x, _ in got] == [x for x, _ in want]
+    assert np.allclose([p for _, p in got], [p for _, p in want])
+
+
+def invented(r, n_words, shared=()):
+    """A language: words of its own letters, Zipf frequencies, some words it shares with others."""
+    letters = r.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:14]
+    words = ["".join(r.choice(letters, r.integers(3, 9))) for _ in range(n_words)]
+    words[5:5 + len(shared)] = shared
+    p = 1 / np.arange(1, n_words + 1)
+    return lambda k: [" ".join(r.choice(words, 80, p=p / p.sum())) for _ in range(k)]
+
+
+@pytest.mark.parametrize("rare", [100, 10])
+def test_a_rare_language_neither_takes_nor_loses_documents(spark, rare):
+    """1 % and 0.1 % of the training documents: both languages are told, in both directions."""
+    r = np.random.default_rng(rare)
+    shared = ["la", "de", "que", "an", "no", "il"]
+    large, small = invented(r, 6000, shared), invented(r, 6000, shared)
+    train = [("large", t) for t in large(10_000 - rare)] + [("small", t) for t in small(rare)]
+    model = langid.learn(spark.createDataFrame(train, "lang string, text string").repartition(8))
+    scorer = langid.Scorer(model)
+    for lang, texts in (("large", large(200)), ("small", small(200))):
+        assert sum(scorer.predict(t)[0] == lang for t in texts) >= 190, lang
+
+
+def test_many_languages_of_one_row(spark):
+    """200 languages, 190 of them a single (mislabelled) row: the ten real ones keep their documents."""
+    r = np.random.default_rng(7)
+    real = [invented(r, 800) for _ in range(10)]
+    train = [(f"l{i}", t) for i, f in enumerate(real) for t in f(60)] + [(f"dirt{j}", real[j % 10](1)[0]) for j in range(190)]
+    model = langid.learn(spark.createDataFrame(train, "lang string, text string").repartition(4))
+    assert len(model.langs) == 200
+    scorer = langid.Scorer(model)
+    right = [scorer.predict(t)[0] == f"l{i}" for i, f in enumerate(real) for t in f(20)]
+    assert np.mean(right) >= 0.95
+
+
+def test_languages_do_not_share_one_bound(spark):
+    """What is kept of a language does not depend on the size of another."""
+    r = np.random.default_rng(9)
+    large, small = invented(r, 5000), invented(r, 300)
+    train = [("large", t) for t in large(400)] + [("small", t) for t in small(20)]
+    model = langid.learn(spark.createDataFrame(train, "lang string, text string"), max_words=200, max_grams=400)
+    kept = {lang: sum(model.langs[x] == lang for x in model.lang) for lang in model.langs}
+    assert kept["large"] == 600 and kept["small"] == 600
+
+
 def test_language_odd_rows(edge, none, spark):
     model = langid.learn(edge)
     got = langid.identify(edge, model)

@@ -5,9 +5,15 @@ each language.  A word that was not is scored by its character n-grams: the
 longest length at which any of them is known, then shorter ones.  A document's
 score per language is the mean over its words.
 
+A word or n-gram that a language does not have takes the same floor in every
+language: a tenth of an occurrence in the largest one.  So a language of a few
+documents does not score unseen words higher than a large one scores its own.
+
 Counts cover every training document: tasks count words per Arrow batch,
 Spark adds them up, and n-gram counts come from the word table.  Only the
-model, bounded by ``max_words`` and ``max_grams``, is broadcast.
+model is broadcast: of every language its most frequent words and n-grams,
+``max_words`` and ``max_grams`` of them, so no language loses any to another.
+Entries are kept per (unit, language), not as a column per language.
 """
 
 from __future__ import annotations
@@ -19,16 +25,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winsight.llm.tokens import letter_words
 from winsight.llm.words import packed, unpacked
 from winsight.session import materialise
 
-#: Model bounds: words and n-grams kept, the most frequent ones first.
-MAX_WORDS = 50_000
+#: Words and n-grams kept of each language, the most frequent ones first, ...
+MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
+#: ... and how many entries of either kind all languages share, evenly, if they are many.
+MAX_ENTRIES = 1_500_000
+#: Occurrences, in the largest language, that a unit counts where it was not seen.
+UNSEEN = 0.1
 MAX_N = 4
 #: Words of a document that count as evidence for the confidence, at most.
 EVIDENCE = 24
@@ -39,35 +49,43 @@ _SLICE = 10_000  # words looked up at a time
 @dataclass
 class LanguageModel:
     langs: list[str]
-    words: dict[str, int]  # row of each known word
-    grams: list[dict[str, int]]  # by length: row of each known n-gram
-    logp: np.ndarray  # rows x langs: log10 relative frequencies, the words' rows first
+    units: list[dict[str, int]]  # words, then n-grams by length: number of each known unit
+    start: np.ndarray  # where a unit's entries begin; one more than units
+    lang: np.ndarray  # language of an entry
+    gain: np.ndarray  # log10 relative frequency of an entry over the floor of its kind
 
 
 class Scorer(dict):
-    """Row of each word of a text, for one task: known words have theirs from the
-    start, an unseen word gets one when it is met first."""
+    """Row of gains over the floor (a number per language) of each word of a text, for one task; a
+    word gets its row when it is met first."""
 
     def __init__(self, model: LanguageModel, room: int = 1_200_000):
-        super().__init__(model.words)
-        self.model, self.used = model, len(model.words)
-        self.room = max(2 * _SLICE, room // max(1, len(model.langs)))
-        self.rows = np.empty((self.used + self.room, len(model.langs)))
-        self.rows[:self.used] = model.logp[:self.used]
-        self.floor = model.logp.min() if model.logp.size else 0.0
+        super().__init__()
+        self.model, self.used = model, 0
+        self.rows = np.zeros((max(2 * _SLICE, room // max(1, len(model.langs))), len(model.langs)))
+
+    def _add(self, row: int, units: list[int]) -> None:
+        m = self.model
+        for u in units:
+            s = slice(m.start[u], m.start[u + 1])
+            self.rows[row, m.lang[s]] += m.gain[s] / len(units)
 
     def __missing__(self, word: str) -> int:
-        """Backoff: the longest known n-grams, their mean."""
-        padded = f"\x02{word}\x03"
+        """Backoff: the word itself, else the longest known n-grams, their mean."""
+        units = self.model.units
         row = self[word] = self.used
         self.used += 1
-        for n in range(min(len(self.model.grams) - 1, len(padded)), 0, -1):
-            get = self.model.grams[n].get
+        self.rows[row] = 0.0
+        if word in units[0]:
+            self._add(row, [units[0][word]])
+            return row
+        padded = f"\x02{word}\x03"
+        for n in range(min(len(units) - 1, len(padded)), 0, -1):
+            get = units[n].get
             known = [r for r in [get(padded[i:i + n]) for i in range(len(padded) - n + 1)] if r is not None]
             if known:
-                self.rows[row] = np.add.reduce(self.model.logp.take(known, axis=0)) / len(known)
-                return row
-        self.rows[row] = self.floor
+                self._add(row, known)
+                break
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -76,10 +94,9 @@ class Scorer(dict):
             return UNKNOWN, 0.0
         total = np.zeros(len(langs))
         for i in range(0, len(words), _SLICE):
-            if self.used + _SLICE > len(self.rows):  # full: forget the unseen words
+            if self.used + _SLICE > len(self.rows):  # full: start over
                 self.clear()
-                self.update(self.model.words)
-                self.used = len(self.model.words)
+                self.used = 0
             part = words[i:i + _SLICE]
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         mean = total / len(words)
@@ -135,27 +152,28 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     totals = {(r["lang"], r["size"]): r["n"] for r in words.unionByName(grams).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
 
     langs = sorted({lang for lang, _ in totals})
-    size = np.array([[totals.get((lang, k), 0) for lang in langs] for k in range(max_n + 1)], float)
+    share = max(1, MAX_ENTRIES // max(1, len(langs)))
 
     def bounded(units: DataFrame, limit: int) -> pa.Table:
-        """A column of counts per language, so that the model comes to the driver as plain numbers."""
-        per = units.groupBy("size", "unit").agg(F.sum("n").alias("all"), *[
-            F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
-        return per.orderBy(F.desc("all"), "size", "unit").limit(limit).drop("all").toArrow()
-
-    found: list[dict[str, int]] = [{} for _ in range(max_n + 1)]
-    logp: list[np.ndarray] = []
-    first = 0
+        """The most frequent units of every language (cut within the tasks first)."""
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "unit"))
+        top = units.select("*", place.alias("place")).where(F.col("place") <= min(limit, share))
+        return top.select("lang", "size", "unit", "n").orderBy("size", "unit", "lang").toArrow()
+
+    number = {lang: i for i, lang in enumerate(langs)}
+    units: list[dict[str, int]] = [{} for _ in range(max_n + 1)]
+    largest = [max([totals.get((lang, k), 1) for lang in langs], default=1) for k in range(max_n + 1)]
+    floor = [math.log10(UNSEEN / n) for n in largest]
+    start, entry_lang, gain = [], [], []
     for table in (bounded(words, max_words), bounded(grams, max_grams)):
-        kinds = table.column("size").to_numpy()
-        # not seen in a language: half a count
-        n = np.column_stack([table.column(f"n{i}").fill_null(0).to_numpy() for i in range(len(langs))]) if langs else np.zeros((len(kinds), 0))
-        logp.append(np.log10(np.maximum(n, 0.5) / np.maximum(size[kinds], 1.0)))
-        for row, (kind, unit) in enumerate(zip(kinds.tolist(), table.column("unit").to_pylist()), start=first):
-            found[kind][unit] = row
-        first += len(kinds)
-    logp = np.concatenate(logp)
-    return LanguageModel(langs, found[0], found, logp)
+        for lang, kind, unit, n in zip(*(table.column(c).to_pylist() for c in ("lang", "size", "unit", "n"))):
+            if unit not in units[kind]:
+                units[kind][unit] = len(start)
+                start.append(len(gain))
+            entry_lang.append(number[lang])
+            gain.append(math.log10(n / totals[lang, kind]) - floor[kind])
+    start.append(len(gain))
+    return LanguageModel(langs, units, np.array(start, np.int64), np.array(entry_lang, np.int32), np.array(gain))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred",
