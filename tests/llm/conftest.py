@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 
@@ -20,14 +22,24 @@ EDGE = [
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
+def inner_names():
+    """Every name that a module of the subpackage gives to a column, but the names of results."""
+    from winsight import llm
+    results = {"copy", "doc_id", "text", "lang", "source"}
+    found = set()
+    for path in Path(llm.__file__).parent.glob("*.py"):
+        if path.name != "queries.py":
+            found |= set(re.findall(r"""alias\("(\w+)"|withColumn\("(\w+)"|"(_\w+)\"""", path.read_text()))
+    names = {n for group in found for n in group if n}
+    return sorted({n.lower(): n for n in names - results}.values())
+
+
 @pytest.fixture
 def edge(spark):
     """The rows above with extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
     df = spark.createDataFrame(EDGE, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
-    for name in ("_id", "_key", "key", "row", "id", "fp", "score", "hits", "size", "copies", "_text", "words", "at", "_t", "_h"):
-        df = df.withColumn(name, F.lit("x"))
-    return df
+    return df.withColumns({name: F.lit("x") for name in inner_names() if name.lower() not in {c.lower() for c in df.columns}})
 
 
 @pytest.fixture

@@ -8,6 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from winsight.llm import decontaminate as decontaminate_module
 from winsight.llm.decontaminate import decontaminate, scan
 from winsight.llm.mixing import mix_documents, plan_mix
 from winsight.llm.preferences import format_preferences, swapped_answers
@@ -88,6 +89,26 @@ def test_scan_against_brute_force(spark, limit):
     assert sorted(((x.doc_id, x.n_hit) for x in got), key=repr) == sorted(((a, h) for a, _, h, _ in hits), key=repr)
 
 
+def test_words_stay_out_of_the_shuffled_join(spark):
+    """Beyond the broadcast: no array of words in the exchange below the join of windows, no row without a hash."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    b = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen = []
+    write = decontaminate_module.materialise
+    try:
+        decontaminate_module.materialise = lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name)
+        scan(d, b, broadcast_windows=0)
+    finally:
+        decontaminate_module.materialise = write
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = seen[-1].splitlines()
+    at = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(_h#" in x and "LeftSemi" not in x)
+    below = next(x for x in lines[at + 1:] if "Project" in x or "Filter" in x)
+    assert "_w#" not in below and any("isnotnull(_h" in x for x in lines[at:at + 4])
+
+
 def test_remove_spans_and_documents(spark, edge, none):
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     d = spark.createDataFrame([(1, "Say: ONE two, three four five six seven eight nine ten! Done."), (2, "one two three")], "doc_id long, text string")

@@ -4,7 +4,8 @@ One pass over the training documents turns every window of words into a
 64-bit hash and probes the set of benchmark window hashes; only windows that
 hit leave the scan.  Hits are verified against the window's words before they
 count.  The hash set is broadcast while the benchmark's distinct windows stay
-under ``broadcast_windows`` (8 bytes each); beyond that the same join shuffles.
+under ``broadcast_windows`` (8 bytes each); beyond that the same join shuffles
+the hashes and places of the windows, and the words of hits are fetched after.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winsight.llm.words import alnum_words
+from winsight.llm.words import alnum_words, unlike
 from winsight.session import materialise
 
 #: Largest number of distinct benchmark windows whose hashes are broadcast (about 64 MB as a hash table).
@@ -43,8 +44,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     windows = materialise(benchmark_windows(benchmark, n, item_col, item_text_col), "bench-windows")
     lens = sorted(r["_len"] for r in windows.select("_len").distinct().collect())  # at most n values
     hashes = windows.select(F.col("_h").alias("_bh")).distinct()
-    if hashes.count() <= broadcast_windows:
-        hashes = F.broadcast(hashes)
+    small = hashes.count() <= broadcast_windows
 
     words = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"),
                         alnum_words(F.col(text_col).cast("string")).alias("_w"))
@@ -58,8 +58,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     grams = [hashed(k) for k in lens]
     grams = words.withColumn("_g", F.concat(F.array(F.lit(None).cast("long")), *grams))
     # outer: never empty, and a plain explode would add a filter that works out the windows a second time
-    rows = grams.select("_id", "_key", "_w", F.posexplode_outer("_g").alias("_at", "_h"))
-    rows = rows.join(hashes, F.col("_h") == F.col("_bh"), "left").where((F.col("_at") == 0) | F.col("_bh").isNotNull())
+    each = F.posexplode_outer("_g").alias("_at", "_h")
+    if small:
+        rows = grams.select("_id", "_key", "_w", each)
+        rows = rows.join(F.broadcast(hashes), F.col("_h") == F.col("_bh"), "left").where((F.col("_at") == 0) | F.col("_bh").isNotNull())
+    else:  # a document's words stay out of the join; the documents themselves too
+        hits = grams.select("_id", "_key", each).where(F.col("_h").isNotNull()).join(hashes, F.col("_h") == F.col("_bh"), "left_semi")
+        hits = hits.distinct().select(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"), "_at", "_h")
+        rows = words.join(hits, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey"))).select("_id", "_key", "_w", "_at", "_h")
+        rows = rows.unionByName(words.select("_id", "_key", "_w", F.lit(0).alias("_at"), F.lit(None).cast("long").alias("_h")))
     # place in the concatenation -> window length and start
     start, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
     for k in lens:
@@ -105,24 +112,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode must be 'documents' or 'spans'")
+    name = {n: unlike(docs.columns, n) for n in ("_hit_id", "_hit_key", "_hits")}
     hit = (scan(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
-           .select(F.col(id_col).alias("_hit_id"), F.col("_key").alias("_hit_key"), F.col("hits").alias("_hits"))
-           .dropDuplicates(["_hit_id", "_hit_key"]))
-    on = docs[id_col].eqNullSafe(hit["_hit_id"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(hit["_hit_key"])
+           .select(F.col(id_col).alias(name["_hit_id"]), F.col("_key").alias(name["_hit_key"]), F.col("hits").alias(name["_hits"]))
+           .dropDuplicates([name["_hit_id"], name["_hit_key"]]))
+    on = docs[id_col].eqNullSafe(hit[name["_hit_id"]]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(hit[name["_hit_key"]])
     if mode == "documents":
         return docs.join(hit, on, "left_anti")
     joined = docs.join(hit, on, "left")
-    text = F.col(text_col).cast("string")
-    out = joined.withColumn(text_col, F.when(F.col("_hits").isNull(), text).otherwise(_without(text)))
-    return out.select(*docs.columns)
+    text, hits = docs[text_col].cast("string"), hit[name["_hits"]]
+    kept = F.when(hits.isNull(), text).otherwise(_without(text, hits))
+    return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-def _without(text):
+def _without(text, hits):
     """The text with the hit words left out."""
     # each piece: what stands before a word, and the word; A-Z count as word characters here
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$"
-    gone = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["_s"], h["_s"] + h["_len"] - 1))))
+    gone = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["_s"], h["_s"] + h["_len"] - 1))))
     pieces = F.regexp_extract_all(text, F.lit(f"({piece})"), F.lit(1))
     tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$", 1)
 

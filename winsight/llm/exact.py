@@ -16,6 +16,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winsight.llm.words import unlike
 from winsight.session import materialise
 
 #: Sampled rows per range, and ranges per shuffle partition.
@@ -122,5 +123,6 @@ def best_of(keep: str, name: str):
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay (ids must be unique; see :func:`exact_dedup`)."""
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = unlike(docs.columns, "_kept_id")
+    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias(name))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")

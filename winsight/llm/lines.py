@@ -83,26 +83,32 @@ def _removals(docs: DataFrame, id_col: str, text_col: str, window: int, divisor:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                divisor: int = DIVISOR, min_lines: int = 2) -> DataFrame:
-    """``docs`` with repeated chunks removed from the text, plus ``_n_lines, _lines_removed, _chunks_removed``.
+                divisor: int = DIVISOR, min_lines: int = 2,
+                counts: tuple[str, str, str] = ("_n_lines", "_lines_removed", "_chunks_removed")) -> DataFrame:
+    """``docs`` with repeated chunks removed from the text, plus ``counts``: lines, lines and chunks removed.
 
     The first occurrence (smallest id, then place in the document) stays.
     Defined results: a null text stays null; chunks of fewer than
     ``min_lines`` lines or without a visible character are never removed;
     rows that share id and text count as one place, so none of their chunks is
-    removed because of the other; an empty table gives an empty result.
+    removed because of the other; an empty table gives an empty result; own
+    columns called like ``counts`` are replaced.
     """
+    rest = [c for c in docs.columns if c != text_col]
     gone = _removals(docs, id_col, text_col, window, divisor, min_lines)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gid"]) & (F.xxhash64(text) == gone["_gkey"]), "left")
-    joined = line_chunks(joined, id_col, text_col, window, divisor)
+    # the other columns in one, so that no name of theirs can clash
+    held = docs.select(F.struct(*[docs[c] for c in rest]).alias("_doc"), docs[id_col].alias("_i"), docs[text_col].alias("_t"))
+    text = F.coalesce(F.col("_t").cast("string"), F.lit(""))
+    joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_gid")) & (F.xxhash64(text) == F.col("_gkey")), "left")
+    joined = line_chunks(joined, "_i", "_t", window, divisor)
     # documents without removals keep their text as it is
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
+    kept = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(
         # set difference: linear, however many chunks go
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size("_chunks")), "_gone"), lambda i: F.element_at("_chunks", i)), "\n"))
     lines = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate("_gone", F.lit(0).cast("long"), lambda a, k: a + F.element_at("_sizes", k)))
-    out = joined.select(*[docs[c] if c != text_col else kept.alias(c) for c in docs.columns], lines.alias("_n_lines"),
-                        removed.alias("_lines_removed"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_chunks_removed"))
-    return out
+    chunks = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    done = joined.select("_doc", kept.alias("_kept"), *[x.alias(f"_c{i}") for i, x in enumerate((lines, removed, chunks))])
+    own = [F.col("_kept").alias(c) if c == text_col else F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return done.select(*own, *[F.col(f"_c{i}").alias(n) for i, n in enumerate(counts)])

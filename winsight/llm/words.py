@@ -23,6 +23,14 @@ def unpacked(names: list[str]) -> list[Column]:
     return [F.col("_doc").getField(n).alias(n) for n in names]
 
 
+def unlike(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; letters beyond ASCII keep their case."""
     return F.translate(text, UPPER, LOWER)
