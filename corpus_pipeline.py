@@ -15,6 +15,7 @@ from winsight.llm.decontaminate import decontaminate
 from winsight.llm.lines import dedup_lines
 from winsight.llm.mixing import mix_documents
 from winsight.llm.simhash import keep_one
+from winsight.llm.words import unlike
 from winsight.session import materialise
 
 
@@ -26,9 +27,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that stand in an earlier document; documents of which nothing is left go."""
-    out = dedup_lines(docs)
-    out = out.where((F.col("_chunks_removed") == 0) | F.col("text").rlike(r"\S"))
-    length = F.when(F.col("_chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    counts = tuple(unlike(docs.columns, n) for n in ("_n_lines", "_lines_removed", "_chunks_removed"))
+    out = dedup_lines(docs, counts=counts)
+    removed = out[counts[2]]
+    out = out.where((removed == 0) | out["text"].rlike(r"\S"))
+    length = F.when(removed > 0, F.length("text").cast("long")).otherwise(out["n_chars"])
     return out.withColumn("n_chars", length).select(*docs.columns)
 
 
