@@ -43,6 +43,8 @@ MAX_N = 4
 #: Words of a document that count as evidence for the confidence, at most.
 EVIDENCE = 24
 UNKNOWN = "und"
+#: Numbers of a model that a task spreads out as a table (units by languages); larger models stay as entries.
+DENSE = 6_000_000
 _SLICE = 10_000  # words looked up at a time
 
 
@@ -61,31 +63,49 @@ class Scorer(dict):
 
     def __init__(self, model: LanguageModel, room: int = 1_200_000):
         super().__init__()
-        self.model, self.used = model, 0
-        self.rows = np.zeros((max(2 * _SLICE, room // max(1, len(model.langs))), len(model.langs)))
-
-    def _add(self, row: int, units: list[int]) -> None:
-        m = self.model
+        self.model, k = model, len(model.langs)
+        n = len(model.start) - 1
+        self.table = None
+        if n * k <= DENSE:  # every unit's row at hand; the words' come first
+            self.table = np.zeros((n, k))
+            self.table[np.repeat(np.arange(n), np.diff(model.start)), model.lang] = model.gain
+        self.known = 0 if self.table is None else len(model.units[0])
+        self.rows = np.zeros((self.known + max(2 * _SLICE, room // max(1, k)), k))
+        if self.known:
+            self.rows[:self.known] = self.table[:self.known]
+        self._start_over()
+
+    def _start_over(self) -> None:
+        self.clear()
+        if self.known:
+            self.update(self.model.units[0])
+        self.used = self.known
+
+    def _mean(self, units: list[int]) -> np.ndarray:
+        if self.table is not None:
+            return np.add.reduce(self.table.take(units, axis=0)) / len(units)
+        m, out = self.model, np.zeros(self.rows.shape[1])
         for u in units:
             s = slice(m.start[u], m.start[u + 1])
-            self.rows[row, m.lang[s]] += m.gain[s] / len(units)
+            out[m.lang[s]] += m.gain[s] / len(units)
+        return out
 
     def __missing__(self, word: str) -> int:
         """Backoff: the word itself, else the longest known n-grams, their mean."""
         units = self.model.units
         row = self[word] = self.used
         self.used += 1
-        self.rows[row] = 0.0
         if word in units[0]:
-            self._add(row, [units[0][word]])
+            self.rows[row] = self._mean([units[0][word]])
             return row
         padded = f"\x02{word}\x03"
         for n in range(min(len(units) - 1, len(padded)), 0, -1):
             get = units[n].get
             known = [r for r in [get(padded[i:i + n]) for i in range(len(padded) - n + 1)] if r is not None]
             if known:
-                self._add(row, known)
-                break
+                self.rows[row] = self._mean(known)
+                return row
+        self.rows[row] = 0.0
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -95,8 +115,7 @@ class Scorer(dict):
         total = np.zeros(len(langs))
         for i in range(0, len(words), _SLICE):
             if self.used + _SLICE > len(self.rows):  # full: start over
-                self.clear()
-                self.used = 0
+                self._start_over()
             part = words[i:i + _SLICE]
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         mean = total / len(words)
@@ -155,9 +174,17 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     share = max(1, MAX_ENTRIES // max(1, len(langs)))
 
     def bounded(units: DataFrame, limit: int) -> pa.Table:
-        """The most frequent units of every language (cut within the tasks first)."""
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "unit"))
-        top = units.select("*", place.alias("place")).where(F.col("place") <= min(limit, share))
+        """The most frequent units of every language.  How far the bound reaches follows from how many units
+        occur how often; of the last frequency a hash picks the share that fits.  Nothing is sorted."""
+        limit = min(limit, share)
+        often = units.groupBy("lang", F.col("n").alias("times")).agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("times")))
+        often = often.withColumn("before", upto - F.col("c")).where(F.col("before") < limit)  # a row per frequency that has room
+        least = often.groupBy("lang").agg(F.min(F.struct("times", "c", "before")).alias("x"))
+        least = least.select("lang", "x.times", ((limit - F.col("x.before")) / F.col("x.c")).alias("part"))
+        drawn = F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) / float(1 << 20)
+        top = units.join(F.broadcast(least), "lang")  # a row per language
+        top = top.where((F.col("n") > F.col("times")) | ((F.col("n") == F.col("times")) & (drawn < F.col("part"))))
         return top.select("lang", "size", "unit", "n").orderBy("size", "unit", "lang").toArrow()
 
     number = {lang: i for i, lang in enumerate(langs)}
