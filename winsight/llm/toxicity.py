@@ -40,7 +40,8 @@ def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int,
     """All maximal scoring segments ``(first, last + 1, score)`` of a sequence in
     which zeros count as ``-drift``; time linear in the sequence."""
     total, at = 0.0, 0
-    found: list[list[float]] = []  # first, end, total before, total after
+    # first, end, total before, total after, nearest earlier candidate with a smaller total before (-1: none)
+    found: list[tuple[int, int, float, float, int]] = []
     for i, s in enumerate(scores):
         if s == 0.0:
             continue
@@ -49,18 +50,18 @@ def segments(scores: list[float], drift: float = DRIFT) -> list[tuple[int, int,
         if s < 0:
             total += s
             continue
-        cur = [i, i + 1, total, total + s]
-        total += s
+        first, before, after, j = i, total, total + s, len(found) - 1
+        total = after
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= cur[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= cur[3]:
-                found.append(cur)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]  # whatever lies between has no smaller total either
+            if j < 0 or found[j][3] >= after:
+                found.append((first, i + 1, before, after, j))
                 break
-            cur = [found[j][0], cur[1], found[j][2], cur[3]]
+            first, _, before, _, earlier = found[j]
             del found[j:]
-    return [(int(a), int(b), r - left) for a, b, left, r in found]
+            j = earlier
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
