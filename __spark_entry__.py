@@ -26,7 +26,7 @@ from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_s
 from winsight.operators.suite import union_results, window_result
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
 from winsight.monitor import Monitor
-from winsight.session import scratch_path
+from winsight.session import remove_path, scratch_path
 from winsight.sources.files import parent_dir, read_records_csv, read_run_start, read_timings_csv, read_values_text
 from winsight.sources.messages import decode_json, read_messages, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
@@ -151,24 +151,41 @@ def q_stream_session(spark, sf_dir):
     return run_available(spark, mon.plan(), "stream_session")
 
 
-#: Rows of a file of the ordered streams, and files at least: every file is a micro-batch.
-STREAM_ROWS, STREAM_FILES = 25_000, 4
+#: Every file of the ordered streams is a micro-batch: at least 4 files, from there one per ``STREAM_ROWS`` rows up to 8,
+#: and more than 8 only where a file would pass ``STREAM_MOST_ROWS``.
+STREAM_ROWS, STREAM_FILES, STREAM_MOST_ROWS = 25_000, (4, 8), 1_000_000
+ROW_GROUP_BYTES = 4 << 20
+#: Parts of the keyed state of the sliding stream.
+STREAM_PARTITIONS = 4
+
+
+def stream_files(n: int) -> int:
+    """Micro-batches for ``n`` rows: each costs a fixed time, so their number grows with the rows only where it bounds a micro-batch."""
+    least, usual = STREAM_FILES
+    return max(least, min(usual, -(-n // STREAM_ROWS)), -(-n // STREAM_MOST_ROWS))
 
 
 def ordered_stream(spark, sf_dir, order) -> DataFrame:
     """The whole of ``events`` as files in the order of ``order`` (a long), one per micro-batch.
 
-    A file source takes files by age, so they are written one after the other.
+    A file source takes files by age, so they are written one after the other,
+    each from its own part of a copy cut by ``order``: every row is read and
+    written twice, however many files there are.  Rows of equal ``order`` share
+    a file, rows without one have no place.
     """
-    ev = _t(spark, sf_dir, "events").withColumn("_at", order)
-    n, lo, hi = ev.agg(F.count(F.lit(1)), F.min("_at"), F.max("_at")).first()
-    files = max(STREAM_FILES, -(-n // STREAM_ROWS))
-    ev = ev.withColumn("_file", F.floor((F.col("_at") - lo) * files / (hi - lo + 1)))
-    path = scratch_path(spark, "ordered")
+    ev = _t(spark, sf_dir, "events")
+    placed = ev.withColumn("_at", order).where(F.col("_at").isNotNull())
+    files = stream_files(placed.count())
+    path, cut = scratch_path(spark, "ordered"), scratch_path(spark, "ordered_cut")
+    (placed.repartitionByRange(files, "_at").drop("_at").withColumn("_file", F.spark_partition_id())
+     .write.partitionBy("_file").parquet(cut))
+    parts = spark.read.schema(T.StructType([*ev.schema.fields, T.StructField("_file", T.IntegerType())])).parquet(cut)
     for i in range(files):
-        ev.where(F.col("_file") == i).drop("_at", "_file").repartition(1).write.mode("append").parquet(path)
-    schema = ev.drop("_at", "_file").schema
-    return read_messages(spark, "parquet", {"maxFilesPerTrigger": 1}, path=path, schema=schema)
+        # small row groups, so that several tasks read a file
+        (parts.where(F.col("_file") == i).drop("_file").coalesce(1)
+         .write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path))
+    remove_path(spark, cut)
+    return read_messages(spark, "parquet", {"maxFilesPerTrigger": 1}, path=path, schema=ev.schema)
 
 
 def q_stream_session_unique(spark, sf_dir):
@@ -198,7 +215,7 @@ def q_stream_sliding(spark, sf_dir):
           "frac": M.fraction_of_set_conformance("event_type", ALLOWED)}
     out = stream_sliding(_with_amount(shuffled_stream(spark, sf_dir)), WindowSpec.sliding("60 minutes", "15 minutes"), "ts", ms,
                          watermark=f"{JITTER_S} seconds")
-    return run_stateful(out, "stream_sliding", STREAM_FILES)
+    return run_stateful(out, "stream_sliding", STREAM_PARTITIONS)
 
 
 def q_stream_batches(spark, sf_dir):

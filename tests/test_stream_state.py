@@ -220,3 +220,55 @@ def test_fan_out_repeats_only_what_failed(spark, tmp_path):
         assert sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect()) == sorted(i for line in LINES[:3] for _, i, _ in line)
     with pytest.raises(ValueError):
         FanOut({}, str(tmp_path / "ledger"))
+
+
+def _events(spark, folder, rows):
+    """An ``events`` table of ``(event_id, seconds, user_id)`` rows."""
+    from pyspark.sql import functions as F
+    (spark.createDataFrame(rows, "event_id long, s long, user_id long")
+     .select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id",
+             F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+     .write.parquet(f"{folder}/events.parquet"))
+
+
+def test_ordered_stream_is_cut_evenly_into_few_micro_batches(spark, tmp_path, monkeypatch):
+    """An outlier and many rows: even files in order, every row once; the files do not grow in number with each ``STREAM_ROWS``."""
+    import __spark_entry__ as e
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(e, "STREAM_ROWS", 10)
+    _events(spark, str(tmp_path), [(i if i < 399 else 10 ** 9, i, i % 7) for i in range(400)])
+    seen = {}
+
+    def note(batch, i):
+        seen[i] = [r[0] for r in batch.select("event_id").collect()]
+
+    stream = e.ordered_stream(spark, str(tmp_path), F.col("event_id"))
+    stream.writeStream.foreachBatch(note).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert len(seen) == 8 and max(len(x) for x in seen.values()) <= 100
+    assert [x for i in sorted(seen) for x in sorted(seen[i])] == [*range(399), 10 ** 9]
+
+
+def test_ordered_stream_files_of_many_and_no_rows(spark, tmp_path):
+    import __spark_entry__ as e
+    assert [e.stream_files(n) for n in (0, 100_000, 150_000, 600_000, 6_000_000, 36_000_000)] == [4, 4, 6, 8, 8, 36]
+    _events(spark, str(tmp_path), [])
+    assert e.q_stream_batches(spark, str(tmp_path)).count() == 0
+
+
+def test_small_state_of_sessions_stays_in_few_files(spark, tmp_path):
+    """What a small micro-batch leaves behind does not have a file per shuffle partition."""
+    import glob
+
+    from pyspark.sql import functions as F
+    from winsight.streaming.sessions import SessionMeasures
+    rows = spark.range(400).select(F.timestamp_seconds(F.col("id") * 10).cast("timestamp_ntz").alias("ts"), (F.col("id") % 200).alias("k"))
+    proc = SessionMeasures(spark, WindowSpec.session("5 seconds"), "ts", {"n": M.size(), "u": M.fraction_of_unique("k")}, ["k"], base=str(tmp_path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        proc.process(rows, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert proc.result().count() == 399  # the last is still open
+    assert len(glob.glob(str(tmp_path / "out" / "batch_id=0" / "*.parquet"))) <= 8
+    assert not glob.glob(str(tmp_path / "level" / "batch_id=0"))

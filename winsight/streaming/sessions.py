@@ -64,7 +64,7 @@ class SessionMeasures:
         self.sink = sink
         kept = checkpoint or self.base
         self.out_dir, self.carry_dir, self.state_dir = f"{self.base}/out", f"{kept}/carry", f"{kept}/state"
-        self.checkpoint = f"{kept}/checkpoint"
+        self.level_dir, self.checkpoint = f"{kept}/level", f"{kept}/checkpoint"
 
     # ------------------------------------------------------------- state
     def _keys(self) -> list[str]:
@@ -75,6 +75,13 @@ class SessionMeasures:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{folder}/batch_id={batch_id - 1}")
 
+    def _kept(self, level: DataFrame, batch_id: int) -> DataFrame:
+        """``level`` as files for the micro-batch: few where it is small (a cached one keeps every shuffle partition),
+        so what reads it and what it is written into stay as small as it is."""
+        path = f"{self.level_dir}/batch_id={batch_id}"
+        level.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(level.schema).parquet(path)
+
     # ------------------------------------------------------------- batch body
     def process(self, batch: DataFrame, batch_id: int) -> None:
         check_columns(batch, [self.ts, *self.tags, *[m.column for m in self.measures.values()]])
@@ -95,20 +102,18 @@ class SessionMeasures:
         level = fresh.unionByName(carry).groupBy(*keys).agg(*_merge(self.partials))
         buckets = level.groupBy(*self.tags, "_b").agg(F.min("_tmin").alias("_tmin"), F.max("_tmax").alias("_tmax"))
         mapping = session_ids(buckets, self.tags, self.gap).select(*self.tags, "_b", "_sid")
-        level = null_safe_join(level, mapping, self.tags + ["_b"]).persist()
-        held = [level]
+        level = self._kept(null_safe_join(level, mapping, self.tags + ["_b"]), batch_id)
         try:
             skeys = self.tags + ["_sid"]
             sess = level.drop("_b").groupBy(*skeys, *_extra(self.tags, self.u)).agg(*_merge(self.partials))
             if self.u:
                 sess = sess.groupBy(*skeys).agg(*_merge(self.partials, _unique_parts(self.u)))
-            # late rows lie before the previous watermark, so the persisted level
-            # (open state + this batch) holds the largest event time seen
+            # late rows lie before the previous watermark, so the level (open
+            # state + this batch) holds the largest event time seen
             seen_now = F.greatest(seen_before, level.agg(F.max("_tmax")).scalar())
             closed_flag = (F.col("_tmax") + self.gap) <= (seen_now - self.delay)
-            sess = sess.withColumn("_closed", F.coalesce(closed_flag, F.lit(False))).persist()
-            held.append(sess)
-            out = sess.where("_closed").select(
+            closed = F.coalesce(closed_flag, F.lit(False))
+            out = sess.where(closed).select(
                 *self.tags, from_micros(F.col("_sid"), dtype).alias(WS),
                 from_micros(F.col("_tmax") + self.gap, dtype).alias(WE),
                 *[m.value().alias(name) for name, m in self.measures.items()])
@@ -118,7 +123,7 @@ class SessionMeasures:
                 self.sink(out, batch_id)
             else:
                 out.write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
-            still_open = sess.where(~F.col("_closed")).select(*skeys)
+            still_open = level.groupBy(*skeys).agg(F.max("_tmax").alias("_tmax")).where(~closed).select(*skeys)
             # in the types of fresh partials: a merged sum is a wider decimal
             (null_safe_join(level, still_open, skeys).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fresh.schema.fields])
              .write.mode("overwrite").parquet(f"{self.carry_dir}/batch_id={batch_id}"))
@@ -129,8 +134,7 @@ class SessionMeasures:
             for folder in (self.carry_dir, self.state_dir):
                 retire(self.spark, folder, batch_id - 2)
         finally:
-            for df in held:
-                df.unpersist()
+            retire(self.spark, self.level_dir, batch_id)
 
     def start(self, stream: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self.process).option("checkpointLocation", self.checkpoint)
