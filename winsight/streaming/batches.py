@@ -53,7 +53,8 @@ class BatchTags:
         schema = T.StructType([*[batch.schema[p] for p in self.parts], T.StructField(CARRIED, T.LongType())])
         before = (self.spark.createDataFrame([], schema) if batch_id == 0
                   else self.spark.read.schema(schema).parquet(f"{self.count_dir}/batch_id={batch_id - 1}"))
-        batch = batch.persist()
+        # a micro-batch may come in one file, that is one task: its rows are placed by as many as there are cores
+        batch = batch.repartition(self.spark.sparkContext.defaultParallelism).persist()
         try:
             here = batch.groupBy(*self.parts).agg(F.count(F.lit(1)).alias(CARRIED))
             after = before.unionByName(here).groupBy(*self.parts).agg(F.sum(CARRIED).alias(CARRIED))
