@@ -154,7 +154,7 @@ def q_stream_session(spark, sf_dir):
 #: Every file of the ordered streams is a micro-batch: at least 4 files, from there one per ``STREAM_ROWS`` rows up to 8,
 #: and more than 8 only where a file would pass ``STREAM_MOST_ROWS``.
 STREAM_ROWS, STREAM_FILES, STREAM_MOST_ROWS = 25_000, (4, 8), 1_000_000
-ROW_GROUP_BYTES = 4 << 20
+ROW_GROUP_BYTES = 1 << 20
 #: Parts of the keyed state of the sliding stream.
 STREAM_PARTITIONS = 4
 
@@ -171,14 +171,15 @@ def ordered_stream(spark, sf_dir, order) -> DataFrame:
     A file source takes files by age, so they are written one after the other,
     each from its own part of a copy cut by ``order``: every row is read and
     written twice, however many files there are.  Rows of equal ``order`` share
-    a file, rows without one have no place.
+    a file, rows without one have no place.  Within a file rows are in order,
+    so that each of the tasks that read it has a stretch of its own.
     """
     ev = _t(spark, sf_dir, "events")
     placed = ev.withColumn("_at", order).where(F.col("_at").isNotNull())
     files = stream_files(placed.count())
     path, cut = scratch_path(spark, "ordered"), scratch_path(spark, "ordered_cut")
-    (placed.repartitionByRange(files, "_at").drop("_at").withColumn("_file", F.spark_partition_id())
-     .write.partitionBy("_file").parquet(cut))
+    (placed.repartitionByRange(files, "_at").withColumn("_file", F.spark_partition_id())
+     .sortWithinPartitions("_file", "_at").drop("_at").write.partitionBy("_file").parquet(cut))
     parts = spark.read.schema(T.StructType([*ev.schema.fields, T.StructField("_file", T.IntegerType())])).parquet(cut)
     for i in range(files):
         # small row groups, so that several tasks read a file

@@ -272,3 +272,29 @@ def test_small_state_of_sessions_stays_in_few_files(spark, tmp_path):
     assert proc.result().count() == 399  # the last is still open
     assert len(glob.glob(str(tmp_path / "out" / "batch_id=0" / "*.parquet"))) <= 8
     assert not glob.glob(str(tmp_path / "level" / "batch_id=0"))
+
+
+def test_groups_are_merged_over_the_batches_of_a_task(spark, monkeypatch):
+    """A task hands over each key once; with more keys than it may hold, what is merged goes on early."""
+    from winsight.streaming import state
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.range(0, 1000, 1, 1).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("s"), F.col("id").alias("m"))
+        want = sorted((k, sum(range(k, 1000, 7)) if k else None, max(range(k, 1000, 7))) for k in range(7))
+        assert sorted(map(tuple, state.combined(rows, ["k"], {"s": "sum", "m": "max"}).collect())) == want
+        monkeypatch.setattr(state, "HELD_GROUPS", 5)
+        got = state.combined(rows, ["k"], {"s": "sum", "m": "max"})
+        assert got.count() > 7
+        assert sorted(map(tuple, got.groupBy("k").agg(F.sum("s"), F.max("m")).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ordered_stream_files_are_in_order(spark, tmp_path):
+    _events(spark, str(tmp_path), [(i * 7 % 401, i, i % 7) for i in range(401)])
+    seen = []
+    stream = E.ordered_stream(spark, str(tmp_path), F.col("event_id"))
+    stream.writeStream.foreachBatch(lambda b, i: seen.extend(r[0] for r in b.coalesce(1).select("event_id").collect())).trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert seen == list(range(401))

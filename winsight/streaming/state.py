@@ -27,13 +27,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 PARTITIONS = "spark.sql.shuffle.partitions"
+#: A micro-batch read from one file is cut into about as many tasks as there are cores, down to this many bytes.
+SPLIT, SPLIT_BYTES = "spark.sql.files.openCostInBytes", 256 << 10
+#: Groups a task holds back to merge its batches; beyond them what is merged goes on.
+HELD_GROUPS = 100_000
 
 
 @contextlib.contextmanager
 def keyed_state(spark: SparkSession, partitions: int | None = None):
     """Queries started inside keep their state in RocksDB, which keyed state needs, in ``partitions`` parts
     (default: the session's); the settings are put back after.  A restart keeps the parts of the first run."""
-    wanted = {PROVIDER: ROCKSDB} | ({PARTITIONS: str(partitions)} if partitions else {})
+    wanted = {PROVIDER: ROCKSDB, SPLIT: str(SPLIT_BYTES)} | ({PARTITIONS: str(partitions)} if partitions else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -73,18 +77,25 @@ def from_text(column: Column, kind: T.DataType) -> Column:
 
 
 def combined(df: DataFrame, keys: list[str], merges: dict[str, str]) -> DataFrame:
-    """Rows of equal ``keys`` merged within each Arrow batch of a task: ``keys`` and the ``merges`` columns.
+    """Rows of equal ``keys`` merged within a task: ``keys`` and the ``merges`` columns.
 
     ``merges``: column -> ``sum``, ``min`` or ``max``; nulls are skipped.
-    Batches of one task are not merged with each other, so memory stays at
-    one batch.
+    A task hands over each key once, unless it has over ``HELD_GROUPS`` of
+    them: memory stays at so many groups and a batch.
     """
-    schema = df.select(*keys, *merges).schema
+    schema, most = df.select(*keys, *merges).schema, HELD_GROUPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
             if len(b):
-                yield from merged(pa.Table.from_batches([b]), keys, merges).to_batches()
+                here = merged(pa.Table.from_batches([b]), keys, merges)
+                held = here if held is None else merged(pa.concat_tables([held, here]), keys, merges)
+                if len(held) > most:
+                    yield from held.to_batches()
+                    held = None
+        if held is not None:
+            yield from held.to_batches()
 
     return df.select(*keys, *merges).mapInArrow(run, schema)
 
