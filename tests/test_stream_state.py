@@ -298,3 +298,48 @@ def test_ordered_stream_files_are_in_order(spark, tmp_path):
     stream.writeStream.foreachBatch(lambda b, i: seen.extend(r[0] for r in b.coalesce(1).select("event_id").collect())).trigger(
         availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     assert seen == list(range(401))
+
+
+def _messages(spark):
+    """Two partitions and one without a name: gaps, repeated rows, results without time, offset or arrival."""
+    r, rows = random.Random(8), []
+    for part in (0, 1, None):
+        for at in range(600):
+            if r.random() < 0.02:
+                continue
+            key = "m" if r.random() < 0.2 else r.choice(["a", "b", None])
+            value = f'{{"blast_id": {at}, "blast_size": 3}}' if key == "m" else r.choice(['{"checkingTimeMs": 5}', '{"time": 1}', "not json"])
+            rows += [(part, at, key, value, r.choice([None, at * 10, at * 10, -5]))] * (2 if r.random() < 0.02 else 1)
+    return spark.createDataFrame(rows, "partition int, offset long, key string, value string, ms long").withColumn("timestamp", F.timestamp_millis("ms")).drop("ms")
+
+
+def test_summary_of_whole_segments_equals_the_batch(spark, tmp_path):
+    msgs = _messages(spark).persist()
+    files_in_turn(msgs.sort("offset"), str(tmp_path / "in"), "offset", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        s = SummaryStream(spark, "m", ["a"], "b")
+        s.start(spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), {"availableNow": True}).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = run_summary(msgs, "m", ["a"], "b").drop("segment")
+    assert want.count() > 300
+    same(s.result().drop("offset"), want)
+
+
+def test_state_of_the_summary_gets_few_rows(spark):
+    """Segments between two markers pass in lanes above 0; the state gets the ends of a stretch of offsets."""
+    import pyarrow as pa
+    from winsight.streaming.summary import _MARKER, _runs
+    n = 1000
+    offsets = list(range(500)) + list(range(600, 1100))  # one gap
+    cols = {"part0": ["=0"] * n, "lane": pa.array([0] * n, pa.int32()), "is_marker": [i % 10 == 9 for i in range(n)], "source": ["ab"[i % 2] for i in range(n)],
+            "offset": offsets, "weight": [1] * n, "arrival": offsets, "proc": [2] * n, **{c: pa.array([i if i % 10 == 9 else None for i in range(n)], pa.int64()) for c in _MARKER}}
+    (batch,) = pa.table(cols).to_batches()
+    got = pa.Table.from_batches(list(_runs(["part0"])([batch]))).to_pandas()
+    state, whole = got[got.lane == 0], got[got.lane > 0]
+    assert len(state) == 6 and len(whole) == 98 * 2  # of each stretch: first marker and the results before it
+    assert whole.weight.sum() + state.weight[~state.is_marker].sum() == 900 and not whole.is_marker.any()
+    assert (whole.proc == 2 * whole.weight).all() and whole.groupby("source").weight.sum().tolist() == [490, 392]
+    assert set(whole.lane) <= set(range(1, 17)) and len(set(whole.lane)) > 4
