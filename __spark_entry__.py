@@ -26,7 +26,7 @@ from winsight.operators.runs import (classify, latest_by_run, run_elapsed, run_s
 from winsight.operators.suite import union_results, window_result
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows, rows_of_window
 from winsight.monitor import Monitor
-from winsight.session import remove_path, scratch_path
+from winsight.session import age_in_order, remove_path, scratch_path, written_files
 from winsight.sources.files import parent_dir, read_records_csv, read_run_start, read_timings_csv, read_values_text
 from winsight.sources.messages import decode_json, read_messages, stream_table, to_messages
 from winsight.sources.sinks import append_summary, write_results
@@ -168,27 +168,32 @@ def stream_files(n: int) -> int:
 def ordered_stream(spark, sf_dir, order) -> DataFrame:
     """The whole of ``events`` as files in the order of ``order`` (a long), one per micro-batch.
 
-    A file source takes files by age, so they are written one after the other,
-    each from its own part of a copy cut by ``order``: every row is read and
-    written twice, however many files there are.  Rows of equal ``order`` share
-    a file, rows without one have no place.  Within a file rows are in order,
-    so that each of the tasks that read it has a stretch of its own.
+    All files are written in one job, a task each.  A file source takes files
+    by age, so their times are set in the order of their rows; a store that
+    keeps no set times gets them again, one after the other.  Rows of equal
+    ``order`` share a file, rows without one have no place.  Within a file
+    rows are in order, so that each of the tasks that read it has a stretch
+    of its own.
     """
     ev = _t(spark, sf_dir, "events")
     placed = ev.withColumn("_at", order).where(F.col("_at").isNotNull())
     files = stream_files(placed.count())
-    path, cut = scratch_path(spark, "ordered"), scratch_path(spark, "ordered_cut")
-    (placed.repartitionByRange(files, "_at").withColumn("_file", F.spark_partition_id())
-     .sortWithinPartitions("_file", "_at").drop("_at").write.partitionBy("_file").parquet(cut))
-    parts = spark.read.schema(T.StructType([*ev.schema.fields, T.StructField("_file", T.IntegerType())])).parquet(cut)
-    for i in range(files):
-        # small row groups, so that several tasks read a file
-        (parts.where(F.col("_file") == i).drop("_file").coalesce(1)
-         .write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path))
-    remove_path(spark, cut)
+    path = scratch_path(spark, "ordered")
+    _write_stream_files(placed.repartitionByRange(files, "_at").sortWithinPartitions("_at").drop("_at"), path)
+    parts = written_files(spark, path)
+    if not age_in_order(spark, parts):
+        cut, path = path, scratch_path(spark, "ordered")
+        for part in parts:
+            _write_stream_files(spark.read.schema(ev.schema).parquet(part).coalesce(1), path)
+        remove_path(spark, cut)
     return read_messages(spark, "parquet", {"maxFilesPerTrigger": 1}, path=path, schema=ev.schema)
 
 
+def _write_stream_files(df: DataFrame, path: str) -> None:
+    # small row groups, so that several tasks read a file
+    df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
 def q_stream_session_unique(spark, sf_dir):
     """Session windows with uniqueness over a stream: carried bucket partials (foreachBatch)."""
     ms = {"n": M.size(), "u": M.fraction_of_unique("event_type")}

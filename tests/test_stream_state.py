@@ -15,6 +15,7 @@ from winsight.operators import measures as M
 from winsight.operators.batches import assign_batches, batch_markers
 from winsight.operators.runs import run_summary
 from winsight.operators.windows import assign_windows, collect_rows, distinct_windows
+from winsight.session import age_in_order, written_files
 from winsight.sources.sinks import FanOut, batch_files, each_batch, late_rows
 from winsight.streaming.batches import BatchTags, stream_batch_markers
 from winsight.streaming.sessions import SessionMeasures
@@ -300,6 +301,62 @@ def test_ordered_stream_files_are_in_order(spark, tmp_path):
     assert seen == list(range(401))
 
 
+def _in_turn(spark, folder, checkpoint):
+    """Event ids by micro-batch of the ordered stream, and the jobs that built its input."""
+    sc, group = spark.sparkContext, f"ordered {checkpoint}"
+    sc.setJobGroup(group, "build")
+    try:
+        stream = E.ordered_stream(spark, folder, F.col("event_id"))
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda b, i: seen.append([r[0] for r in b.coalesce(1).select("event_id").collect()]))
+    q.trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return seen, jobs
+
+
+def test_ordered_stream_is_written_in_one_job(spark, tmp_path, monkeypatch):
+    """More files take no more jobs, and are still taken in the order of their rows."""
+    _events(spark, str(tmp_path), [(i * 7 % 401, i, i % 7) for i in range(401)])
+    jobs = set()
+    for files in (4, 23):
+        monkeypatch.setattr(E, "STREAM_FILES", (files, files))
+        seen, n = _in_turn(spark, str(tmp_path), str(tmp_path / f"c{files}"))
+        assert len(seen) == files and sum(seen, []) == list(range(401))
+        jobs.add(n)
+    assert len(jobs) == 1 and jobs != {0}
+
+
+def test_ordered_stream_where_no_times_can_be_set(spark, tmp_path, monkeypatch):
+    _events(spark, str(tmp_path), [(i * 7 % 401, i, i % 7) for i in range(401)])
+    monkeypatch.setattr(E, "age_in_order", lambda spark, files: False)
+    seen, _ = _in_turn(spark, str(tmp_path), str(tmp_path / "c"))
+    assert len(seen) == 4 and sum(seen, []) == list(range(401))
+
+
+def test_ordered_stream_of_repeated_ids_and_ids_left_out(spark, tmp_path):
+    """Rows of equal place share a micro-batch, also with fewer places than files; rows without one are left out."""
+    _events(spark, str(tmp_path), [(i % 2 if i % 3 else None, i, 1) for i in range(300)])
+    seen, _ = _in_turn(spark, str(tmp_path), str(tmp_path / "c"))
+    assert [x for x in seen if x] == [[0] * 100, [1] * 100]
+
+
+def test_ages_are_in_the_order_of_the_files(spark, tmp_path):
+    paths = []
+    for i in (2, 0, 1):
+        paths.append(str(tmp_path / f"part-{i}"))
+        (tmp_path / f"part-{i}").write_text("x")
+    (tmp_path / "_SUCCESS").write_text("")
+    got = written_files(spark, str(tmp_path))
+    assert [os.path.basename(p) for p in got] == ["part-0", "part-1", "part-2"]
+    assert age_in_order(spark, got)
+    ages = [os.stat(tmp_path / f"part-{i}").st_mtime for i in range(3)]
+    assert [b - a for a, b in zip(ages, ages[1:])] == [1, 1]
+    assert not age_in_order(spark, [str(tmp_path / "none")])
+
+
 def _messages(spark):
     """Two partitions and one without a name: gaps, repeated rows, results without time, offset or arrival."""
     r, rows = random.Random(8), []

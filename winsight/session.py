@@ -6,9 +6,10 @@ import atexit
 import contextlib
 import os
 import tempfile
+import time
 import uuid
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import SparkSession
 
 #: Folder of this process when nothing is configured on a local master (tests, benches).
@@ -104,6 +105,29 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def written_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of one write into a folder, in the order of the tasks that wrote them (their names begin with it)."""
+    fs, p = _on_file_system(spark, path)
+    return sorted(str(s.getPath()) for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._")
+
+
+def age_in_order(spark: SparkSession, files: list[str]) -> bool:
+    """Make each file a second older than the next, and the last as of now; False where the store keeps no set times."""
+    now = int(time.time()) * 1000
+    times = []
+    for i, file in enumerate(files):
+        fs, p = _on_file_system(spark, file)
+        wanted = now - 1000 * (len(files) - 1 - i)
+        try:
+            fs.setTimes(p, wanted, -1)
+        except Py4JJavaError:  # not supported, or not allowed
+            return False
+        times.append(fs.getFileStatus(p).getModificationTime())
+        if times[-1] != wanted:
+            return False
+    return True
+
+
 def materialise(df, name: str):
     """Write ``df`` as Parquet under the shared folder and read it back: cuts the
     lineage with files that survive a lost executor."""
